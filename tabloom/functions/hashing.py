@@ -29,4 +29,4 @@ def hash_rank_key(seed: int, key: Sequence[str]) -> Column:
     return F.conv(F.substring(_digest(seed, key), 1, 15), 16, 10).cast("bigint")
 
 
-HASH_RANGE = 1 << 60
+HASH_BITS = 60

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..functions.columns import c, replace_columns
 from ..functions.ranking import sorted_positions
 from ..functions.stats import Frequencies, Moments, TrainingStats, json_value, literal
-from ..session import scratch_path
+from ..session import local_frame, scratch_path
 from .step import Step, StepModel
 
 MAX_CATEGORIES = 1000
@@ -76,10 +76,11 @@ def category_table(df: DataFrame, col: str) -> str:
 
 
 def list_table(df: DataFrame, categories: list[Any], dtype: T.DataType) -> DataFrame:
-    rows = [(str(k) if isinstance(dtype, T.DecimalType) else k, i) for i, k in enumerate(categories)]
-    kind = T.StringType() if isinstance(dtype, (T.DecimalType, T.DateType, T.TimestampType)) else dtype
+    """A fitted category list as a local ``(value, code)`` relation."""
+    kind = dtype if isinstance(dtype, (T.StringType, T.NumericType, T.BooleanType)) else T.StringType()
+    kind = T.StringType() if isinstance(kind, T.DecimalType) else kind
     schema = T.StructType([T.StructField("value", kind), T.StructField("code", T.LongType())])
-    table = df.sparkSession.createDataFrame(rows, schema)
+    table = local_frame(df.sparkSession, [(k, i) for i, k in enumerate(categories)], schema)
     return table.withColumn("value", F.col("value").cast(dtype))
 
 
@@ -95,7 +96,8 @@ class OneHotModel(StepModel):
             table = dataset.sparkSession.read.parquet(info["path"])
             # the last slot, dropped by the encoder, stands for unseen and null
             coded = label_join(out, c(name).cast("string"), table, code, default=size)
-            slots = dataset.sparkSession.createDataFrame([(float(size),)], f"`{code}` double")
+            slots = local_frame(
+                dataset.sparkSession, [(float(size),)], T.StructType([T.StructField(code, T.DoubleType())]))
             encoder = OneHotEncoder(inputCols=[code], outputCols=[vector], dropLast=True).fit(slots)
             out = encoder.transform(coded.withColumn(code, F.col(code).cast("double"))).drop(code, name)
         return out

@@ -6,7 +6,9 @@ from collections.abc import Iterable
 from typing import Any
 
 from pyspark.ml import Estimator, PipelineModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import TrainingStats
@@ -16,6 +18,7 @@ from ..operators.fill import MeanImpute, MedianImpute, ModeImpute
 from ..operators.project import DropColumns, RenameColumns, SelectColumns
 from ..operators.rescale import MinMaxScale, StandardScale
 from ..operators.step import NotFittedError, Step, StepModel
+from ..session import local_frame
 
 # The registered step names.
 STEPS: dict[str, type] = {
@@ -100,14 +103,12 @@ def shape_summary(model: PipelineModel, df: DataFrame) -> DataFrame:
 
     Column counts come from the schemas; the rows are counted once.
     """
-    from pyspark.sql import functions as F
-
     rows, current = [], df
     for i, stage in enumerate(model.stages):
         after = stage.transform(current)
         rows.append((i, type(stage).__name__, len(current.columns), len(after.columns)))
         current = after
-    steps = df.sparkSession.createDataFrame(rows, "step int, name string, columns_in int, columns_out int")
+    steps = local_frame(df.sparkSession, rows, "step int, name string, columns_in int, columns_out int")
     return steps.withColumn("row_count", F.lit(df.count()).cast("bigint"))
 
 
@@ -120,8 +121,6 @@ def preview(steps: list[dict[str, Any]], df: DataFrame, key: list[str], n: int =
 
 def feature_columns(schema: T.StructType, exclude: Iterable[str]) -> list[str]:
     """Columns a model can use: numeric, boolean and vector ones, sorted by name."""
-    from pyspark.ml.linalg import VectorUDT
-
     skip = set(exclude)
     return sorted(
         f.name for f in schema.fields

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
+from typing import Any
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Settings the library relies on; every one may be overridden by the caller.
 DEFAULT_CONF = {
@@ -46,3 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused path under :func:`shared_dir`."""
     return f"{shared_dir(spark)}/tabloom/{name}-{uuid.uuid4().hex}"
+
+
+def local_frame(spark: SparkSession, rows: Iterable[Sequence[Any]], schema: str | T.StructType) -> DataFrame:
+    """A few driver-side rows as a local relation, whose size the optimizer knows."""
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    names = kind.names
+    records = [dict(zip(names, row)) for row in rows]
+    table = pa.Table.from_pylist(records, schema=to_arrow_schema(kind))
+    return spark.createDataFrame(table, schema=kind)
