@@ -24,10 +24,22 @@ from ..operators.evaluate import NON_SCALAR_METRICS, lower_is_better, resolve_me
 from ..session import local_frame
 
 # The fields of a run record and those of its list view.
-RUN_SCHEMA = T.StructType.fromDDL(
-    "run_id string, timestamp string, config string, pipeline_summary string, metrics string, "
-    "model_type string, model_path string, dataset_path string, train_rows bigint, test_rows bigint, "
-    "duration_seconds double, tags string, is_champion boolean")
+RUN_FIELDS: dict[str, T.DataType] = {
+    "run_id": T.StringType(),
+    "timestamp": T.StringType(),
+    "config": T.StringType(),
+    "pipeline_summary": T.StringType(),
+    "metrics": T.StringType(),
+    "model_type": T.StringType(),
+    "model_path": T.StringType(),
+    "dataset_path": T.StringType(),
+    "train_rows": T.LongType(),
+    "test_rows": T.LongType(),
+    "duration_seconds": T.DoubleType(),
+    "tags": T.StringType(),
+    "is_champion": T.BooleanType(),
+}
+RUN_SCHEMA = T.StructType([T.StructField(name, kind) for name, kind in RUN_FIELDS.items()])
 SUMMARY_FIELDS = [
     "run_id", "timestamp", "model_type", "metrics", "train_rows", "test_rows", "duration_seconds", "is_champion"]
 JSON_FIELDS = ("config", "pipeline_summary", "metrics", "tags")
