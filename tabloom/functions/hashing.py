@@ -6,6 +6,7 @@ the seed and the key alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -19,9 +20,15 @@ def _digest(seed: int, key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
-def hash_unit(seed: int, key: Sequence[str]) -> Column:
-    """Uniform double in [0, 1) from the first 32 bits of the digest."""
-    return F.conv(F.substring(_digest(seed, key), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+def hash_word(seed: int, key: Sequence[str]) -> Column:
+    """First 32 bits of the digest as 8 hex digits; ordered as text like the number."""
+    return F.substring(_digest(seed, key), 1, 8)
+
+
+def word_below(word: Column, fraction: float) -> Column:
+    """``number(word) / 2**32 < fraction``, compared as text to avoid the conversion."""
+    first_outside = math.ceil(fraction * 2.0**32)
+    return F.lit(True) if first_outside >= 1 << 32 else word < F.lit(f"{first_outside:08x}")
 
 
 def hash_rank_key(seed: int, key: Sequence[str]) -> Column:

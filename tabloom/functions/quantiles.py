@@ -1,12 +1,13 @@
 """Exact quantiles whose state stays bounded however many distinct values there are.
 
 ``percentile`` keeps a value -> count map in one task, so on a column of
-continuous values it grows with the data. Here a quantile sketch first narrows
-each quantile to a bracket ``[lo, hi]``. Clamping the column to the bracket
-keeps the wanted order statistics and folds all other rows into two values, so
-the exact ``percentile`` of the clamped column needs a map no larger than the
-bracket. Every pass is one shuffle-free aggregate over all columns, and the
-bracket is verified by counting, so the result equals ``percentile`` exactly.
+continuous values it grows with the data. Here a KLL sketch first narrows each
+quantile to a bracket ``[lo, hi]``. Clamping the column to the bracket keeps the
+wanted order statistics and folds all other rows into two values, so the exact
+``percentile`` of the clamped column needs a map no larger than the bracket.
+Every pass is one aggregate over all columns without a shuffle of rows. Brackets
+are verified by counting, so the result equals ``percentile`` exactly whatever
+the sketch returned.
 """
 
 from __future__ import annotations
@@ -14,15 +15,53 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import c, to_double
 
-GRID = 500
-ACCURACY = 10_000
-MAX_STATE = 1_000_000
+GRID = 1000
+SKETCH_K = 8192
+# About three times the rank error of a sketch of that size.
+MARGIN = 0.001
+# Entries all exact maps of one pass may hold together.
+MAX_STATE = 2_000_000
+# Sketches of many tasks are merged in this many groups before the last merge.
+MERGE_GROUPS = 256
+
+
+def sketch_grids(df: DataFrame, values: Sequence[Column], steps: int, k: int = SKETCH_K,
+                 extra: Sequence[Column] = ()) -> Any:
+    """One row: ``n{i}``, ``lo{i}``, ``hi{i}`` and the quantile grid ``g{i}`` of each value.
+
+    Task sketches are merged in two levels, so that no task receives one sketch
+    from every task of a large scan. *extra* aggregates must be named and additive.
+    """
+    named = df.select(
+        F.pmod(F.spark_partition_id(), F.lit(MERGE_GROUPS)).alias("_group"),
+        *[v.alias(f"v{i}") for i, v in enumerate(values)], *extra)
+    names = [n for n in named.columns if n != "_group" and not n.startswith("v")]
+    idx = range(len(values))
+    parts = named.groupBy("_group").agg(
+        *[F.count(f"v{i}").alias(f"n{i}") for i in idx],
+        *[F.min(f"v{i}").alias(f"lo{i}") for i in idx],
+        *[F.max(f"v{i}").alias(f"hi{i}") for i in idx],
+        *[F.kll_sketch_agg_double(f"v{i}", k).alias(f"s{i}") for i in idx],
+        *[F.sum(n).alias(n) for n in names])
+    merged = parts.agg(
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in idx],
+        *[F.min(f"lo{i}").alias(f"lo{i}") for i in idx],
+        *[F.max(f"hi{i}").alias(f"hi{i}") for i in idx],
+        *[F.kll_merge_agg_double(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}"))).alias(f"s{i}") for i in idx],
+        *[F.sum(n).alias(n) for n in names])
+    ranks = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / F.lit(float(steps)))
+    return merged.select(
+        *[F.coalesce(F.col(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in idx],
+        *[F.col(f"lo{i}") for i in idx], *[F.col(f"hi{i}") for i in idx],
+        *[F.when(F.col(f"n{i}") > 0, F.kll_sketch_get_quantile_double(f"s{i}", ranks)).alias(f"g{i}") for i in idx],
+        *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names]).first()
 
 
 @dataclass
@@ -31,9 +70,8 @@ class _Bracket:
     prob: float
     lo: float
     hi: float
-    margin: float
-    inside: int            # at most this many rows lie strictly between lo and hi
-    tries: int = 0
+    inside: int            # about this many rows lie strictly between lo and hi
+    margin: float = MARGIN
 
     def ranks(self, n: int) -> tuple[int, int]:
         position = self.prob * (n - 1)
@@ -47,6 +85,10 @@ def _narrow(grid: Sequence[float], first: int, last: int, m: int, margin: float)
     return grid[max(left, 0)], grid[min(right, GRID)]
 
 
+def _width(m: int, margin: float) -> int:
+    return min(m, math.ceil(m * (3.0 / GRID + 4 * margin)) + 2)
+
+
 def exact_quantiles(
     df: DataFrame,
     cols: Sequence[str],
@@ -58,87 +100,84 @@ def exact_quantiles(
         return {}
     types = {f.name: f.dataType for f in df.schema.fields}
     value = {name: to_double(c(name), types[name]) for name in cols}
-    steps = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-
-    first_pass = []
-    for i, name in enumerate(cols):
-        v = value[name]
-        first_pass += [
-            F.count(v).alias(f"n{i}"),
-            F.min(v).alias(f"lo{i}"),
-            F.max(v).alias(f"hi{i}"),
-            F.percentile_approx(v, steps, ACCURACY).alias(f"g{i}"),
-        ]
-    row = df.agg(*first_pass).first()
 
+    row = sketch_grids(df, [value[n] for n in cols], GRID)
     counts: dict[str, int] = {}
     extremes: dict[str, tuple[float, float]] = {}
     result: dict[tuple[str, float], float | None] = {}
-    open_brackets: list[_Bracket] = []
-    margin = 3.0 / ACCURACY
+    todo: list[_Bracket] = []
     for i, name in enumerate(cols):
         n = counts[name] = row[f"n{i}"]
-        extremes[name] = (row[f"lo{i}"], row[f"hi{i}"])
+        lo, hi = extremes[name] = (row[f"lo{i}"], row[f"hi{i}"])
         for p in probs:
             if n == 0:
                 result[name, p] = None
                 continue
-            b = _Bracket(name, p, *extremes[name], margin, n)
-            grid = [extremes[name][0], *row[f"g{i}"][1:-1], extremes[name][1]]
-            k1, k2 = b.ranks(n)
-            b.lo, b.hi = _narrow(grid, k1, k2, n, margin)
-            b.inside = min(n, math.ceil(n * (4.0 / GRID + 4 * margin)) + 2)
-            open_brackets.append(b)
-
-    while open_brackets:
-        aggs: list[Column] = []
-        for i, b in enumerate(open_brackets):
-            v = value[b.col]
-            lo, hi = F.lit(float(b.lo)), F.lit(float(b.hi))
-            aggs += [
-                F.count_if(v < lo).alias(f"below{i}"),
-                F.count_if(v <= lo).alias(f"uptolo{i}"),
-                F.count_if(v <= hi).alias(f"upto{i}"),
-                F.count_if((v > lo) & (v < hi)).alias(f"inside{i}"),
-            ]
-            if b.inside <= max_state:
-                clamped = F.greatest(F.least(v, hi), lo)
-                aggs.append(F.percentile(F.when(v.isNotNull(), clamped), b.prob).alias(f"exact{i}"))
-            else:
-                strictly = F.when((v > lo) & (v < hi), v)
-                aggs.append(F.percentile_approx(strictly, steps, ACCURACY).alias(f"grid{i}"))
-        row = df.agg(*aggs).first()
-        still_open = []
-        for i, b in enumerate(open_brackets):
+            b = _Bracket(name, p, lo, hi, _width(n, MARGIN))
+            b.lo, b.hi = _narrow([lo, *row[f"g{i}"][1:-1], hi], *b.ranks(n), n, MARGIN)
+            todo.append(b)
+
+    while todo:
+        limit = max(max_state // len(todo), 1)
+        row = _measure(df, value, todo, limit)
+        again: list[_Bracket] = []
+        for i, b in enumerate(todo):
             n = counts[b.col]
             k1, k2 = b.ranks(n)
-            below, upto, inside = row[f"below{i}"], row[f"upto{i}"], row[f"inside{i}"]
-            if not (below <= k1 and k2 < upto):
-                # the sketch missed its error bound: start over with a wider bracket
-                b.lo, b.hi = extremes[b.col]
-                b.margin, b.tries, b.inside = b.margin * 8, b.tries + 1, n
-                if b.tries > 4:
+            start, inside = row[f"uptolo{i}"], row[f"inside{i}"]
+            if not (row[f"below{i}"] <= k1 and k2 < row[f"upto{i}"]):
+                # the sketch was off by more than its margin: bracket again, wider
+                b.margin *= 8
+                if b.margin > 0.5:
                     raise RuntimeError(f"no valid quantile bracket found for column '{b.col}'")
-                still_open.append(b)
-            elif b.inside <= max_state:
+                b.lo, b.hi = extremes[b.col]
+                b.inside = n
+                again.append(b)
+            elif b.inside <= limit:
                 result[b.col, b.prob] = row[f"exact{i}"]
-            elif inside <= max_state:
+            elif k2 < start:
+                result[b.col, b.prob] = b.lo
+            elif k1 >= start + inside:
+                result[b.col, b.prob] = b.hi
+            elif inside <= limit:
                 b.inside = inside
-                still_open.append(b)
+                again.append(b)
             else:
-                # sorted order: rows below lo, rows equal to lo, inside rows, rows equal to hi
-                start = row[f"uptolo{i}"]
-                if k2 < start:
-                    result[b.col, b.prob] = b.lo
-                elif k1 >= start + inside:
-                    result[b.col, b.prob] = b.hi
-                else:
-                    first, last = max(k1 - start, 0), min(k2 - start, inside - 1)
-                    grid = [b.lo, *row[f"grid{i}"][1:-1], b.hi]
-                    lo, hi = _narrow(grid, first, last, inside, b.margin)
-                    b.lo = lo if k1 >= start else b.lo
-                    b.hi = hi if k2 < start + inside else b.hi
-                    b.inside = math.ceil(inside * (4.0 / GRID + 4 * b.margin)) + 2
-                    still_open.append(b)
-        open_brackets = still_open
+                # sorted order: rows below lo, equal to lo, strictly inside, equal to hi
+                first, last = max(k1 - start, 0), min(k2 - start, inside - 1)
+                lo, hi = _narrow([b.lo, *row[f"grid{i}"][1:-1], b.hi], first, last, inside, b.margin)
+                b.lo = lo if k1 >= start else b.lo
+                b.hi = hi if k2 < start + inside else b.hi
+                b.inside = _width(inside, b.margin)
+                again.append(b)
+        todo = again
     return {name: [result[name, p] for p in probs] for name in cols}
+
+
+def _measure(df: DataFrame, value: dict[str, Column], todo: Sequence[_Bracket], limit: int) -> dict[str, Any]:
+    """Counts around every bracket; the quantile itself if narrow enough, else a finer grid."""
+    aggs: list[Column] = []
+    wide: list[int] = []
+    for i, b in enumerate(todo):
+        v, lo, hi = value[b.col], F.lit(float(b.lo)), F.lit(float(b.hi))
+        aggs += [
+            F.count_if(v < lo).alias(f"below{i}"),
+            F.count_if(v <= lo).alias(f"uptolo{i}"),
+            F.count_if(v <= hi).alias(f"upto{i}"),
+            F.count_if((v > lo) & (v < hi)).alias(f"inside{i}"),
+        ]
+        if b.inside <= limit:
+            clamped = F.when(v.isNotNull(), F.greatest(F.least(v, hi), lo))
+            aggs.append(F.percentile(clamped, b.prob).alias(f"exact{i}"))
+        else:
+            wide.append(i)
+    found = df.agg(*aggs).first().asDict()
+    if wide:
+        inner = []
+        for i in wide:
+            b = todo[i]
+            v = value[b.col]
+            inner.append(F.when((v > F.lit(float(b.lo))) & (v < F.lit(float(b.hi))), v))
+        grids = sketch_grids(df, inner, GRID)
+        found.update({f"grid{i}": grids[f"g{j}"] for j, i in enumerate(wide)})
+    return found

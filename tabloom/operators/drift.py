@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import c, is_numeric, to_double
+from ..functions.quantiles import sketch_grids
 from ..functions.significance import chi2_p, kolmogorov_p
 from ..session import local_frame
 
@@ -30,6 +31,7 @@ WARNING_SHARE = 0.30
 # One ordered range of values holds about this many rows.
 RANGE_ROWS = 4_000_000
 MAX_RANGES = 1000
+RANGE_SKETCH = 2048
 
 SCORE_SCHEMA = "column string, method string, statistic double, p_value double, drifted boolean"
 
@@ -76,23 +78,22 @@ def _prepare(ref: DataFrame, new: DataFrame, names: list[str] | None) -> tuple[l
     stacked = _stack(ref, new, columns)
     if not columns:
         return columns, stacked
-    steps = F.array(*[F.lit(k / MAX_RANGES) for k in range(1, MAX_RANGES)])
-    aggs: list[Column] = []
-    for i, x in enumerate(columns):
-        v = F.col(f"v{i}")
-        aggs.append(F.count(F.when(~F.col("is_new"), v)).alias(f"r{i}"))
-        aggs.append(F.count(F.when(F.col("is_new"), v)).alias(f"n{i}"))
-        if x.numeric:
-            aggs.append(F.percentile_approx(v, steps, 10 * MAX_RANGES).alias(f"q{i}"))
-    row = stacked.agg(*aggs).first()
+    numeric = [i for i, x in enumerate(columns) if x.numeric]
+    present = []
+    for i in range(len(columns)):
+        has = F.col(f"v{i}").isNotNull()
+        present += [(has & ~F.col("is_new")).cast("bigint").alias(f"ref{i}"),
+                    (has & F.col("is_new")).cast("bigint").alias(f"new{i}")]
+    # ranges only balance the work, so an approximate grid is all they need
+    row = sketch_grids(stacked, [F.col(f"v{i}") for i in numeric], MAX_RANGES, RANGE_SKETCH, present)
     out = []
     for i, x in enumerate(columns):
-        n_ref, n_new = row[f"r{i}"], row[f"n{i}"]
+        n_ref, n_new = row[f"ref{i}"], row[f"new{i}"]
         bounds: tuple[float, ...] = ()
         if x.numeric and n_ref and n_new:
+            grid = row[f"g{numeric.index(i)}"]
             ranges = min(math.ceil((n_ref + n_new) / RANGE_ROWS), MAX_RANGES)
-            step = MAX_RANGES / ranges
-            picked = [row[f"q{i}"][math.ceil(k * step) - 1] for k in range(1, ranges)]
+            picked = [grid[math.ceil(k * MAX_RANGES / ranges)] for k in range(1, ranges)]
             bounds = tuple(sorted(set(picked)))
         out.append(_Column(x.name, x.numeric, n_ref, n_new, bounds))
     return out, stacked

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import c, require_columns
-from ..functions.hashing import HASH_BITS, hash_rank_key, hash_unit
+from ..functions.hashing import HASH_BITS, hash_rank_key, hash_word, word_below
 from ..session import local_frame, shared_dir
 
 # Each pass over the hashes settles this many of their leading bits.
@@ -53,9 +53,13 @@ def split_hash(
     """Add *col* = train / val / test; both sizes are fractions of the whole table."""
     names = _key_list(key)
     _check(df, names, target, test_size, val_size)
-    u = hash_unit(seed, names)
-    part = F.when(u < test_size, "test").when(u < test_size + val_size, "val").otherwise("train")
-    return df.withColumn(col, part)
+    word = hash_word(seed, names)
+    # most rows are train: asked first, they need one comparison (and one hash in a filter)
+    label = (
+        F.when(~word_below(word, test_size + val_size), "train")
+        .when(word_below(word, test_size), "test").otherwise("val")
+    )
+    return df.withColumn(col, label)
 
 
 def _quotas(df: DataFrame, stratum: Column, test_size: float, val_size: float) -> DataFrame:

@@ -1,8 +1,9 @@
 """The run log: an append-only event table and the views and rankings over it.
 
-Logging, deleting and promoting a run each append one event row. The current
-state is a view: the newest log event per run unless a delete follows it. All
-functions take and return DataFrames; :class:`RunLog` adds the table on disk.
+Logging, deleting and promoting a run each append one event row with a ``seq``
+number that is unique per run. The current state is a view: the newest log event
+per run unless a delete follows it. All functions take and return DataFrames;
+:class:`RunLog` adds the table on disk.
 """
 
 from __future__ import annotations
@@ -58,20 +59,21 @@ def current_runs(events: DataFrame) -> DataFrame:
     replaces the flag by the logged one. So the flag holds for the last promoted
     run, unless logged anew since, and for runs logged as champion after that.
     """
-    record = F.struct("event", *RUN_SCHEMA.names)
+    fields = [n for n in RUN_SCHEMA.names if n != "run_id"]
+    # one aggregate per field, so that fields a query does not use are pruned
     newest = (
         events.filter(F.col("event").isin("log", "delete"))
         .groupBy("run_id")
-        .agg(F.max("seq").alias("seq"), F.max_by(record, "seq").alias("r"))
-        .filter(F.col("r.event") == "log")
+        .agg(F.max("seq").alias("seq"), *[F.max_by(n, "seq").alias(n) for n in ["event", *fields]])
+        .filter(F.col("event") == "log")
     )
     promotes = events.filter(F.col("event") == "promote")
     last_seq = promotes.agg(F.max("seq")).scalar()
     last_run = promotes.agg(F.max_by("run_id", "seq")).scalar()
     since = F.coalesce(F.col("seq") > last_seq, F.lit(True))
-    champion = F.when(since, F.coalesce(F.col("r.is_champion"), F.lit(False))).otherwise(F.col("run_id") == last_run)
-    fields = [F.col(f"r.{n}").alias(n) for n in RUN_SCHEMA.names if n not in ("run_id", "is_champion")]
-    return newest.select("run_id", *fields, champion.alias("is_champion"))
+    logged = F.coalesce(F.col("is_champion"), F.lit(False))
+    champion = F.when(since, logged).otherwise(F.col("run_id") == last_run)
+    return newest.select(*[champion.alias(n) if n == "is_champion" else F.col(n) for n in RUN_SCHEMA.names])
 
 
 def deleted_runs(events: DataFrame) -> DataFrame:
@@ -213,7 +215,8 @@ def compare_runs(runs: DataFrame, run_ids: Sequence[str]) -> DataFrame:
     # an 8-character prefix counts only if it names exactly one run
     single = Window.partitionBy("pos")
     by_prefix = by_prefix.withColumn("_hits", F.count(F.lit(1)).over(single)).filter("_hits = 1").drop("_hits")
-    chosen = full.unionByName(by_prefix)
+    # at most one row per wanted id
+    chosen = local_frame(spark, full.unionByName(by_prefix).collect(), full.schema)
     names = chosen.select("pos", F.posexplode(F.map_keys(scalar_metrics(json_map("metrics")))).alias("at", "name"))
     seen = names.groupBy("name").agg(F.min(F.struct("pos", "at")).alias("first")).orderBy("first").collect()
     metrics = json_map("metrics")
