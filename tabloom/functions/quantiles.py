@@ -12,6 +12,7 @@ the sketch returned.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
@@ -56,7 +57,7 @@ def sketch_grids(df: DataFrame, values: Sequence[Column], steps: int, k: int = S
         *[F.max(f"hi{i}").alias(f"hi{i}") for i in idx],
         *[F.kll_merge_agg_double(F.when(F.col(f"n{i}") > 0, F.col(f"s{i}"))).alias(f"s{i}") for i in idx],
         *[F.sum(n).alias(n) for n in names])
-    ranks = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda i: i / F.lit(float(steps)))
+    ranks = F.from_json(F.lit(json.dumps([i / steps for i in range(steps + 1)])), "array<double>")
     return merged.select(
         *[F.coalesce(F.col(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in idx],
         *[F.col(f"lo{i}") for i in idx], *[F.col(f"hi{i}") for i in idx],
