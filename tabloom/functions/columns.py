@@ -66,14 +66,13 @@ def resolve_columns(
     return [name for name in cols if name in names]
 
 
-def check_unique_names(df: DataFrame) -> DataFrame:
+def check_unique_names(names: Iterable[str]) -> None:
     """Reject names that differ only by case, which Spark cannot tell apart."""
     seen: dict[str, str] = {}
-    for name in df.columns:
+    for name in names:
         other = seen.setdefault(name.lower(), name)
-        if other != name or df.columns.count(name) > 1:
+        if other is not name:
             raise ValueError(f"column names '{other}' and '{name}' are the same when case is ignored")
-    return df
 
 
 def require_columns(df: DataFrame, names: Iterable[str], what: str = "Column") -> None:

@@ -29,6 +29,8 @@ SKETCH_K = 8192
 MARGIN = 0.001
 # Entries all exact maps of one pass may hold together.
 MAX_STATE = 2_000_000
+# Never split the allowance further; a bracket must hold the two ranks it interpolates.
+MIN_STATE = 16
 # Sketches of many tasks are merged in this many groups before the last merge.
 MERGE_GROUPS = 256
 
@@ -119,7 +121,7 @@ def exact_quantiles(
             todo.append(b)
 
     while todo:
-        limit = max(max_state // len(todo), 1)
+        limit = max(max_state // len(todo), MIN_STATE)
         row = _measure(df, value, todo, limit)
         again: list[_Bracket] = []
         for i, b in enumerate(todo):

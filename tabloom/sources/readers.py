@@ -59,7 +59,11 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
     """CSV with a header. Without a schema the types are found after the null tokens are gone."""
-    text = spark.read.options(header=True, escape='"', **options).csv(path)
+    reader = spark.read.options(escape='"', **options)
+    # Spark would silently rename clashing header names, so look at them first
+    header = reader.csv(path).limit(1).collect()
+    check_unique_names(name for name in (header[0] if header else []) if name is not None)
+    text = reader.option("header", True).csv(path)
     text = replace_columns(text, {n: null_tokens_to_null(c(n)) for n in text.columns})
     if schema is None:
         return infer_types(text)
@@ -96,7 +100,9 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
             # a missing file is reported as such even when its format is unknown
             spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
             raise ValueError(f"Unsupported file format '{ext}'. Supported formats: {', '.join(READERS)}")
-        return check_unique_names(READERS[ext](spark, path, schema, **options))
+        df = READERS[ext](spark, path, schema, **options)
+        check_unique_names(df.columns)
+        return df
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"Data file not found: '{path}'") from error
