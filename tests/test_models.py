@@ -18,7 +18,7 @@ def data(spark):
              ["x", "y", "z"][int(np.digitize(a, [-0.5, 0.5]))])
             for i, ((a, b), e) in enumerate(zip(x, noise))]
     return spark.createDataFrame(
-        rows, "row_id bigint, f1 double, f2 double, y int, r double, ring string, three string").persist()
+        rows, "row_id bigint, f1 double, f2 double, y int, r double, ring string, three string").coalesce(1).persist()
 
 
 def matrix(df, *cols):
@@ -61,8 +61,8 @@ def test_ridge_and_lasso_match_closed_forms(data):
 @pytest.mark.parametrize("name,params,target,least", [
     ("decision_tree", {"max_depth": 6}, "ring", 0.9), ("random_forest", {"n_estimators": 15, "max_depth": 6}, "ring", 0.9),
     ("random_forest_classifier", {"n_estimators": 10, "max_depth": 5, "min_samples_split": 6}, "y", 0.9),
-    ("svc", {"C": 10.0, "n_components": 64}, "ring", 0.85), ("svc", {"kernel": "linear"}, "three", 0.75),
-    ("logistic_regression", {}, "three", 0.9)])
+    ("svc", {"C": 10.0, "n_components": 64, "max_iter": 30}, "ring", 0.85), ("svc", {"kernel": "linear", "max_iter": 15}, "three", 0.75),
+    ("logistic_regression", {"max_iter": 30}, "three", 0.9)])
 def test_classifiers(data, name, params, target, least):
     out = fit(data, name, params, target).transform(data.drop(target).join(data.select("row_id", target), "row_id"))
     assert dict(out.dtypes)["prediction"] == dict(data.dtypes)[target]
@@ -70,8 +70,8 @@ def test_classifiers(data, name, params, target, least):
 
 
 @pytest.mark.parametrize("name,params", [
-    ("random_forest_regressor", {"n_estimators": 15, "max_depth": 8}), ("robust_regression", {"kernel": "linear", "C": 1e4}),
-    ("robust_regression", {"n_components": 200, "C": 1e4})])
+    ("random_forest_regressor", {"n_estimators": 15, "max_depth": 8}), ("robust_regression", {"kernel": "linear", "C": 1e4, "max_iter": 50}),
+    ("robust_regression", {"n_components": 200, "C": 1e4, "max_iter": 50})])
 def test_regressors(data, name, params):
     out = fit(data, name, params, "r").transform(data)
     assert regression_metrics(out, "r").first()["r2"] > 0.9
