@@ -11,6 +11,7 @@ from ..functions.columns import c, categorical_columns, numeric_columns, replace
 from ..functions.quantiles import exact_quantiles
 from ..functions.stats import frequencies, moments
 from ..functions.text import parse_number
+from ..session import scratch_path
 from .fill import fill_nulls
 
 # The null strategies.
@@ -37,24 +38,31 @@ def drop_null_rows(df: DataFrame) -> DataFrame:
     return df.dropna("any")
 
 
-def fix_dtypes(df: DataFrame, min_fraction: float = 0.0) -> DataFrame:
-    """Text columns that hold at least one number become double; the rest of them null.
+def number_columns(df: DataFrame, min_fraction: float = 0.0) -> list[str]:
+    """Text columns with at least one number; all of them are tested in one aggregate.
 
     *min_fraction* (of the non-null values) asks for more than one number.
-    All text columns are tested in one aggregate.
     """
     cols = categorical_columns(df.schema)
     if not cols:
-        return df
+        return []
     aggs = []
     for i, name in enumerate(cols):
         aggs += [F.count(parse_number(c(name))).alias(f"num{i}"), F.count(c(name)).alias(f"n{i}")]
     row = df.agg(*aggs).first()
-    numeric = [
+    return [
         name for i, name in enumerate(cols)
         if row[f"num{i}"] > 0 and row[f"num{i}"] >= min_fraction * row[f"n{i}"]
     ]
-    return replace_columns(df, {name: parse_number(c(name)) for name in numeric})
+
+
+def to_numbers(df: DataFrame, cols: list[str]) -> DataFrame:
+    return replace_columns(df, {name: parse_number(c(name)) for name in cols})
+
+
+def fix_dtypes(df: DataFrame, min_fraction: float = 0.0) -> DataFrame:
+    """Text columns that hold a number become double; what is no number becomes null."""
+    return to_numbers(df, number_columns(df, min_fraction))
 
 
 def fill_values(df: DataFrame, strategy: str) -> dict[str, Any]:
@@ -88,14 +96,29 @@ class Cleaner:
                 f"Unknown fill_nulls strategy '{self.strategy}'. Valid options: {sorted(FILL_STRATEGIES)}")
 
     def clean(self, df: DataFrame) -> DataFrame:
+        numbers: list[str] | None = None
+        if self.fix_dtypes and self.min_fraction == 0.0:
+            # whether a column holds any number does not depend on duplicates,
+            # so the raw rows are asked, without shuffling them
+            numbers = number_columns(df)
         if self.drop_duplicates:
             df = dedupe_rows(df)
+            if self.strategy != "drop" or (self.fix_dtypes and numbers is None):
+                df = self._settle(df)
         if self.fix_dtypes:
-            df = fix_dtypes(df, self.min_fraction)
+            df = to_numbers(df, numbers if numbers is not None else number_columns(df, self.min_fraction))
         if self.strategy == "drop":
             return drop_null_rows(df)
         return fill_nulls(df, fill_values(df, self.strategy))
 
+    @staticmethod
+    def _settle(df: DataFrame) -> DataFrame:
+        """Write the distinct rows once: the fill statistics and the result both read
+        them, and would otherwise each shuffle the whole table again."""
+        path = scratch_path(df.sparkSession, "distinct")
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     """Rows per non-null value of one column."""
