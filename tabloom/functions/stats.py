@@ -25,6 +25,10 @@ from .columns import c, is_numeric, to_double
 from .quantiles import exact_quantiles
 
 
+# Value groups per column when its most frequent values are looked for.
+HEAD_GROUPS = 128
+
+
 @dataclass(frozen=True)
 class Moments:
     """Row count, non-null count and moments of one numeric column."""
@@ -184,9 +188,15 @@ def frequencies(df: DataFrame, limits: Mapping[str, int]) -> dict[str, Frequenci
     types = {f.name: f.dataType for f in df.schema.fields}
     counts = long_values(df, names).groupBy("i", "s", "l", "d").agg(F.count(F.lit(1)).alias("n"))
     is_null = F.col("s").isNull() & F.col("l").isNull() & F.col("d").isNull()
-    head = Window.partitionBy("i").orderBy(is_null.desc(), F.col("n").desc(), "s", "l", "d")
+    order = [is_null.desc(), F.col("n").desc(), F.col("s"), F.col("l"), F.col("d")]
     keep = max(limits.values()) + 2
-    rows = counts.withColumn("pos", F.row_number().over(head)).filter(F.col("pos") <= keep).collect()
+    # heads of value groups first, so that a column with very many values is
+    # never ranked in one task; then the head of those heads
+    group = F.pmod(F.hash("s", "l", "d"), F.lit(HEAD_GROUPS))
+    heads = counts.withColumn("pos", F.row_number().over(Window.partitionBy("i", group).orderBy(*order)))
+    heads = heads.filter(F.col("pos") <= keep)
+    top = heads.withColumn("pos", F.row_number().over(Window.partitionBy("i").orderBy(*order)))
+    rows = top.filter(F.col("pos") <= keep).collect()
 
     nulls = dict.fromkeys(names, 0)
     values: dict[str, list[tuple[Any, int]]] = {name: [] for name in names}

@@ -306,3 +306,10 @@ def test_filled_moments_match_direct(frame):
     assert m.mean == pytest.approx(mean)
     assert m.var == pytest.approx(sum((v - mean) ** 2 for v in direct) / 6)
     assert Moments.constant(3, 2.0).std == 0.0
+
+
+def test_head_of_a_column_with_many_values(spark):
+    """A third of the rows share one value, the rest are distinct; ties go to the smallest."""
+    df = spark.range(6000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.format_string("k%05d", "id")).alias("k"))
+    f = frequencies(df, {"k": 3})["k"]
+    assert f.values == (("hot", 2000), ("k00001", 1), ("k00002", 1)) and not f.complete
