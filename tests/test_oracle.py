@@ -2,11 +2,12 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from catalog import ORACLE as ORACLES
+from catalog import QUERIES
 from check import compare, oracle_connection
 
 SF_DIR = "/root/testdata/sf0.001"
-ORACLES = oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -16,16 +17,16 @@ def con():
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_equals_sql(spark, con, name):
-    assert compare(queries()[name](spark, SF_DIR), con, ORACLES[name]) is None
+    assert compare(QUERIES[name](spark, SF_DIR), con, ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_rows_only(spark, name):
-    assert queries()[name](spark, SF_DIR).count() > 0
+    assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
 def test_every_sql_has_a_query():
-    assert set(ORACLES) <= set(queries())
+    assert set(ORACLES) <= set(QUERIES)
 
 
 def test_entry(spark):
