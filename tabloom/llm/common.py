@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import scratch_path
 
 WORD = r"[^\x20\x09-\x0D]+"
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -20,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def c(name: str) -> Column:
     """The column of exactly that name (dots and the like are taken literally)."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -30,19 +34,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _importable(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package as the driver does; clusters ship it themselves."""
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if ROOT not in known:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+
+
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list] | pa.RecordBatch], schema: str,
+    df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, rows: int = 512,
 ) -> DataFrame:
-    """Apply *fn* to each Arrow batch; it returns the output columns as lists or arrays."""
+    """Apply *fn* to slices of at most *rows* rows; it returns the output columns as lists or arrays."""
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
+    _importable(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = fn(batch)
-            yield out if isinstance(out, pa.RecordBatch) else pa.RecordBatch.from_pydict(out)
+            for start in range(0, batch.num_rows, rows):
+                out = fn(batch.slice(start, rows))
+                columns = [
+                    v if isinstance(v, pa.Array) and v.type == f.type else
+                    v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type)
+                    for f, v in ((f, out[f.name]) for f in kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=kind.names)
 
     return df.mapInArrow(run, schema)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def in_fold(doc_id: Column, parts: int, part: int) -> Column:
     """True where crc32 of the id's text modulo *parts* is *part* (a NULL id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts == part

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, perspectives, simhash
+from . import languages, mixing, perspectives, sentencepiece_backend, simhash, toxicity
 from .common import Query, table
 
 
@@ -12,17 +12,32 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_documents(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_backend.encode_decode(table(spark, sf_dir, "documents"))
+
+
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.language_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {
     "op2_simhash_pivots": op2_simhash_pivots,
+    "op3_toxicity_nnpu": op3_toxicity_nnpu,
     "op5_perspective_rotation": op5_perspective_rotation,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op7_language_mixture": op7_language_mixture,
     "op9_mix_sources": op9_mix_sources,
 }
 ORACLE: dict[str, str] = {
