@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import languages, mixing, perspectives, sentencepiece_backend, simhash, toxicity
+from . import edit_embedding, languages, mixing, perspectives, sentencepiece_backend, simhash, toxicity
 from .common import Query, table
 
 
@@ -16,6 +16,10 @@ def op3_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_embedding.edited_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
@@ -35,6 +39,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_simhash_pivots": op2_simhash_pivots,
     "op3_toxicity_nnpu": op3_toxicity_nnpu,
+    "op4_edit_embedding": op4_edit_embedding,
     "op5_perspective_rotation": op5_perspective_rotation,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_mixture": op7_language_mixture,
