@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_embedding, languages, mixing, perspectives, sentencepiece_backend, simhash, toxicity
+from . import edit_embedding, languages, mixing, perspectives, sentencepiece_backend, simhash, suffix_arrays, toxicity
 from .common import Query, table
 
 
@@ -36,6 +36,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_arrays.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_simhash_pivots": op2_simhash_pivots,
     "op3_toxicity_nnpu": op3_toxicity_nnpu,
@@ -44,6 +48,7 @@ QUERIES: dict[str, Query] = {
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_mixture": op7_language_mixture,
     "op9_mix_sources": op9_mix_sources,
+    "op10_suffix_arrays": op10_suffix_arrays,
 }
 ORACLE: dict[str, str] = {
     "op5_perspective_rotation": perspectives.OP5_SQL,
