@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import edit_embedding, languages, mixing, perspectives, sentencepiece_backend, simhash, suffix_arrays, toxicity
+from . import (
+    edit_embedding,
+    languages,
+    mixing,
+    perspectives,
+    posting_lists,
+    sentencepiece_backend,
+    simhash,
+    suffix_arrays,
+    toxicity,
+)
 from .common import Query, table
 
 
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.neighbour_documents(table(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_documents(spark, table(spark, sf_dir, "documents"))
 
@@ -41,6 +55,7 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_posting_lists": op1_posting_lists,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op3_toxicity_nnpu": op3_toxicity_nnpu,
     "op4_edit_embedding": op4_edit_embedding,
