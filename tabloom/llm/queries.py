@@ -8,6 +8,7 @@ from . import (
     edit_embedding,
     languages,
     mixing,
+    personal_data,
     perspectives,
     posting_lists,
     sentencepiece_backend,
@@ -46,6 +47,10 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.language_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.private_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Query] = {
     "op5_perspective_rotation": op5_perspective_rotation,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_language_mixture": op7_language_mixture,
+    "op8_personal_data": op8_personal_data,
     "op9_mix_sources": op9_mix_sources,
     "op10_suffix_arrays": op10_suffix_arrays,
 }
