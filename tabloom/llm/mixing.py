@@ -56,43 +56,39 @@ def mix_plan(
     docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source",
     weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42,
 ) -> DataFrame:
-    """All columns of *docs* plus _size, _source_size, _target and _copies.
+    """row (a struct of all columns of *docs*), size, source_size, target and copies of every document.
 
     A document is taken floor(rate) times, rate = target / size of its source, and
     once more if a hash of seed and id falls below the rest of the rate. Reruns agree
     because the hash is all that decides. NULL texts and texts without words have
     size 0; a source without words has target 0. Rows that share an id share their
-    fate, rows with a NULL id as well. A NULL source is a source of its own. Column
-    names that clash with the added ones are replaced.
+    fate, rows with a NULL id as well. A NULL source is a source of its own.
     """
-    sized = docs.withColumn("_size", word_count(c(text)))
-    plan = source_targets(sized.select(c(source).alias("source"), F.col("_size").alias("size")), weights, share, most)
-    plan = plan.select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    sized = docs.select(
+        F.struct(*[c(n) for n in docs.columns]).alias("row"), c(doc_id).alias("id"), c(source).alias("of"),
+        word_count(c(text)).alias("size"))
+    plan = source_targets(sized.select(F.col("of").alias("source"), "size"), weights, share, most)
     few = plan.limit(BROADCAST_SOURCES + 1).toArrow()
     if few.num_rows <= BROADCAST_SOURCES:
         plan = F.broadcast(docs.sparkSession.createDataFrame(few, schema=plan.schema))
-    kept = [n for n in sized.columns if n not in ("_source", "_source_size", "_target", "_copies", "_rate")]
-    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(c(doc_id).cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(2.0**32)
-    rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(F.lit(0.0))
-    whole = F.floor("_rate")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    whole = F.floor("rate")
     return (
-        sized.select(*[c(n) for n in kept])
-        .join(plan, c(source).eqNullSafe(F.col("_source")), "left")
-        .withColumn("_rate", rate)
-        .withColumn("_copies", (whole + (draw < F.col("_rate") - whole).cast("bigint")).cast("bigint"))
-        .drop("_source", "_rate")
+        sized.join(plan, F.col("of").eqNullSafe(F.col("source")), "left")
+        .withColumn("rate", rate)
+        .select("row", "size", "source_size", "target", (
+            whole + (draw < F.col("rate") - whole).cast("bigint")).cast("bigint").alias("copies"))
     )
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every document as many times as :func:`mix_plan` says, with the columns of *docs*."""
     return (
-        mix_plan(docs, **options)
-        .filter("_copies > 0")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-        .select(*[c(n) for n in docs.columns])
+        mix_plan(docs, **options).filter("copies > 0")
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+        .select("row.*")
     )
 
 
@@ -127,5 +123,4 @@ FROM r
 def mix_documents(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes, repeats counted) of every document."""
     return mix_plan(docs.select("doc_id", "text", "source")).select(
-        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-        F.col("_target").alias("target"), (F.col("_size") * F.col("_copies")).alias("taken"))
+        "row.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

@@ -149,23 +149,19 @@ def fit_toxicity(
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7) -> DataFrame:
-    """All columns of *docs* plus _score and _predicted; the whole text is scored, a NULL one as empty."""
-    names = [n for n in docs.columns if n not in ("_score", "_predicted")]
-    text = names.index("text")
-    kind = docs.select(*[c(n) for n in names]).schema.toDDL()
+    """row (a struct of all columns of *docs*), score and predicted; the whole text is scored, a NULL one as empty."""
+    rows = docs.select(c("text").alias("text"), F.struct(*[c(n) for n in docs.columns]).alias("row"))
 
     def run(batch: pa.RecordBatch) -> dict:
-        scores = [model.score(t) for t in batch.column(text).to_pylist()]
-        return {
-            **{n: batch.column(i) for i, n in enumerate(names)},
-            "_score": scores, "_predicted": [int(s >= threshold) for s in scores]}
+        scores = [model.score(t) for t in batch.column(0).to_pylist()]
+        return {"row": batch.column(1), "score": scores, "predicted": [int(s >= threshold) for s in scores]}
 
-    return map_batches(docs.select(*[c(n) for n in names]), run, f"{kind}, _score double, _predicted int")
+    kind = rows.schema["row"].dataType.simpleString()
+    return map_batches(rows, run, f"row {kind}, score double, predicted int")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = fit_toxicity(docs, labels)
     return score_documents(docs.select("doc_id", "text"), model).select(
-        "doc_id", in_fold(F.col("doc_id"), 3, 1).alias("held_out"), F.col("_score").alias("score"),
-        F.col("_predicted").alias("predicted"))
+        "row.doc_id", in_fold(F.col("row.doc_id"), 3, 1).alias("held_out"), "score", "predicted")
