@@ -237,7 +237,7 @@ def _with_next(docs: DataFrame, pieces: int) -> DataFrame:
     spark: SparkSession = docs.sparkSession
     ids = docs.withColumn("_id", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("bigint")))
     cuts = ids.agg(F.percentile_approx("_id", [i / pieces for i in range(1, pieces)], 10_000)).first()[0] or []
-    edges = [-float("inf"), *sorted({float(x) for x in cuts}), float("inf")]
+    edges = [-float("inf"), *sorted({float(x) for x in cuts} or {0.0}), float("inf")]
     cut = Bucketizer(splits=edges, inputCol="_x", outputCol="_bucket")
     placed = cut.transform(ids.withColumn("_x", F.col("_id").cast("double"))).withColumn(
         "part", F.lit(len(edges)) - F.col("_bucket").cast("int"))
