@@ -8,6 +8,7 @@ import re
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -16,10 +17,12 @@ from .common import c, map_batches
 # Where the public vocabulary files are; any SentencePiece model file will do.
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 MARKER = "▁"
+WORDS = re.compile(f"{MARKER}+[^{MARKER}]*")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 UNIGRAM, BPE = 1, 2
 # Encoded words kept by a worker before it starts afresh.
 MEMO_WORDS = 500_000
+RUN = 256  # new words encoded in a row
 
 
 class PieceTokenizer:
@@ -28,8 +31,8 @@ class PieceTokenizer:
     No piece of a usual model has the space marker behind another character, so words
     are independent: each distinct word is encoded once and remembered. A model with
     such a piece is encoded text by text. New words are encoded in one multithreaded
-    batch and, with ``verify``, compared with the sentencepiece library at once, so
-    parity is known for every text.
+    batch and, with ``verify``, compared with the sentencepiece library at once (a run of
+    words at a time), so parity is known for every text.
     """
 
     def __init__(self, model: bytes, verify: bool = True):
@@ -51,43 +54,92 @@ class PieceTokenizer:
             and not any(re.search(f"[^{MARKER}]{MARKER}", p) for p in usual)
             and not any(p.type == USER_DEFINED for p in self.pieces))
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=model) if verify else None
-        self.memo: dict[str, tuple[list[int], bool]] = {}
+        # what a piece stands for: bytes; a word's first marker becomes a space
+        self.bytes_of = np.array([
+            bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARKER, " ").encode()
+            for p in self.pieces], object)
+        self.starts = np.array([p.piece.startswith(MARKER) for p in self.pieces])
+        self.simple = not (self.spec.precompiled_charsmap or self.spec.remove_extra_whitespaces)
+        self.memo: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # words on which the libraries disagree
 
     def normalized(self, text: str) -> str:
+        if self.by_word and self.simple:
+            return MARKER + text.replace(" ", MARKER) if text else ""
         return self.normalizer.normalize_str(text) if text else ""
 
     def _learn(self, units: list[str], originals: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        same = [True] * len(ids)
+        """Encode *units* in one multithreaded batch and compare with the sentencepiece library.
+
+        Words with one marker are encoded many in a row: a piece that starts with the marker starts a word.
+        """
+        joined = [k for k, u in enumerate(units) if self.by_word and u[0] == MARKER and u[1:] and u[1] != MARKER]
+        runs = [joined[k:k + RUN] for k in range(0, len(joined), RUN)]
+        alone = set(joined)
+        runs += [[k] for k in range(len(units)) if k not in alone]
+        texts = ["".join([units[k] for k in run]) for run in runs]
+        found = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        known = found
         if self.reference is not None:
-            same = [a == b for a, b in zip(ids, self.reference.encode(originals, num_threads=1))]
-        self.memo.update(zip(units, zip(ids, same)))
-
-    def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+            known = [np.array(i, np.int32) for i in self.reference.encode(
+                [" ".join([originals[k] for k in run]) for run in runs], num_threads=1)]
+        for run, ids, theirs in zip(runs, found, known):
+            if len(run) > 1:
+                parts = np.split(ids, np.flatnonzero(self.starts[ids])[1:])
+            else:
+                parts = [ids]
+            self.memo.update(zip([units[k] for k in run], [p.tobytes() for p in parts]))
+            if units[run[0]] == MARKER and self.reference is not None:  # no text encodes to this alone
+                theirs = np.array([self.reference.piece_to_id(MARKER)], np.int32)
+            if not np.array_equal(ids, theirs):
+                self.odd.update(
+                    units[k] for k, p in zip(run, parts)
+                    if len(run) == 1 or p.tolist() != self.reference.encode(originals[k]))
+
+    def _words(self, text: str) -> list[str]:
+        """Units that are encoded on their own: words with the markers before them."""
+        if not text:
+            return []
+        if self.simple and "  " not in text and MARKER not in text and text[-1] != " " and text[0] != " ":
+            return [MARKER + w for w in text.split(" ")]
+        return WORDS.findall(self.normalized(text))
+
+    def encode_batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Token ids of each text, and whether the sentencepiece library gives the same ones."""
-        if not self.by_word:
-            ready = [self.normalized(t) for t in texts]
-            self.memo.clear()
-            self._learn(ready, texts)
-            return [self.memo[t][0] for t in ready], [self.memo[t][1] for t in ready]
-        words = re.compile(f"{MARKER}+[^{MARKER}]*")
-        split = [words.findall(self.normalized(t)) for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
         memo = self.memo
-        new = [w for w in set(chain.from_iterable(split)) if w not in memo]
+        if len(memo) > MEMO_WORDS or not self.by_word:
+            memo.clear()
+            self.odd.clear()
+        if self.by_word:
+            split = [self._words(t) for t in texts]
+            new = [w for w in set(chain.from_iterable(split)) if w not in memo]
+            originals = [w[1:].replace(MARKER, " ") for w in new]  # the reference adds the first marker itself
+        else:
+            split = [[self.normalized(t)] for t in texts]
+            new, originals = [ws[0] for ws in split], texts
         if new:
-            # the reference adds the first marker itself
-            self._learn(new, [w[1:].replace(MARKER, " ") for w in new])
-        ids = [list(chain.from_iterable([memo[w][0] for w in ws])) for ws in split]
-        return ids, [all([memo[w][1] for w in set(ws)]) for ws in split]
-
-    def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            self._learn(new, originals)
+        ids = [np.frombuffer(b"".join([memo[w] for w in ws]), np.int32) for ws in split]
+        return ids, [not self.odd or self.odd.isdisjoint(ws) for ws in split]
+
+    def decode_batch(self, ids: list) -> list[str]:
+        """The texts of token ids; what is not valid UTF-8 goes through the library's own decoder."""
+        out = []
+        for one in ids:
+            raw = b"".join(self.bytes_of[np.asarray(one, np.int64)].tolist())
+            try:
+                text = raw.decode()
+            except UnicodeDecodeError:
+                text = self.tokenizer.decode(list(map(int, one)), skip_special_tokens=False)
+                out.append(text)
+                continue
+            out.append(text[1:] if self.spec.add_dummy_prefix and text.startswith(" ") else text)
+        return out
 
     def plain(self, text: str) -> str:
         """What decoding the ids of *text* must give: the normalised text without markers."""
+        if self.by_word and self.simple:
+            return text.replace(MARKER, " ")
         shown = self.normalized(text).replace(MARKER, " ")
         return shown[1:] if self.spec.add_dummy_prefix and shown.startswith(" ") else shown
 
@@ -161,8 +213,11 @@ def encode_decode(
         texts = [t or "" for t in batch.column(1).to_pylist()]
         ids, same = tokenizer.encode_batch(texts)
         decoded = tokenizer.decode_batch(ids)
+        sizes = np.array([len(i) for i in ids], np.int64)
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(np.concatenate([*ids, np.empty(0, np.int32)])))
         return {
-            "doc_id": batch.column(0), "n_tokens": [len(i) for i in ids], "token_ids": ids, "parity": same,
+            "doc_id": batch.column(0), "n_tokens": pa.array(sizes), "token_ids": lists, "parity": same,
             "round_trip": [d == tokenizer.plain(t) for d, t in zip(decoded, texts)],
             "decoded_sha256": [hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for d in decoded]}
 
