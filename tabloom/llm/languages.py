@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,29 +44,35 @@ class LanguageModel:
                 store[key] = store.get(key, 0) + n
             self.total += n
         self.none = np.zeros(k)
-        self.gram_memo: dict[str, np.ndarray] = {}
-        self.word_memo: dict[str, np.ndarray] = {}
+        self.gram_rows, self.gram_logs = {}, np.empty((0, k))
+        self.word_rows, self.word_logs = {}, np.empty((0, k))
 
     def gram(self, g: str) -> np.ndarray:
-        found = self.gram_memo.get(g)
-        if found is None:
-            s, none = self.strength, self.none
-            one = (self.uni.get(g[2], none) + 0.5) / (self.total + 0.5 * (len(self.uni) + 1))
-            two = (self.bi.get(g[1:], none) + s * one) / (self.bi_of.get(g[1], none) + s)
-            three = (self.tri.get(g, none) + s * two) / (self.tri_of.get(g[:2], none) + s)
-            if len(self.gram_memo) > MEMO_WORDS:
-                self.gram_memo.clear()
-            found = self.gram_memo[g] = np.log(three)
-        return found
-
-    def word(self, w: str) -> np.ndarray:
-        """Log-likelihood of the word under each language."""
-        found = self.word_memo.get(w)
-        if found is None:
-            if len(self.word_memo) > MEMO_WORDS:
-                self.word_memo.clear()
-            found = self.word_memo[w] = np.sum([self.gram(g) for g in trigrams(w)], axis=0)
-        return found
+        """Log-probability of a letter after the two before it, under each language."""
+        s, none = self.strength, self.none
+        one = (self.uni.get(g[2], none) + 0.5) / (self.total + 0.5 * (len(self.uni) + 1))
+        two = (self.bi.get(g[1:], none) + s * one) / (self.bi_of.get(g[1], none) + s)
+        return np.log((self.tri.get(g, none) + s * two) / (self.tri_of.get(g[:2], none) + s))
+
+    def logs(self, found: list[Counter]) -> np.ndarray:
+        """Log-likelihood of every word of every counter under each language; words seen before are looked up."""
+        if len(self.word_rows) > MEMO_WORDS or len(self.gram_rows) > MEMO_WORDS:
+            self.gram_rows, self.gram_logs = {}, self.gram_logs[:0]
+            self.word_rows, self.word_logs = {}, self.word_logs[:0]
+        known = self.word_rows
+        new = [w for w in set(chain.from_iterable(found)) if w not in known]
+        if new:
+            grams = [trigrams(w) for w in new]
+            rows = self.gram_rows
+            fresh = [g for g in set(chain.from_iterable(grams)) if g not in rows]
+            if fresh:
+                rows.update(zip(fresh, range(len(rows), len(rows) + len(fresh))))
+                self.gram_logs = np.concatenate((self.gram_logs, [self.gram(g) for g in fresh]))
+            at = np.fromiter((rows[g] for g in chain.from_iterable(grams)), np.int64)
+            begin = np.cumsum([0] + [len(g) for g in grams[:-1]])
+            self.word_logs = np.concatenate((self.word_logs, np.add.reduceat(self.gram_logs[at], begin, axis=0)))
+            known.update(zip(new, range(len(known), len(known) + len(new))))
+        return self.word_logs[np.fromiter((known[w] for ws in found for w in ws), np.int64)]
 
     def mixtures(
         self, texts: list[str | None], penalty: float = 3.0, rounds: int = 15,
@@ -83,7 +90,7 @@ class LanguageModel:
         n = np.array([ws.total() for _, ws in counted], float)
         lengths = np.array([len(ws) for _, ws in counted])
         weight = np.concatenate([np.fromiter(ws.values(), float, len(ws)) for _, ws in counted])
-        logs = np.array([self.word(w) for _, ws in counted for w in ws])
+        logs = self.logs([ws for _, ws in counted])
         top = logs.max(axis=1)
         like = np.exp(logs - top[:, None])
 
@@ -94,7 +101,7 @@ class LanguageModel:
             begin, owner = np.concatenate(([0], np.cumsum(size)[:-1])), np.repeat(np.arange(len(which)), size)
             pi = np.where(mask, shares + 1e-3, 0)
             pi /= pi.sum(1, keepdims=True)
-            for _ in range(rounds):
+            for _ in range(rounds if mask.sum(1).max() > 1 else 0):  # one language has share one
                 joint = p * pi[owner]
                 joint *= (w / np.maximum(joint.sum(1), 1e-300))[:, None]
                 pi = np.add.reduceat(joint, begin, axis=0) / n[which, None]
@@ -114,7 +121,11 @@ class LanguageModel:
             # at once what has next to no share, else the smallest
             gone = ranked <= np.maximum(least, np.minimum(0.002, ranked.max(1, where=mask[open_], initial=0) / 2))[:, None]
             trial = mask[open_] & ~gone
-            pi, value = em(open_, trial, shares[open_])
+            pi, value = np.empty(trial.shape), np.empty(len(trial))
+            alone = trial.sum(1) == 1
+            for some in (np.flatnonzero(alone), np.flatnonzero(~alone)):
+                if len(some):
+                    pi[some], value[some] = em(open_[some], trial[some], shares[open_[some]])
             fine = fit[open_] - value < penalty * np.log(n[open_] + 1) * gone.sum(1)
             done = open_[fine]
             mask[done], shares[done], fit[done] = trial[fine], pi[fine], value[fine]
