@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.clean import (
     Cleaner,
     dedupe_rows,
     describe_numeric,
-    drop_null_rows,
     duplicate_count,
     fix_dtypes,
     null_counts,
@@ -58,9 +60,39 @@ def _(spark, sf_dir):
     return load(spark, f"{sf_dir.rstrip('/')}/customer.parquet")
 
 
-@query("dataset_listing")
+@query("load_csv_ids", """SELECT o_orderkey + 1000000000000000000 AS long_id,
+    CAST(o_orderkey + 1 AS VARCHAR) || '0000000000000000000001' AS wide_id, o_custkey FROM orders""")
+def _(spark, sf_dir):
+    # 19 digits stay bigint; 20 and more become exact decimals, shown as text
+    path = scratch_path(spark, "ids") + ".csv"
+    table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") + 1000000000000000000).alias("long_id"),
+        F.concat((F.col("o_orderkey") + 1).cast("string"), F.lit("0000000000000000000001")).alias("wide_id"),
+        "o_custkey").write.csv(path, header=True)
+    return load(spark, path).withColumn("wide_id", F.col("wide_id").cast("string"))
+
+
+@query("load_csv_text", "SELECT doc_id, text, lang FROM documents")
+def _(spark, sf_dir):
+    # whole texts with line breaks, quotes and commas
+    path = scratch_path(spark, "texts") + ".csv"
+    table(spark, sf_dir, "documents").select("doc_id", "text", "lang").write.csv(
+        path, header=True, quoteAll=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return load(spark, path, multiline=True)
+
+
+LISTED = ["customer", "documents", "events", "lineitem", "orders", "part", "supplier"]
+
+
+@query("dataset_listing", " UNION ALL ".join(
+    f"SELECT '{n}.parquet' AS name, count(*) AS n_rows FROM {n}" for n in LISTED))
 def _(spark, sf_dir):
-    return list_datasets(spark, sf_dir, "*.parquet")
+    # the listed files and the rows in each
+    names = [r["name"] for r in list_datasets(spark, sf_dir, "*.parquet").collect()]
+    counted = [
+        load(spark, f"{sf_dir.rstrip('/')}/{n}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("name"), "n_rows")
+        for n in names if n.removesuffix(".parquet") in LISTED]
+    return reduce(DataFrame.unionAll, counted)
 
 
 @query("preview_top_n", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 20")
@@ -177,7 +209,7 @@ def _(spark, sf_dir):
 @query("clean_drop_nulls", f"WITH {ITEMS} SELECT * FROM items WHERE l_quantity IS NOT NULL AND l_tax IS NOT NULL "
                            "AND l_returnflag IS NOT NULL")
 def _(spark, sf_dir):
-    return drop_null_rows(items(spark, sf_dir))
+    return Cleaner({"fill_nulls": "drop", "min_fraction": 0.5}).clean(items(spark, sf_dir))
 
 
 # --- splits -------------------------------------------------------------------------------

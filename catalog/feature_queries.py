@@ -164,6 +164,49 @@ def _(spark, sf_dir):
     return LabelEncode(cols=["o_custkey"], max_categories=64).fit(early).transform(df).drop("o_orderdate")
 
 
+@query("label_encode_double", f"""WITH {_codes('k', 'l_quantity', 'lineitem')}
+    SELECT form, l_orderkey, l_linenumber, CAST(code AS BIGINT) AS l_quantity
+    FROM lineitem JOIN k ON l_quantity = v, (VALUES ('list'), ('table')) AS f(form)""")
+def _(spark, sf_dir):
+    # whether the codes are kept in the model or joined from a table, they are the same
+    df = table(spark, sf_dir, "lineitem").select(*KEY, "l_quantity")
+    out = [
+        LabelEncode(cols=["l_quantity"], max_categories=n).fit(df).transform(df).select(F.lit(form).alias("form"), "*")
+        for form, n in (("list", 1000), ("table", 8))]
+    return out[0].unionAll(out[1])
+
+
+@query("onehot_wide", """SELECT p_partkey, 'bucket_' || (p_partkey % 1500) AS "column", 1 AS ones FROM part""")
+def _(spark, sf_dir):
+    # up to 1,500 categories: still one int column each; shown as (key, column of the one)
+    df = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 1500).alias("bucket"))
+    out = OneHotEncode(cols=["bucket"]).fit(df).transform(df)
+    hot = [n for n in out.columns if n != "p_partkey"]
+    cells = F.array(*[F.col(n) for n in hot])
+    return out.select(
+        "p_partkey", F.element_at(F.array(*[F.lit(n) for n in hot]), F.array_position(cells, 1).cast("int")).alias("column"),
+        F.aggregate(cells, F.lit(0), lambda a, x: a + x).alias("ones"))
+
+
+@query("onehot_after_impute", """WITH p AS (SELECT p_partkey, CASE WHEN p_size % 7 <> 0 THEN p_size % 5 END AS x FROM part),
+    f AS (SELECT p_partkey, coalesce(CAST(x AS DOUBLE), (SELECT median(x) FROM p)) AS x FROM p)
+    SELECT p_partkey, """ + ", ".join(f'CAST(x = {v}.0 AS INTEGER) AS "x_{v}.0"' for v in range(5)) + " FROM f")
+def _(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(
+        "p_partkey", F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 5).alias("x"))
+    steps = [{"type": "median_impute", "cols": ["x"]}, {"type": "onehot_encode", "cols": ["x"]}]
+    return FeaturePipeline(steps, exclude=["p_partkey"]).fit(df).transform(df)
+
+
+@query("mean_impute_int", """SELECT n_name, coalesce(CAST(CASE WHEN n_nationkey <> 12 THEN n_nationkey END AS DOUBLE),
+    (SELECT avg(n_nationkey) FROM nation WHERE n_nationkey <> 12)) AS n_nationkey FROM nation""")
+def _(spark, sf_dir):
+    # the mean is a whole number; the column becomes double all the same
+    df = table(spark, sf_dir, "nation").select(
+        "n_name", F.when(F.col("n_nationkey") != 12, F.col("n_nationkey")).alias("n_nationkey"))
+    return MeanImpute(cols=["n_nationkey"]).fit(df).transform(df)
+
+
 # --- derived features --------------------------------------------------------------------
 
 @query("log_transform", """SELECT o_orderkey, round(ln(1 + o_totalprice), 6) AS o_totalprice,

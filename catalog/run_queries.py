@@ -102,14 +102,23 @@ RUNS = f"""v AS (SELECT *, CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS ve
       CASE WHEN reg THEN floor(o_totalprice / 2) / 1000.0::DOUBLE END AS mae,
       CASE WHEN reg THEN floor(o_totalprice / ver) / 1000.0::DOUBLE END AS rmse,
       o_orderkey = (SELECT max(o_orderkey) FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')
-        AS is_champion, o_orderkey FROM v)"""
+        AS is_champion, o_orderkey, reg FROM v)"""
 VISIBLE = ["run_id", "timestamp", "model_type", "model_path", "train_rows", "test_rows", "duration_seconds", "is_champion"]
 
 
 @query("run_log_current", f"""WITH {RUNS} SELECT run_id, "timestamp", model_type, 'models/' || o_orderkey::VARCHAR AS model_path,
-    train_rows, test_rows, duration_seconds, is_champion FROM runs""")
-def _(spark, sf_dir):
-    return runs(spark, sf_dir).select(*VISIBLE)
+    train_rows, test_rows, duration_seconds, is_champion, '{{"model":"' || model_type || '"}}' AS config,
+    '[]' AS pipeline_summary, 'orders.parquet' AS dataset_path,
+    '{{"type":"' || tag_type || '","queue":"' || tag_queue || '"}}' AS tags,
+    CASE WHEN reg THEN 'regression' ELSE 'classification' END AS task, accuracy, f1_weighted, mae, rmse,
+    CASE WHEN NOT reg THEN '[[' || o_orderkey || ',0],[1,' || o_orderkey || ']]' END AS confusion_matrix FROM runs""")
+def _(spark, sf_dir):
+    # all fields; the metrics are taken apart, as engines write numbers in JSON differently
+    texts = {n: F.get_json_object("metrics", f"$.{n}") for n in ("task", "confusion_matrix")}
+    numbers = {n: F.get_json_object("metrics", f"$.{n}").cast("double") for n in ("accuracy", "f1_weighted", "mae", "rmse")}
+    return runs(spark, sf_dir).select(
+        *VISIBLE, "config", "pipeline_summary", "dataset_path", "tags",
+        *[v.alias(n) for n, v in {**texts, **numbers}.items()])
 
 
 @query("run_log_after_delete", """SELECT md5(o_orderkey::VARCHAR) AS run_id FROM orders

@@ -78,7 +78,7 @@ def check_unique_names(names: Iterable[str]) -> None:
 def require_columns(df: DataFrame, names: Iterable[str], what: str = "Column") -> None:
     for name in names:
         if name not in df.columns:
-            raise KeyError(f"{what} '{name}' not found. Available columns: {df.columns}")
+            raise KeyError(f"{what} '{name}' is not among {df.columns}")
 
 
 def replace_columns(df: DataFrame, new: dict[str, Column]) -> DataFrame:

@@ -106,15 +106,22 @@ class Frequencies:
     def mode(self) -> Any:
         return self.values[0][0] if self.values else None
 
-    def filled(self, value: Any) -> "Frequencies":
+    def filled(self, value: Any) -> "Frequencies | None":
+        """Counts after every null is replaced by *value*; None if they can't be told from the head."""
         if self.nulls == 0:
             return self
-        if not self.complete:
-            return replace(self, nulls=0, values=tuple(
-                (v, n + self.nulls if v == value else n) for v, n in self.values))
         counts = dict(self.values)
+        if not self.complete and value not in counts:
+            return None
         counts[value] = counts.get(value, 0) + self.nulls
-        return Frequencies(0, order_counts(counts), True)
+        return Frequencies(0, order_counts(counts), self.complete)
+
+    def as_doubles(self) -> "Frequencies":
+        """Counts of the column cast to double; values that become equal are added up."""
+        counts: dict[float, int] = {}
+        for v, n in self.values:
+            counts[float(v)] = counts.get(float(v), 0) + n
+        return replace(self, values=order_counts(counts))
 
 
 def order_counts(counts: Mapping[Any, int]) -> tuple[tuple[Any, int], ...]:

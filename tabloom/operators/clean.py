@@ -74,7 +74,7 @@ def fill_values(df: DataFrame, strategy: str) -> dict[str, Any]:
         return {n: v[0] for n, v in found.items()}
     if strategy == "mode":
         return {n: f.mode for n, f in frequencies(df, dict.fromkeys(df.columns, 1)).items()}
-    raise ValueError(f"Unknown fill_nulls strategy '{strategy}'. Valid options: {sorted(FILL_STRATEGIES)}")
+    raise ValueError(f"fill_nulls must be one of {sorted(FILL_STRATEGIES)}, not '{strategy}'")
 
 
 class Cleaner:
@@ -92,8 +92,7 @@ class Cleaner:
         self.fix_dtypes = bool(config.get("fix_dtypes", True))
         self.min_fraction = float(config.get("min_fraction", 0.0))
         if self.strategy not in FILL_STRATEGIES:
-            raise ValueError(
-                f"Unknown fill_nulls strategy '{self.strategy}'. Valid options: {sorted(FILL_STRATEGIES)}")
+            raise ValueError(f"fill_nulls must be one of {sorted(FILL_STRATEGIES)}, not '{self.strategy}'")
 
     def clean(self, df: DataFrame) -> DataFrame:
         numbers: list[str] | None = None
@@ -109,7 +108,7 @@ class Cleaner:
             df = to_numbers(df, numbers if numbers is not None else number_columns(df, self.min_fraction))
         if self.strategy == "drop":
             return drop_null_rows(df)
-        return fill_nulls(df, fill_values(df, self.strategy))
+        return fill_nulls(df, fill_values(df, self.strategy), double=self.strategy != "mode")
 
     @staticmethod
     def _settle(df: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Encoding steps: one-hot indicators and integer labels.
 
-The fitted categories are a short list kept in the model as long as there are
-at most ``max_categories`` of them. A column with more gets a category table
-written to the shared folder: its codes are joined in, and one-hot gives one
-sparse vector column instead of one dense column per category.
+One-hot gives one int column per category, however many there are, or with
+``output="sparse"`` one vector column; nothing but that option decides. Labels
+are the ranks of the categories' text. Up to ``max_categories`` of them are kept
+in the model, more are written as a table and joined in; the codes are the same.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from ..session import local_frame, scratch_path
 from .step import Step, StepModel
 
 MAX_CATEGORIES = 1000
+ALL_CATEGORIES = 1 << 30
 # Beyond this many categories a hash join is cheaper than scanning a list per row.
 LIST_LOOKUP = 64
 
@@ -129,8 +130,7 @@ class LabelEncodeModel(StepModel):
         types = {f.name: f.dataType for f in dataset.schema.fields}
         out = replace_columns(out, {n: label_code(c(n), v, types[n]) for n, v in short.items()})
         for name, values in long.items():
-            # at most max_categories rows, so its size is known to fit in memory
-            out = label_join(out, c(name), F.broadcast(list_table(out, values, types[name])), name)
+            out = label_join(out, c(name), list_table(out, values, types[name]), name)
         for name, info in self.fitted["tables"].items():
             if name in dataset.columns:
                 table = dataset.sparkSession.read.parquet(info["path"])
@@ -149,6 +149,12 @@ class LabelEncodeModel(StepModel):
         stats.forget(self.fitted["tables"])
 
 
+def category_texts(df: DataFrame, categories: list[Any], dtype: T.DataType) -> list[str]:
+    """The categories as Spark writes them, which is what category tables hold."""
+    table = list_table(df, categories, dtype).select("code", F.col("value").cast("string").alias("text"))
+    return [r["text"] for r in sorted(table.collect(), key=lambda r: r["code"])]
+
+
 class _Encode(Step):
     def limit(self) -> int:
         return int(self.option("max_categories", MAX_CATEGORIES))
@@ -156,42 +162,56 @@ class _Encode(Step):
     def expect(self, stats):
         stats.expect("frequencies", self.columns(stats.df.schema), self.limit())
 
-    def found(self, stats: TrainingStats) -> tuple[dict[str, list[Any]], dict[str, dict[str, Any]]]:
-        """Short category lists (sorted) and category tables for the long ones."""
-        cols = self.columns(stats.df.schema, warn=True)
-        lists: dict[str, list[Any]] = {}
-        tables: dict[str, dict[str, Any]] = {}
-        for name, f in stats.need_frequencies(cols, self.limit()).items():
-            if f.complete:
-                lists[name] = sorted((json_value(v) for v, _ in f.values), key=self.order)
-            else:
-                warnings.warn(
-                    f"{type(self).__name__}: '{name}' has more than {self.limit()} categories; "
-                    "using a category table", UserWarning, stacklevel=3)
-                path = category_table(stats.df, name)
-                tables[name] = {"path": path, "size": stats.df.sparkSession.read.parquet(path).count()}
-        return lists, tables
-
-    @staticmethod
-    def order(value: Any) -> Any:
-        return value
+    def tables(self, stats: TrainingStats, cols: list[str]) -> dict[str, dict[str, Any]]:
+        paths = {name: category_table(stats.df, name) for name in cols}
+        return {n: {"path": p, "size": stats.df.sparkSession.read.parquet(p).count()} for n, p in paths.items()}
 
 
 class OneHotEncode(_Encode):
-    """``onehot_encode{cols}``: int columns ``col_category`` in sorted category order."""
+    """``onehot_encode{cols, output="dense"|"sparse"}``.
+
+    dense: int columns ``col_category`` in sorted category order, which become part of
+    the schema, so all categories come to the driver. sparse: one vector ``col_vec`` in
+    the order of the categories' text, which never leave Spark.
+    """
+
+    def limit(self):
+        return ALL_CATEGORIES
+
+    def sparse(self) -> bool:
+        output = self.option("output", "dense")
+        if output not in ("dense", "sparse"):
+            raise ValueError(f"one-hot output is 'dense' or 'sparse', not '{output}'")
+        return output == "sparse"
+
+    def expect(self, stats):
+        if not self.sparse():
+            super().expect(stats)
 
     def learn(self, stats):
-        lists, tables = self.found(stats)
-        return OneHotModel({"categories": lists, "tables": tables})
+        cols = self.columns(stats.df.schema, warn=True)
+        if self.sparse():
+            return OneHotModel({"categories": {}, "tables": self.tables(stats, cols)})
+        found = stats.need_frequencies(cols, self.limit())
+        lists = {n: [json_value(v) for v in sorted(v for v, _ in f.values)] for n, f in found.items()}
+        return OneHotModel({"categories": lists, "tables": {}})
 
 
 class LabelEncode(_Encode):
-    """``label_encode{cols}``: code by text order of the value, so "10" < "2"."""
-
-    @staticmethod
-    def order(value):
-        return str(value)
+    """``label_encode{cols, max_categories}``: code by text order of the value, so "10" < "2"."""
 
     def learn(self, stats):
-        lists, tables = self.found(stats)
-        return LabelEncodeModel({"categories": lists, "tables": tables})
+        cols = self.columns(stats.df.schema, warn=True)
+        types = {f.name: f.dataType for f in stats.df.schema.fields}
+        lists, long = {}, []
+        for name, f in stats.need_frequencies(cols, self.limit()).items():
+            if f.complete:
+                values = [json_value(v) for v, _ in f.values]
+                texts = dict(zip(values, category_texts(stats.df, values, types[name])))
+                lists[name] = sorted(values, key=texts.__getitem__)
+            else:
+                warnings.warn(
+                    f"LabelEncode: '{name}' has more than {self.limit()} categories; using a category table",
+                    UserWarning, stacklevel=3)
+                long.append(name)
+        return LabelEncodeModel({"categories": lists, "tables": self.tables(stats, long)})

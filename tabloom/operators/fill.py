@@ -14,35 +14,30 @@ from ..functions.stats import TrainingStats, json_value, literal
 from .step import Step, StepModel
 
 
-def fill_type(dtype: T.DataType, value: Any) -> T.DataType:
-    """Integer columns become double when the fill value has a fraction."""
-    if isinstance(value, float) and isinstance(dtype, T.IntegralType) and not value.is_integer():
-        return T.DoubleType()
-    if isinstance(value, float) and isinstance(dtype, T.DecimalType):
-        return T.DoubleType()
-    return dtype
-
-
-def fill_nulls(df: DataFrame, values: dict[str, Any]) -> DataFrame:
-    """Replace nulls of each column by its value; one projection."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    new = {}
-    for name, value in values.items():
-        if name in types and value is not None:
-            dtype = fill_type(types[name], value)
-            new[name] = F.coalesce(c(name).cast(dtype), literal(value, dtype))
+def fill_nulls(df: DataFrame, values: dict[str, Any], double: bool = False) -> DataFrame:
+    """Replace nulls of each column by its value; one projection.
+
+    With *double* (means, medians) every column becomes a double, whatever its type and
+    its value: the schema never follows the data. A value of None leaves the nulls.
+    """
+    types = {f.name: T.DoubleType() if double else f.dataType for f in df.schema.fields}
+    new = {
+        name: F.coalesce(c(name).cast(types[name]), literal(value, types[name]))
+        for name, value in values.items() if name in types and (double or value is not None)}
     return replace_columns(df, new)
 
 
 class FillModel(StepModel):
-    """State: ``{"values": {column: fill value}}``; None leaves the nulls."""
+    """State: ``{"values": {column: fill value}, "double": bool}``; None leaves the nulls."""
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        return fill_nulls(dataset, self.fitted["values"])
+        return fill_nulls(dataset, self.fitted["values"], self.fitted.get("double", False))
 
     def carry(self, stats: TrainingStats, schema: T.StructType) -> None:
         types = {f.name: f.dataType for f in schema.fields}
         for name, value in self.fitted["values"].items():
+            if name in stats.frequencies and self.fitted.get("double"):
+                stats.frequencies[name] = stats.frequencies[name].as_doubles()
             if value is None or name not in types:
                 continue
             if name in stats.moments:
@@ -56,7 +51,11 @@ class FillModel(StepModel):
             else:
                 stats.medians.pop(name, None)
             if name in stats.frequencies:
-                stats.frequencies[name] = stats.frequencies[name].filled(value)
+                filled = stats.frequencies[name].filled(value)
+                if filled is None:
+                    del stats.frequencies[name]
+                else:
+                    stats.frequencies[name] = filled
 
 
 def _warn_empty(step: str, values: dict[str, Any]) -> None:
@@ -77,7 +76,7 @@ class MeanImpute(Step):
         cols = self.columns(stats.df.schema, warn=True)
         values = {name: m.mean for name, m in stats.need_moments(cols).items()}
         _warn_empty("MeanImpute", values)
-        return FillModel({"values": values})
+        return FillModel({"values": values, "double": True})
 
 
 class MedianImpute(Step):
@@ -91,7 +90,7 @@ class MedianImpute(Step):
     def learn(self, stats):
         values = stats.need_medians(self.columns(stats.df.schema, warn=True))
         _warn_empty("MedianImpute", values)
-        return FillModel({"values": values})
+        return FillModel({"values": values, "double": True})
 
 
 class ModeImpute(Step):

@@ -113,7 +113,7 @@ def batch_predict(run_log: RunLog, df: DataFrame, key: list[str]) -> DataFrame:
     """Score a frame with the champion: key, prediction, and which model it was."""
     champion = run_log.champion()
     if champion is None or not champion["model_path"]:
-        raise FileNotFoundError("No champion model found. Promote a run first.")
+        raise FileNotFoundError("no run with a model has been promoted")
     return score(load_model(champion["model_path"]), df, key, champion["run_id"], champion["model_type"])
 
 

@@ -26,7 +26,7 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -198,7 +198,7 @@ def register_model(name: str, task: str, build: Callable[[dict[str, Any], Traini
 
 def model_kind(name: str) -> ModelKind:
     if name not in MODELS:
-        raise ValueError(f"Unknown model_type '{name}'. Supported types: {sorted(MODELS)}")
+        raise ValueError(f"no model is called '{name}'; known: {sorted(MODELS)}")
     return MODELS[name]
 
 
@@ -282,14 +282,39 @@ class Trainer:
         return fitted
 
 
+def _with_tables(stage: Any, place: Callable[[str, str], str]) -> Any:
+    """The stage with each category table's path replaced by ``place(column, path)``."""
+    if not (isinstance(stage, StepModel) and stage.fitted.get("tables")):
+        return stage
+    tables = {n: {**info, "path": place(n, info["path"])} for n, info in stage.fitted["tables"].items()}
+    return type(stage)({**stage.fitted, "tables": tables})
+
+
 def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+    """Save the model with copies of its category tables, so that the folder is all that scoring needs."""
+    root, tables = path.rstrip("/"), {}
+    spark = SparkSession.active()
+
+    def inside(i: int) -> Callable[[str, str], str]:
+        def place(name: str, source: str) -> str:
+            target = f"tables/{i}-{len(tables)}"
+            tables[target] = spark.read.parquet(source)
+            return target
+
+        return place
+
+    stages = [_with_tables(stage, inside(i)) for i, stage in enumerate(model.stages)]
+    PipelineModel(stages).write().overwrite().save(root)
+    for target, table in tables.items():
+        table.write.parquet(f"{root}/{target}")
 
 
 def load_model(path: str) -> PipelineModel:
+    root = path.rstrip("/")
     try:
-        return PipelineModel.load(path)
+        model = PipelineModel.load(root)
     except Exception as error:
         if "does not exist" in str(error) or "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"Model not found: '{path}'") from error
+            raise FileNotFoundError(f"there is no model at {path}") from error
         raise
+    return PipelineModel([_with_tables(stage, lambda _, inner: f"{root}/{inner}") for stage in model.stages])

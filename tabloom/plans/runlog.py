@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import datetime
 import json
+import random
 import time
 import uuid
 from collections.abc import Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.errors import AnalysisException
@@ -59,14 +61,10 @@ def current_runs(events: DataFrame) -> DataFrame:
     replaces the flag by the logged one. So the flag holds for the last promoted
     run, unless logged anew since, and for runs logged as champion after that.
     """
-    fields = [n for n in RUN_SCHEMA.names if n != "run_id"]
-    # one aggregate per field, so that fields a query does not use are pruned
-    newest = (
-        events.filter(F.col("event").isin("log", "delete"))
-        .groupBy("run_id")
-        .agg(F.max("seq").alias("seq"), *[F.max_by(n, "seq").alias(n) for n in ["event", *fields]])
-        .filter(F.col("event") == "log")
-    )
+    # the newest event of a run by number alone, then its record: a run whose newest event
+    # is a delete finds no record; filters on run_id reach both sides
+    last = events.filter(F.col("event").isin("log", "delete")).groupBy("run_id").agg(F.max("seq").alias("seq"))
+    newest = events.filter(F.col("event") == "log").join(last, ["run_id", "seq"])
     promotes = events.filter(F.col("event") == "promote")
     last_seq = promotes.agg(F.max("seq")).scalar()
     last_run = promotes.agg(F.max_by("run_id", "seq")).scalar()
@@ -208,21 +206,26 @@ def compare_runs(runs: DataFrame, run_ids: Sequence[str]) -> DataFrame:
     Unknown ids are skipped. The metric names come from the few chosen runs.
     """
     spark = runs.sparkSession
-    wanted = local_frame(spark, list(enumerate(run_ids)), "pos int, wanted string")
-    short = F.length("wanted") == SHORT_ID
-    full = wanted.filter(~short).join(runs, F.col("wanted") == F.col("run_id"))
-    by_prefix = wanted.filter(short).join(runs, F.col("wanted") == F.substring("run_id", 1, SHORT_ID))
-    # an 8-character prefix counts only if it names exactly one run
-    single = Window.partitionBy("pos")
-    by_prefix = by_prefix.withColumn("_hits", F.count(F.lit(1)).over(single)).filter("_hits = 1").drop("_hits")
-    # at most one row per wanted id
-    chosen = local_frame(spark, full.unionByName(by_prefix).collect(), full.schema)
-    names = chosen.select("pos", F.posexplode(F.map_keys(scalar_metrics(json_map("metrics")))).alias("at", "name"))
-    seen = names.groupBy("name").agg(F.min(F.struct("pos", "at")).alias("first")).orderBy("first").collect()
+    if not run_ids:
+        return runs.select("run_id", "timestamp", "model_type").limit(0)
+    named = [
+        F.col("run_id").startswith(i) if len(i) == SHORT_ID else F.col("run_id") == i for i in run_ids]
+    rows = runs.filter(reduce(Column.__or__, named)).select(
+        F.explode(F.array_compact(F.array(*[F.when(hit, F.lit(k)) for k, hit in enumerate(named)]))).alias("pos"),
+        "run_id", "timestamp", "model_type", "metrics", F.map_keys(scalar_metrics(json_map("metrics"))).alias("names"))
+    # one row per wanted id; an 8-character prefix counts only if it names exactly one run
+    found = (
+        rows.groupBy("pos").agg(F.count(F.lit(1)).alias("hits"), F.first(F.struct(*rows.columns)).alias("r"))
+        .filter("hits = 1").select("r.*").collect())
+    found.sort(key=lambda r: r["pos"])
+    names = list(dict.fromkeys(n for r in found for n in r["names"] or []))
+    chosen = local_frame(
+        spark, [(r["pos"], r["run_id"], r["timestamp"], r["model_type"], r["metrics"]) for r in found],
+        "pos int, run_id string, timestamp string, model_type string, metrics string")
     metrics = json_map("metrics")
     return chosen.orderBy("pos").select(
         "run_id", "timestamp", "model_type",
-        *[F.try_element_at(metrics, F.lit(r["name"])).try_cast("double").alias(r["name"]) for r in seen])
+        *[F.try_element_at(metrics, F.lit(n)).try_cast("double").alias(n) for n in names])
 
 
 def compare_two(runs: DataFrame, left: str, right: str) -> DataFrame:
@@ -275,11 +278,15 @@ def _event(kind: str, record: dict[str, Any]) -> tuple:
     for name in RUN_SCHEMA.names:
         value = record.get(name)
         values.append(json.dumps(value) if name in JSON_FIELDS and not isinstance(value, (str, type(None))) else value)
-    return (time.time_ns(), kind, *values)
+    # the clock to a microsecond, then chance: two writers do not tie
+    return (time.time_ns() // 1024 * 1024 + random.randrange(1024), kind, *values)
 
 
 class RunLog:
-    """Event table under *path*; every change is one append."""
+    """Event table under *path*; every change is one append.
+
+    Events are in the order of the writers' clocks, so writers need clocks in step.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -309,9 +316,9 @@ class RunLog:
         """The run as a dict with its JSON fields parsed; ValueError if not exactly one."""
         found = match_run(self.runs(), run_id).limit(2).collect()
         if not found:
-            raise ValueError(f"Run ID '{run_id}' not found")
+            raise ValueError(f"there is no run '{run_id}'")
         if len(found) > 1:
-            raise ValueError(f"Ambiguous run ID prefix '{run_id}'")
+            raise ValueError(f"more than one run starts with '{run_id}'")
         return parse_record(found[0].asDict())
 
     def list_runs(self, limit: int = 50) -> DataFrame:
@@ -329,7 +336,13 @@ class RunLog:
         self._change("delete", run_id)
 
     def promote(self, run_id: str) -> None:
-        """Make the run the only champion. Its model stays where it was saved."""
+        """Make the run the only champion. Its model stays where it was saved; a run without one is refused."""
+        try:
+            stored = self.get_run(run_id)["model_path"]
+        except ValueError as error:
+            raise RuntimeError(f"cannot promote run '{run_id}': {error}") from error
+        if not stored:
+            raise RuntimeError(f"cannot promote run '{run_id}': no model was stored with it")
         self._change("promote", run_id)
 
     def champion(self) -> dict[str, Any] | None:

@@ -6,7 +6,7 @@ import math
 import random
 import time
 import uuid
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from dataclasses import dataclass
 from typing import Any
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..operators.evaluate import evaluate, lower_is_better, resolve_metric
 from ..session import local_frame
 from .models import FEATURES, LABEL, Trainer, model_kind, save_model
-from .runlog import RunLog, new_record
+from .runlog import RunLog
 
 # Parameter ranges of the searchable models.
 _FOREST = {
@@ -47,7 +47,7 @@ def search_space(model_type: str) -> dict[str, tuple]:
     name = model_type.lower()
     if name not in SEARCH_SPACES:
         raise ValueError(
-            f"No search space defined for model type '{model_type}'. Supported search spaces: {sorted(SEARCH_SPACES)}")
+            f"'{model_type}' has no search space; known ones: {sorted(SEARCH_SPACES)}")
     return SEARCH_SPACES[name]
 
 
@@ -74,10 +74,10 @@ def sample_params(space: dict[str, tuple], n_trials: int, seed: int = 42) -> lis
 @dataclass(frozen=True)
 class Trial:
     number: int
-    value: float
+    value: float | None            # None unless the trial is complete
     params: dict[str, Any]
     metrics: dict[str, Any]
-    model: PipelineModel
+    model: PipelineModel | None
     seconds: float
     run_id: str
     state: str = "COMPLETE"
@@ -110,7 +110,7 @@ class Tuner:
         for name in (self.metric, resolve_metric(self.metric)):
             if name in metrics:
                 return float(metrics[name])
-        raise ValueError(f"Tuner target metric '{self.metric}' not found in: {sorted(metrics)}")
+        raise ValueError(f"the trial has no metric '{self.metric}', only {sorted(metrics)}")
 
     def tune(self, train: DataFrame, val: DataFrame, target: str = "target", exclude: list[str] | None = None,
              pipeline_summary: list | None = None) -> Trial:
@@ -129,35 +129,45 @@ class Tuner:
             model = PipelineModel([index, assemble, *stages, names])
             return Trial(number, self.score(metrics), params, metrics, model, time.time() - started, str(uuid.uuid4()))
 
+        drawn = sample_params(self.space, self.n_trials, self.seed)
+        self.trials, errors = [], []
         try:
             with ThreadPoolExecutor(max_workers=self.parallel) as pool:
-                drawn = sample_params(self.space, self.n_trials, self.seed)
-                self.trials = list(pool.map(run, range(self.n_trials), drawn))
+                waiting = {pool.submit(run, k, params): (k, params) for k, params in enumerate(drawn)}
+                # each trial is logged when it ends, so a later failure loses none
+                for done in as_completed(waiting):
+                    number, params = waiting[done]
+                    error = done.exception()
+                    if error is None:
+                        trial = done.result()
+                    else:
+                        errors.append(error)
+                        trial = Trial(number, None, params, {}, None, 0.0, str(uuid.uuid4()), "FAIL")
+                    self.trials.append(trial)
+                    if self.run_log is not None:
+                        self._log(trial, info.rows, val_rows, pipeline_summary or [])
         finally:
+            self.trials.sort(key=lambda t: t.number)
             ready.unpersist()
             checked.unpersist()
-        if self.run_log is not None:
-            self._log(info.rows, val_rows, pipeline_summary or [])
+        if errors and len(errors) == len(self.trials):
+            raise errors[0]
         return self.best()
 
-    def _log(self, train_rows: int, val_rows: int, summary: list) -> None:
-        records = []
-        for t in self.trials:
-            path = f"{self.model_dir.rstrip('/')}/{t.run_id}" if self.model_dir else ""
-            if path:
-                save_model(t.model, path)
-            records.append(new_record(
-                run_id=t.run_id, model_type=self.model_type, metrics=t.metrics, model_path=path,
-                config={"model": {"type": self.model_type, "params": t.params}}, pipeline_summary=summary,
-                dataset_path=self.dataset_path, train_rows=train_rows, test_rows=val_rows,
-                duration_seconds=t.seconds,
-                tags={"type": "trial", "trial_number": str(t.number), **self.tags}))
-        self.run_log.log_runs(records)
+    def _log(self, t: Trial, train_rows: int, val_rows: int, summary: list) -> None:
+        path = f"{self.model_dir.rstrip('/')}/{t.run_id}" if self.model_dir and t.model is not None else ""
+        if path:
+            save_model(t.model, path)
+        self.run_log.log_run(
+            run_id=t.run_id, model_type=self.model_type, metrics=t.metrics, model_path=path,
+            config={"model": {"type": self.model_type, "params": t.params}}, pipeline_summary=summary,
+            dataset_path=self.dataset_path, train_rows=train_rows, test_rows=val_rows, duration_seconds=t.seconds,
+            tags={"type": "trial", "trial_number": str(t.number), "state": t.state, **self.tags})
 
     def best(self) -> Trial:
-        """Best value in the search direction; the earliest trial on ties."""
+        """Best value of the complete trials in the search direction; the earliest trial on ties."""
         sign = 1 if self.direction == "minimize" else -1
-        return min(self.trials, key=lambda t: (sign * t.value, t.number))
+        return min((t for t in self.trials if t.value is not None), key=lambda t: (sign * t.value, t.number))
 
     def trials_frame(self, train: DataFrame) -> DataFrame:
         rows = [(t.number, t.state, t.value, {k: str(v) for k, v in t.params.items()}) for t in self.trials]

@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from ..functions.columns import c, check_unique_names, replace_columns
 from ..functions.text import nan_to_null, null_tokens_to_null, parse_number
 
-INTEGER_PATTERN = r"^[+-]?\d{1,18}$"
+INTEGER_PATTERN = r"^[+-]?\d+$"
 BOOLEANS = ["True", "False", "TRUE", "FALSE", "true", "false"]
 
 
@@ -30,7 +30,8 @@ def normalize_nulls(df: DataFrame) -> DataFrame:
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns that hold only integers, numbers or booleans get that type.
 
-    One aggregate tests all columns; pass a schema to the reader to avoid it.
+    Whole numbers become bigint, if one of them does not fit decimal(38,0), and only
+    beyond that double. One aggregate tests all columns; pass a schema to avoid it.
     """
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     aggs = []
@@ -39,6 +40,8 @@ def infer_types(df: DataFrame) -> DataFrame:
         aggs += [
             F.count(c(name)).alias(f"n{i}"),
             F.count_if(text.rlike(INTEGER_PATTERN)).alias(f"int{i}"),
+            F.count(text.try_cast("bigint")).alias(f"long{i}"),
+            F.count(text.try_cast("decimal(38,0)")).alias(f"wide{i}"),
             F.count(parse_number(c(name))).alias(f"num{i}"),
             F.count_if(text.isin(BOOLEANS)).alias(f"bool{i}"),
         ]
@@ -48,8 +51,8 @@ def infer_types(df: DataFrame) -> DataFrame:
     new = {}
     for i, name in enumerate(cols):
         n = row[f"n{i}"]
-        if n and row[f"int{i}"] == n:
-            new[name] = F.trim(c(name)).cast("bigint")
+        if n and row[f"int{i}"] == n and row[f"wide{i}"] == n:
+            new[name] = F.trim(c(name)).cast("bigint" if row[f"long{i}"] == n else "decimal(38,0)")
         elif n and row[f"num{i}"] == n:
             new[name] = parse_number(c(name))
         elif n and row[f"bool{i}"] == n:
@@ -57,13 +60,20 @@ def infer_types(df: DataFrame) -> DataFrame:
     return replace_columns(df, new)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """CSV with a header. Without a schema the types are found after the null tokens are gone."""
-    reader = spark.read.options(escape='"', **options)
+def read_csv(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, multiline: bool = False, **options,
+) -> DataFrame:
+    """CSV with a header. Without a schema the types are found after the null tokens are gone.
+
+    Fields may hold line breaks only with ``multiline=True``, since files can then not be
+    split. A record with too many or too few fields fails the read (``mode="PERMISSIVE"``
+    shifts or fills such rows as Spark does).
+    """
+    reader = spark.read.options(**{"escape": '"', "mode": "FAILFAST", "multiLine": multiline, **options})
     # Spark would silently rename clashing header names, so look at them first
-    header = reader.csv(path).limit(1).collect()
+    header = reader.option("mode", "PERMISSIVE").csv(path).limit(1).collect()
     check_unique_names(name for name in (header[0] if header else []) if name is not None)
-    text = reader.option("header", True).csv(path)
+    text = reader.option("mode", options.get("mode", "FAILFAST")).option("header", True).csv(path)
     text = replace_columns(text, {n: null_tokens_to_null(c(n)) for n in text.columns})
     if schema is None:
         return infer_types(text)
@@ -71,11 +81,17 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
     return text.select(*[c(f.name).cast(f.dataType).alias(f.name) for f in kind.fields])
 
 
-def read_json(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options) -> DataFrame:
-    """JSON lines, or one array of records (recognised by its first character)."""
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    array = bool(first) and first[0][0].lstrip().startswith("[")
-    reader = spark.read.options(multiLine=array, **options)
+def read_json(
+    spark: SparkSession, path: str, schema: T.StructType | str | None = None, lines: bool | None = None, **options,
+) -> DataFrame:
+    """JSON lines, or one array of records per file (``lines=False``; such a file is one task).
+
+    If *lines* is not given, the first line's first character decides; say it for large files.
+    """
+    if lines is None:
+        first = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).first()
+        lines = first is None or first[0] != "["
+    reader = spark.read.options(multiLine=not lines, **options)
     return normalize_nulls((reader.schema(schema) if schema is not None else reader).json(path))
 
 
@@ -99,11 +115,11 @@ def load(spark: SparkSession, path: str, schema: T.StructType | str | None = Non
         if ext not in READERS:
             # a missing file is reported as such even when its format is unknown
             spark.read.format("binaryFile").load(path).select("path").limit(1).collect()
-            raise ValueError(f"Unsupported file format '{ext}'. Supported formats: {', '.join(READERS)}")
+            raise ValueError(f"there is no reader for '{ext}' files; known: {', '.join(READERS)}")
         df = READERS[ext](spark, path, schema, **options)
         check_unique_names(df.columns)
         return df
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"Data file not found: '{path}'") from error
+            raise FileNotFoundError(f"nothing to read at {path}") from error
         raise

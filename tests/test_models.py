@@ -1,9 +1,11 @@
 import numpy as np
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from tabloom.operators.evaluate import classification_metrics, regression_metrics
 from tabloom.plans.experiment import batch_predict, drift_from_champion, run_experiment
+from tabloom.plans.features import FeaturePipeline
 from tabloom.plans.models import MODELS, Trainer, load_model, register_model, save_model
 from tabloom.plans.runlog import RunLog
 from tabloom.plans.tuning import Tuner, sample_params, search_space, study_summary
@@ -78,7 +80,7 @@ def test_regressors(data, name, params):
 
 
 def test_model_errors_and_registry(data, tmp_path):
-    with pytest.raises(ValueError, match="Unknown model_type"):
+    with pytest.raises(ValueError, match="no model is called"):
         Trainer("knn")
     with pytest.raises(ValueError, match="unsupported model parameters"):
         fit(data, "ridge", {"beta": 1}, "r")
@@ -109,7 +111,7 @@ def test_samples_stay_in_range_and_repeat():
     assert all(0.01 <= d["C"] <= 10 and 100 <= d["max_iter"] <= 1000 and d["solver"] in ("lbfgs", "liblinear") for d in draws)
     assert draws[:5] == sample_params(space, 5, seed=3) and draws != sample_params(space, 50, seed=4)
     assert sum(d["C"] < 0.316 for d in draws) > 10          # log scale
-    with pytest.raises(ValueError, match="No search space"):
+    with pytest.raises(ValueError, match="has no search space"):
         search_space("xgboost")
 
 
@@ -123,14 +125,50 @@ def test_tuning_logs_every_trial(spark, data, tmp_path):
     summary = study_summary(tuner.trials_frame(data), ["C", "max_iter"])
     assert summary.columns == ["trial", "value", "C", "max_iter"] and summary.count() == 3
     logged = [log.get_run(t.run_id) for t in tuner.trials]
-    assert [r["tags"] for r in logged] == [{"type": "trial", "trial_number": str(i)} for i in range(3)]
+    assert [r["tags"] for r in logged] == [{"type": "trial", "trial_number": str(i), "state": "COMPLETE"} for i in range(3)]
     assert logged[0]["train_rows"] == 300 and logged[0]["test_rows"] == 100
     assert load_model(logged[0]["model_path"]).transform(data).count() == 400
-    with pytest.raises(ValueError, match="not found"):
+    with pytest.raises(ValueError, match="has no metric"):
         Tuner("ridge", 1, "f1").tune(data.select("row_id", "f1", "r"), data.select("row_id", "f1", "r"), "r", ["row_id"])
     assert Tuner("ridge").metric == "rmse" and Tuner("ridge").direction == "minimize"
 
 
+def test_failed_trials_are_kept_and_left_out(spark, data, tmp_path):
+    def build(params, info):
+        if params["a"] > 0.5:
+            raise ArithmeticError("no such model")
+        return MODELS["ridge"].build({}, info)
+
+    register_model("picky", "regression", build)
+    try:
+        log = RunLog(spark, str(tmp_path / "runs"))
+        tuner = Tuner("picky", 6, "rmse", space={"a": ("uniform", 0.0, 1.0)}, run_log=log)
+        cols = data.select("row_id", "f1", "r")
+        best = tuner.tune(cols, cols, "r", ["row_id"])
+        bad = [t.number for t in tuner.trials if t.params["a"] > 0.5]
+        assert 0 < len(bad) < 6 and best.params["a"] <= 0.5
+        assert [t.number for t in tuner.trials if t.state == "FAIL"] == bad
+        assert log.runs().count() == 6
+        assert study_summary(tuner.trials_frame(data), ["a"]).count() == 6 - len(bad)
+        with pytest.raises(ArithmeticError):
+            Tuner("picky", 2, "rmse", space={"a": ("uniform", 0.6, 1.0)}).tune(cols, cols, "r", ["row_id"])
+    finally:
+        del MODELS["picky"]
+
+
+def test_saved_model_holds_its_category_tables(spark, frame, tmp_path):
+    train = frame([(i, f"k{i % 9}", float(i % 3)) for i in range(60)], "id int, k string, r double")
+    steps = FeaturePipeline([
+        {"type": "label_encode", "cols": ["k"], "max_categories": 2}], exclude=["id", "r"]).fit(train)
+    model = PipelineModel([*steps.stages, *Trainer("ridge", {}, "r", ["id"]).fit(steps.transform(train)).stages])
+    before = {r["id"]: r["prediction"] for r in model.transform(train).collect()}
+    save_model(model, str(tmp_path / "m"))
+    (tmp_path / "m").rename(tmp_path / "moved")
+    again = load_model(str(tmp_path / "moved"))
+    assert again.stages[0].fitted["tables"]["k"]["path"].startswith(str(tmp_path / "moved"))
+    assert {r["id"]: r["prediction"] for r in again.transform(train).collect()} == before
+
+
 # --- experiment --------------------------------------------------------------------------------
 
 SPEC = {

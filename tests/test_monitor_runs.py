@@ -97,9 +97,9 @@ def test_drift_log(spark, tmp_path):
 # --- run log --------------------------------------------------------------------------------
 
 RUNS = [
-    ("run_1", "logistic_regression", {"task": "classification", "f1_weighted": 0.80, "accuracy": 0.82, "rmse": 2.5}, 1.0),
-    ("run_2", "random_forest", {"task": "classification", "f1_weighted": 0.90, "accuracy": 0.91, "rmse": 1.5}, 2.0),
-    ("run_3", "decision_tree", {"f1_weighted": 0.85, "accuracy": 0.87, "rmse": 3.0, "confusion_matrix": [[1, 0], [0, 1]]}, 0.5),
+    ("amber11", "svc", {"task": "classification", "f1_weighted": 0.61, "accuracy": 0.66, "rmse": 4.0}, 3.0),
+    ("birch22", "ridge", {"task": "classification", "f1_weighted": 0.84, "accuracy": 0.88, "rmse": 1.25}, 6.0),
+    ("cedar33", "lasso", {"f1_weighted": 0.73, "accuracy": 0.70, "rmse": 5.5, "confusion_matrix": [[3, 1], [0, 2]]}, 1.5),
 ]
 
 
@@ -107,7 +107,8 @@ RUNS = [
 def log(spark, tmp_path):
     store = RunLog(spark, str(tmp_path / "runs"))
     store.log_runs([
-        new_record(run_id=i, model_type=m, metrics=x, duration_seconds=d, timestamp=f"2026-06-0{n}T00:00:00", tags={"n": str(n)})
+        new_record(run_id=i, model_type=m, metrics=x, duration_seconds=d, timestamp=f"2025-03-0{n}T00:00:00", tags={"n": str(n)},
+                   model_path=f"models/{i}")
         for n, (i, m, x, d) in enumerate(RUNS, 1)])
     return store
 
@@ -117,10 +118,10 @@ def ids(df):
 
 
 def test_log_get_and_order(log):
-    run = log.get_run("run_2")
-    assert run["metrics"]["f1_weighted"] == 0.9 and run["tags"] == {"n": "2"} and run["is_champion"] is False
-    assert ids(log.list_runs()) == ["run_3", "run_2", "run_1"] and ids(log.list_runs(1)) == ["run_3"]
-    with pytest.raises(ValueError, match="not found"):
+    run = log.get_run("birch22")
+    assert run["metrics"]["f1_weighted"] == 0.84 and run["tags"] == {"n": "2"} and run["is_champion"] is False
+    assert ids(log.list_runs()) == ["cedar33", "birch22", "amber11"] and ids(log.list_runs(1)) == ["cedar33"]
+    with pytest.raises(ValueError, match="there is no run"):
         log.get_run("nope")
 
 
@@ -130,68 +131,78 @@ def test_empty_log(spark, tmp_path):
 
 
 def test_delete_and_relog(log):
-    log.delete_run("run_1")
+    log.delete_run("amber11")
     with pytest.raises(ValueError):
-        log.get_run("run_1")
+        log.get_run("amber11")
     with pytest.raises(RuntimeError):
-        log.delete_run("run_1")
-    log.log_run(run_id="run_1", model_type="ridge")
-    assert log.get_run("run_1")["model_type"] == "ridge"
+        log.delete_run("amber11")
+    log.log_run(run_id="amber11", model_type="ridge")
+    assert log.get_run("amber11")["model_type"] == "ridge"
     assert log.runs().count() == 3
 
 
 def test_prefix_lookup(log):
     log.log_runs([new_record(run_id="abcdefgh-1"), new_record(run_id="abcdefgh-2"), new_record(run_id="12345678-9")])
     assert log.get_run("12345678")["run_id"] == "12345678-9"
-    with pytest.raises(ValueError, match="Ambiguous"):
+    with pytest.raises(ValueError, match="more than one run"):
         log.get_run("abcdefgh")
     with pytest.raises(ValueError):
         log.get_run("abcd%fgh")
 
 
 def test_one_champion(log):
-    log.promote("run_1")
-    log.promote("run_2")
-    assert log.champion()["run_id"] == "run_2" and log.runs().filter("is_champion").count() == 1
-    log.log_run(run_id="run_2", model_type="lasso")         # logged again: not champion any more
+    log.promote("amber11")
+    log.promote("birch22")
+    assert log.champion()["run_id"] == "birch22" and log.runs().filter("is_champion").count() == 1
+    log.log_run(run_id="birch22", model_type="lasso", model_path="models/again")         # logged again: not champion any more
     assert log.champion() is None
-    log.promote("run_2")
-    log.delete_run("run_2")
+    log.promote("birch22")
+    log.delete_run("birch22")
     assert log.champion() is None
     with pytest.raises(RuntimeError):
         log.promote("missing")
+    log.log_run(run_id="bare", model_type="lasso")
+    with pytest.raises(RuntimeError, match="no model"):
+        log.promote("bare")
+    assert log.champion() is None
+
+
+def test_view_aggregates_numbers_only_and_filters_below(log):
+    plan = runlog.match_run(log.runs(), "amber11")._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(key=[run_id" not in plan
+    assert plan.count("EqualTo(run_id,amber11)") >= 2
 
 
 def test_leaderboard(log):
     runs = log.runs()
-    assert ids(runlog.leaderboard(runs, "f1").orderBy("rank")) == ["run_2", "run_3", "run_1"]
-    assert ids(runlog.leaderboard(runs, "Accuracy", 2).orderBy("rank")) == ["run_2", "run_3"]
-    assert ids(runlog.leaderboard(runs, "rmse").orderBy("rank")) == ["run_2", "run_1", "run_3"]
+    assert ids(runlog.leaderboard(runs, "f1").orderBy("rank")) == ["birch22", "cedar33", "amber11"]
+    assert ids(runlog.leaderboard(runs, "Accuracy", 2).orderBy("rank")) == ["birch22", "cedar33"]
+    assert ids(runlog.leaderboard(runs, "rmse").orderBy("rank")) == ["birch22", "amber11", "cedar33"]
     assert runlog.leaderboard(runs, "r2").count() == 0 and runlog.leaderboard(runs, "task").count() == 0
 
 
 def test_compare(log):
-    out = runlog.compare_runs(log.runs(), ["run_2", "missing", "run_1"])
+    out = runlog.compare_runs(log.runs(), ["birch22", "missing", "amber11"])
     assert out.columns == ["run_id", "timestamp", "model_type", "f1_weighted", "accuracy", "rmse"]
-    assert ids(out) == ["run_2", "run_1"]
-    both = {r["metric"]: (r["left_value"], r["right_value"]) for r in runlog.compare_two(log.runs(), "run_1", "run_2").collect()}
-    assert both["accuracy"] == (0.82, 0.91) and "task" not in both
+    assert ids(out) == ["birch22", "amber11"]
+    both = {r["metric"]: (r["left_value"], r["right_value"]) for r in runlog.compare_two(log.runs(), "amber11", "birch22").collect()}
+    assert both["accuracy"] == (0.66, 0.88) and "task" not in both
 
 
 def test_texts(log):
-    log.log_run(run_id="run_4", timestamp="2020-01-01T00:00:00", metrics={"steps": 12, "f1_weighted": 0.95})
+    log.log_run(run_id="dune4", timestamp="2020-01-01T00:00:00", metrics={"steps": 12, "f1_weighted": 0.95})
     rows = runlog.leaderboard_text(log.runs(), metric="f1").orderBy("rank").collect()
     assert rows[0]["metrics_text"] == "steps=12, f1=0.9500"
-    assert rows[1]["metrics_text"] == "f1=0.9000, accuracy=0.9100, rmse=1.5000"
+    assert rows[1]["metrics_text"] == "f1=0.8400, accuracy=0.8800, rmse=1.2500"
     assert runlog.primary_metric(log.runs()) == "rmse"
     head = {r["run_id"]: r for r in runlog.headline_metrics(log.runs()).collect()}
-    assert head["run_4"]["shown_metric"] == "f1_weighted" and head["run_1"]["shown_band"] == "normal"
+    assert head["dune4"]["shown_metric"] == "f1_weighted" and head["amber11"]["shown_band"] == "amber"
 
 
 def test_views(log):
     t = runlog.telemetry(log.runs()).first()
-    assert (t["total_runs"], t["model_types"], t["avg_duration"], t["has_champion"]) == (3, 3, 1.2, False)
-    assert ids(runlog.runs_by_tag(log.runs(), "n", "2")) == ["run_2"]
-    ages = [r["age"] for r in runlog.activity(log.runs(), F.lit("2026-06-03 00:00:42").cast("timestamp")).collect()]
+    assert (t["total_runs"], t["model_types"], t["avg_duration"], t["has_champion"]) == (3, 3, 3.5, False)
+    assert ids(runlog.runs_by_tag(log.runs(), "n", "2")) == ["birch22"]
+    ages = [r["age"] for r in runlog.activity(log.runs(), F.lit("2025-03-03 00:00:42").cast("timestamp")).collect()]
     assert ages == ["42s ago", "1d ago", "2d ago"]
     assert "config" not in runlog.run_summary(log.runs()).columns
