@@ -37,6 +37,7 @@ from .features import feature_columns
 
 FEATURES, LABEL = "_features", "_label"
 MAX_CLASSES = 1000
+MAX_DEPTH = 30  # of Spark's trees
 
 
 @dataclass(frozen=True)
@@ -80,16 +81,22 @@ def _linear(penalty_mix: float, reg: Callable[[float, TrainingInfo], float], sol
     return build
 
 
+def _seed(params: dict[str, Any]) -> int:
+    return 42 if params.get("random_state") is None else int(params["random_state"])
+
+
 def _tree_params(params: dict[str, Any]) -> dict[str, Any]:
-    depth = params.get("max_depth")
+    depth = MAX_DEPTH if params.get("max_depth") is None else int(params["max_depth"])
+    if depth > MAX_DEPTH:
+        raise ValueError(f"max_depth may be {MAX_DEPTH} at most, not {depth}")
     leaf = max(int(params.get("min_samples_leaf", 1)), max(1, int(params.get("min_samples_split", 2)) // 2))
     return {
-        "featuresCol": FEATURES, "labelCol": LABEL, "maxDepth": 30 if depth is None else min(int(depth), 30),
-        "minInstancesPerNode": leaf, "maxBins": 64, "seed": int(params.get("random_state") or 42),
+        "featuresCol": FEATURES, "labelCol": LABEL, "maxDepth": depth,
+        "minInstancesPerNode": leaf, "maxBins": int(params.get("max_bins", 64)), "seed": _seed(params),
     }
 
 
-_TREE = ["max_depth", "min_samples_split", "min_samples_leaf", "random_state"]
+_TREE = ["max_depth", "max_bins", "min_samples_split", "min_samples_leaf", "random_state"]
 
 
 def _tree(params, info):
@@ -108,8 +115,9 @@ def _forest(cls, subset: str):
 class FourierModel(StepModel):
     """Random Fourier features of the feature vector, for an RBF kernel.
 
-    State: the feature count, gamma and a seed; the projection matrix is drawn
-    again from the seed in every task. One Arrow batch is one matrix product.
+    State: the feature count, gamma and a seed. The projection matrix (features times
+    components doubles) is drawn from the seed on the driver and travels with the
+    function. One Arrow batch is one matrix product.
     """
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
@@ -151,7 +159,7 @@ def _kernel(params: dict[str, Any], info: TrainingInfo) -> list[Any]:
     width = info.frame.select(F.size(vector_to_array(FEATURES))).first()[0]
     return [FourierModel({
         "n_features": width, "n_components": int(params.get("n_components", 128)),
-        "gamma": _gamma(params, info.frame, width), "seed": int(params.get("random_state") or 42)})]
+        "gamma": _gamma(params, info.frame, width), "seed": _seed(params)})]
 
 
 def _svc(params, info):
@@ -167,9 +175,12 @@ def _svc(params, info):
 
 def _robust(params, info):
     _known(params, ["C", "epsilon", "kernel", "gamma", "n_components", "max_iter", "tol", "random_state"])
+    epsilon = float(params.get("epsilon", 1.35))
+    if epsilon <= 1:
+        raise ValueError(f"epsilon must be above 1, not {epsilon}")
     return [*_kernel(params, info), LinearRegression(
         featuresCol=FEATURES, labelCol=LABEL, loss="huber", standardization=False, solver="l-bfgs",
-        epsilon=max(float(params.get("epsilon", 1.35)), 1.0 + 1e-9),
+        epsilon=epsilon,
         regParam=1.0 / (float(params.get("C", 1.0)) * info.rows),
         maxIter=int(params.get("max_iter", 200)), tol=float(params.get("tol", 1e-6)))]
 
