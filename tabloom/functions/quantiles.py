@@ -131,10 +131,9 @@ def exact_quantiles(
             if not (row[f"below{i}"] <= k1 and k2 < row[f"upto{i}"]):
                 # the sketch was off by more than its margin: bracket again, wider
                 b.margin *= 8
-                if b.margin > 0.5:
-                    raise RuntimeError(f"no valid quantile bracket found for column '{b.col}'")
                 b.lo, b.hi = extremes[b.col]
-                b.inside = n
+                # beyond any use of a sketch: the exact value over the full range
+                b.inside = n if b.margin <= 0.5 else 0
                 again.append(b)
             elif b.inside <= limit:
                 result[b.col, b.prob] = row[f"exact{i}"]
