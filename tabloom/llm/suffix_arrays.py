@@ -15,6 +15,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,10 +24,10 @@ from .common import map_batches, stored
 
 GRAM = 64
 SIZE = 200
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 # Different surroundings of one gram beyond which they are spread over several shards.
 SPREAD = 3_000
-LANE = 512
+LANE = 48
 BASE, BASE2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 POSITION = np.uint64((1 << 28) - 1)  # bits of a key that hold the place in a text (texts up to 256 MB)
 
@@ -57,10 +58,10 @@ def rolling_hash(data: np.ndarray, length: int, base: int = BASE) -> np.ndarray:
     return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def anchors(data: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the grams chosen from the runs of *size* bytes."""
+def anchors(data: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the chosen grams, and the first and last run of *size* bytes that chose each."""
     if len(data) < size:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
     h = rolling_hash(data, gram)
     h ^= h >> np.uint64(32)
     low = (h & ~POSITION) | np.arange(len(h), dtype=np.uint64)
@@ -70,87 +71,122 @@ def anchors(data: np.ndarray, size: int = SIZE, gram: int = GRAM) -> tuple[np.nd
         width *= 2
     if width < span:
         low = np.minimum(low[:len(low) - (span - width)], low[span - width:])
-    place = (low & POSITION).astype(np.int64)
-    place = place[np.append(True, place[1:] != place[:-1])]
-    place = np.unique(place)
-    return place, h[place]
+    place = (low & POSITION).astype(np.int64)  # never goes back from one run to the next
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    place = place[first]
+    return place, h[place], first, np.append(first[1:], len(low)) - 1
+
+
+def laid_out(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Segments end to end, a slot for a mark after each, and for every byte the place of its segment's mark."""
+    sizes = np.array([len(x) + 1 for x in parts], np.int32)
+    return np.frombuffer(b"\0".join([*parts, b""]), np.uint8), np.repeat(np.cumsum(sizes, dtype=np.int32) - 1, sizes)
+
+
+def _order(key: np.ndarray, bits: int) -> np.ndarray:
+    """The order of unsigned keys of so many bits (any order of equal ones)."""
+    room = len(key).bit_length()
+    if bits + room > 64:
+        return np.argsort(key)
+    # place and key in one word: sorting words is several times faster than sorting places
+    packed = np.sort((key << np.uint64(room)) | np.arange(len(key), dtype=np.uint64))
+    return (packed & np.uint64((1 << room) - 1)).astype(np.int64)
 
 
 def suffix_array(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks of segments laid end to end (Larsson-Sadakane refinement).
+    """Suffix array and ranks of segments laid out with their marks (Larsson-Sadakane refinement).
 
-    *ends*[i] is the end of the segment that holds byte i. A segment ends with a mark of
-    its own that is less than any byte, earlier segments' marks first. Suffixes are sorted
-    by their first 7 bytes; then groups still equal are sorted by the rank of what
+    A mark is less than any byte, and earlier marks less than later ones. Suffixes are
+    sorted by their first 5 bytes; then groups still equal are sorted by the rank of what
     follows, twice as far in each round. Suffixes alone in their group are left alone.
     """
     n = len(data)
-    rest = ends - np.arange(n)
+    rest = ends - np.arange(n, dtype=np.int32)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     key = np.zeros(n, np.uint64)
-    for k in range(7):
+    for k in range(5):
         key = (key << np.uint64(8)) | np.where(rest > k, padded[k:k + n], np.uint64(0))
-    key = (key << np.uint64(8)) | np.minimum(rest, 7).astype(np.uint64)
-    sa = np.argsort(key, kind="stable")
+    key = (key << np.uint64(3)) | np.minimum(rest, 5).astype(np.uint64)
+    sa = _order(key, 43).astype(np.int32)
     ordered = key[sa]
     heads = np.append(True, ordered[1:] != ordered[:-1])
-    start = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[sa] = start
-    shared = ~(heads & np.append(heads[1:], True))
-    active = np.flatnonzero(shared)
-    step = 7
+    marks = np.flatnonzero(rest == 0).astype(np.int32)
+    sa[:len(marks)], heads[:len(marks)] = marks, True
+    heads[len(marks):len(marks) + 1] = True
+    group = np.maximum.accumulate(np.where(heads, np.arange(n, dtype=np.int32), 0))
+    rank = np.empty(n, np.int32)
+    rank[sa] = group
+    active = np.flatnonzero(~(heads & np.append(heads[1:], True)))
+    group, step = group[active], 5
     while len(active):
         at = sa[active]
-        follow = at + step
-        inside = follow < ends[at]
-        # beyond the end stands the segment's own mark, less than all ranks and in order of the segments
-        nxt = np.where(inside, rank[np.minimum(follow, n - 1)] + n, ends[at] - 1)
-        group = rank[at]
-        order = np.lexsort((nxt, group))
-        at, nxt, group = at[order], nxt[order], group[order]
+        # members of a group share step bytes, or all bytes up to their marks, which tell them apart
+        nxt = rank[at + np.minimum(rest[at], step)]
+        first = np.append(True, group[1:] != group[:-1])
+        begin = np.flatnonzero(first)
+        size = np.diff(np.append(begin, len(at)))
+        # pairs are put in order by one comparison, larger groups are sorted
+        two = begin[size == 2]
+        swap = two[nxt[two] > nxt[two + 1]]
+        for x in (at, nxt):
+            x[swap], x[swap + 1] = x[swap + 1], x[swap]
+        many = np.flatnonzero(np.repeat(size > 2, size))
+        order = many[_order(group[many].astype(np.uint64) * np.uint64(n) + nxt[many].astype(np.uint64), (n * n).bit_length())]
+        at[many], nxt[many] = at[order], nxt[order]
         sa[active] = at
-        heads = np.append(True, (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1]))
-        first = np.maximum.accumulate(np.where(heads, active, 0))
-        rank[at] = first
-        active = active[~(heads & np.append(heads[1:], True))]
+        first[1:] |= nxt[1:] != nxt[:-1]
+        group = np.maximum.accumulate(np.where(first, active, 0)).astype(np.int32)
+        rank[at] = group
+        shared = ~(first & np.append(first[1:], True))
+        active, group = active[shared], group[shared]
         step *= 2
     return sa, rank
 
 
-def common_prefixes(data: np.ndarray, ends: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int) -> np.ndarray:
+def common_prefixes(
+    data: np.ndarray, ends: np.ndarray, sa: np.ndarray, rank: np.ndarray, most: int, wanted: np.ndarray | None = None,
+) -> np.ndarray:
     """For every place, the common prefix (at most *most*) with the suffix before it in the array (Kasai).
 
     A place's prefix is at least that of the place before it less one. Many stretches of
-    LANE places advance side by side, eight bytes at a time.
+    at most LANE places advance side by side, eight bytes at a time. Only *wanted* places
+    (a mask; all if None) are looked at, others get 0.
     """
     n = len(data)
+    out = np.zeros(n, np.int32)
+    places = np.arange(n) if wanted is None else np.flatnonzero(wanted)
+    if not len(places):
+        return out
+    # stretches of neighbouring places, cut to LANE
+    first = np.append(True, np.diff(places) != 1)
+    since = np.arange(len(places)) - np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+    at = np.flatnonzero(since % LANE == 0)
+    sizes = np.diff(np.append(at, len(places)))
+    lanes = places[at]
+    order = np.argsort(-sizes)
+    lanes, sizes = lanes[order], sizes[order]
     before = np.where(rank > 0, sa[np.maximum(rank - 1, 0)], -1)
+    rest = ends - np.arange(n, dtype=np.int32)
     padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
     word = np.zeros(n + 1, np.uint64)
     for k in range(8):
         word[:n] |= padded[k:k + n] << np.uint64(8 * k)
-    out = np.zeros(n, np.int64)
-    lanes = np.arange(0, n, LANE)
-    h = np.zeros(len(lanes), np.int64)
-    for t in range(min(LANE, n)):
-        i = lanes + t
-        if i[-1] >= n:
-            lanes, i, h = lanes[:-1], i[:-1], h[:-1]
-            if not len(lanes):
-                break
+    h = np.zeros(len(lanes), np.int32)
+    for t in range(int(sizes[0])):
+        alive = int(np.searchsorted(-sizes, -t, "left"))  # lanes longer than t
+        i, h = lanes[:alive] + t, h[:alive]
         j = before[i]
-        some = j >= 0
-        j = np.where(some, j, 0)
-        limit = np.where(some, np.minimum(np.minimum(ends[i] - i, ends[j] - j), most), 0)
+        limit = np.where(j >= 0, np.minimum(np.minimum(rest[i], rest[j]), most), 0)
         h = np.minimum(np.maximum(h - 1, 0), limit)
         go = np.flatnonzero(h < limit)
         while len(go):
-            differ = word[i[go] + h[go]] ^ word[j[go] + h[go]]
+            hg = h[go]
+            differ = word[i[go] + hg] ^ word[j[go] + hg]
             lowest = differ & (~differ + np.uint64(1))
             same = np.where(differ == 0, 8, (np.frexp(lowest.astype(np.float64))[1] - 1) >> 3)
-            h[go] = np.minimum(h[go] + same, limit[go])
-            go = go[(differ == 0) & (h[go] < limit[go])]
+            hg = np.minimum(hg + same, limit[go])
+            h[go] = hg
+            go = go[(differ == 0) & (hg < limit[go])]
         out[i] = h
     return out
 
@@ -160,7 +196,8 @@ def repeated_starts(data: np.ndarray, ends: np.ndarray, size: int = SIZE) -> np.
     found = np.zeros(len(data), bool)
     if len(data):
         sa, rank = suffix_array(data, ends)
-        deep = np.flatnonzero(common_prefixes(data, ends, sa, rank, size) >= size)
+        whole = ends - np.arange(len(data), dtype=np.int32) >= size
+        deep = np.flatnonzero(common_prefixes(data, ends, sa, rank, size, whole) >= size)
         found[deep] = True
         found[sa[rank[deep] - 1]] = True
     return found
@@ -182,7 +219,7 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
         for text in batch.column(1).to_pylist():
             raw = _data(text)
             digest = hashlib.sha256(raw).hexdigest()
-            place, h = anchors(np.frombuffer(raw, np.uint8), size, min(GRAM, size))
+            place, h, _, _ = anchors(np.frombuffer(raw, np.uint8), size, min(GRAM, size))
             for k, v in zip(out, (int(digest[:15], 16), int(digest[15:30], 16), len(raw), digest, place, h.view(np.int64))):
                 out[k].append(v)
         return {"doc_id": batch.column(0), **out}
@@ -193,48 +230,45 @@ def _sketch(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _surroundings(texts: DataFrame, size: int) -> DataFrame:
-    """(gram, around, h1, h2, pos): a hash of the bytes that share a run of *size* bytes with the gram."""
-    gram = min(GRAM, size)
-
+    """(gram, around, h1, h2, pos, first, last): the runs that chose the gram, and a hash of the bytes they cover."""
     def run(batch: pa.RecordBatch) -> dict:
         rows = []
         for h1, h2, text, marks in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            raw = _data(text)
-            for m in marks:
-                left = max(0, m["pos"] - (size - gram))
-                digest = xxhash.xxh3_64_intdigest(raw[left:m["pos"] + size], m["pos"] - left)
-                rows.append((m["gram"], digest - (1 << 63), h1, h2, m["pos"]))
-        return {k: [r[i] for r in rows] for i, k in enumerate(("gram", "around", "h1", "h2", "pos"))}
+            raw, wanted = _data(text), {m["pos"] for m in marks}
+            for pos, h, a, b in zip(*[x.tolist() for x in anchors(np.frombuffer(raw, np.uint8), size, min(GRAM, size))]):
+                if pos in wanted:
+                    digest = xxhash.xxh3_64_intdigest(raw[a:b + size], pos - a)
+                    rows.append((h - (h >> 63 << 64), digest - (1 << 63), h1, h2, pos, a, b))
+        return {k: [r[i] for r in rows] for i, k in enumerate(("gram", "around", "h1", "h2", "pos", "first", "last"))}
 
-    return map_batches(texts, run, "gram bigint, around bigint, h1 bigint, h2 bigint, pos int", rows=256)
+    return map_batches(
+        texts, run, "gram bigint, around bigint, h1 bigint, h2 bigint, pos int, first int, last int", rows=256)
 
 
-SEGMENTS = "shard bigint, spread boolean, h1 bigint, h2 bigint, start int, bytes binary, marks array<struct<pos:int,gram:bigint,around:bigint>>"
+MARK = "struct<pos:int,first:int,last:int,gram:bigint,around:bigint>"
+SEGMENTS = f"shard bigint, spread boolean, h1 bigint, h2 bigint, start int, bytes binary, marks array<{MARK}>"
 
 
 def _segments(chosen: DataFrame, size: int) -> DataFrame:
     """The stretches of each text that its chosen surroundings cover, per shard."""
-    gram = min(GRAM, size)
+    names = ("pos", "first", "last", "gram", "around")
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {k: [] for k in ("shard", "spread", "h1", "h2", "start", "bytes", "marks")}
         for h1, h2, text, marks in zip(*[batch.column(i).to_pylist() for i in range(4)]):
             raw, by = _data(text), {}
-            for m in marks:
-                by.setdefault((m["shard"], m["spread"]), []).append((m["pos"], m["gram"], m["around"]))
+            for m in sorted(marks, key=lambda m: m["first"]):
+                by.setdefault((m["shard"], m["spread"]), []).append({k: m[k] for k in names})
             for (shard, spread), own in by.items():
-                own.sort()
                 runs: list[list] = []
                 for m in own:
-                    a, b = max(0, m[0] - (size - gram)), min(len(raw), m[0] + size)
-                    if runs and a <= runs[-1][1]:
-                        runs[-1][1] = max(b, runs[-1][1])
+                    if runs and m["first"] <= runs[-1][1]:
+                        runs[-1][1] = max(m["last"] + size, runs[-1][1])
                         runs[-1][2].append(m)
                     else:
-                        runs.append([a, b, [m]])
+                        runs.append([m["first"], m["last"] + size, [m]])
                 for a, b, held in runs:
-                    for k, v in zip(out, (shard, spread, h1, h2, a, raw[a:b], [
-                            {"pos": p, "gram": g, "around": c} for p, g, c in held])):
+                    for k, v in zip(out, (shard, spread, h1, h2, a, raw[a:b], held)):
                         out[k].append(v)
         return out
 
@@ -247,28 +281,22 @@ FOUND = "gram bigint, around bigint, first int, last int, bucket bigint, one bin
 def _search_shard(size: int, buckets: int):
     """Arrow function of one shard: runs of repeated starts per surrounding, relative to the gram.
 
-    Shards of a spread gram also give, per bucket of hashes, the sorted hashes of the
-    strings they could not find twice, for the merge.
+    Shards of a spread gram also give, per bucket of hashes, the sorted hashes of their
+    strings for the merge.
     """
     gram = min(GRAM, size)
     reach = size - gram
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        lengths = np.array([len(r["bytes"]) for r in rows], np.int64)
-        data = np.frombuffer(b"".join(r["bytes"] for r in rows), np.uint8)
-        stop = np.cumsum(lengths)
-        begin = stop - lengths
-        found = repeated_starts(data, np.repeat(stop, lengths), size)
-        at, low, high, gram_, around = [], [], [], [], []
-        for k, r in enumerate(rows):
-            for m in r["marks"]:
-                at.append(begin[k] + m["pos"] - r["start"])
-                low.append(begin[k])
-                high.append(stop[k] - size)
-                gram_.append(m["gram"])
-                around.append(m["around"])
-        at, low, high = np.array(at, np.int64), np.array(low, np.int64), np.array(high, np.int64)
+        rows = table.drop_columns(["marks"]).to_pylist()
+        parts = [r["bytes"] for r in rows]
+        data, ends = laid_out(parts)
+        found = repeated_starts(data, ends, size)
+        begin = np.cumsum([0, *[len(x) + 1 for x in parts[:-1]]]) - np.array([r["start"] for r in rows])
+        marks = table.column("marks").combine_chunks()
+        owner = np.repeat(begin, pc.list_value_length(marks).to_numpy())
+        pos, first, last, gram_, around = (marks.flatten().field(k).to_numpy() for k in ("pos", "first", "last", "gram", "around"))
+        at, low, high = pos + owner, first + owner, last + owner
         grid = at[:, None] + np.arange(-reach, 1)[None, :]
         real = (grid >= low[:, None]) & (grid <= high[:, None])
         hit = real & found[np.clip(grid, 0, len(data) - 1)]
@@ -277,7 +305,6 @@ def _search_shard(size: int, buckets: int):
         change = np.diff(edge, axis=1)
         who, first = np.nonzero(change == 1)
         _, last = np.nonzero(change == -1)
-        gram_, around = np.array(gram_, np.int64), np.array(around, np.int64)
         out = {
             "gram": pa.array(gram_[who]), "around": pa.array(around[who]),
             "first": pa.array((first - reach).astype(np.int32)), "last": pa.array((last - 1 - reach).astype(np.int32))}
@@ -285,8 +312,7 @@ def _search_shard(size: int, buckets: int):
         blank = {"bucket": pa.nulls(n, pa.int64()), **{k: pa.nulls(n, pa.binary()) for k in ("one", "two", "owner")}}
         result = pa.table({**out, **blank})
         if rows[0]["spread"] and len(data) >= size:
-            open_ = real & ~hit
-            who, rel = np.nonzero(open_)
+            who, rel = np.nonzero(real)
             place = grid[who, rel]
             # copies hold the gram at the same offset; a string seen from two grams is one string still
             seen_from = gram_[who].view(np.uint64) * np.uint64(BASE2) + rel.astype(np.uint64) * np.uint64(BASE)
@@ -391,22 +417,22 @@ def remove_repeats(
     around = stored(_surroundings(texts, size).withColumn("p", place), "repeat-around")
     two = around.groupBy("gram", "around").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
     chosen = stored(
-        around.join(two, ["gram", "around"]).filter("p = lo or p = hi").select("gram", "around", "h1", "h2", "pos", "p"),
-        "repeat-chosen")
+        around.join(two, ["gram", "around"]).filter("p = lo or p = hi").select(
+            "gram", "around", "h1", "h2", "pos", "first", "last", "p"), "repeat-chosen")
     total = chosen.count()
     shards = max(1, -(-total * (2 * size - min(GRAM, size)) // shard_bytes))
     wide = (
         chosen.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > spread)
         .withColumn("salts", F.ceil(F.col("n") / spread)))
     dealt = chosen.join(wide, "gram", "left").select(
-        "h1", "h2", "pos", "gram", "around", F.col("salts").isNotNull().alias("spread"),
+        "h1", "h2", "pos", "first", "last", "gram", "around", F.col("salts").isNotNull().alias("spread"),
         F.when(F.col("salts").isNull(), F.pmod(F.xxhash64("gram"), F.lit(shards))).otherwise(
             # a salt of its own number range for every spread gram
             F.xxhash64("gram", F.pmod("p", "salts")).bitwiseOR(F.lit(1 << 62))).alias("shard"))
     segments = _segments(
         texts.select("h1", "h2", "text").join(
             dealt.groupBy("h1", "h2").agg(
-                F.collect_list(F.struct("pos", "gram", "around", "shard", "spread")).alias("own")), ["h1", "h2"])
+                F.collect_list(F.struct("pos", "first", "last", "gram", "around", "shard", "spread")).alias("own")), ["h1", "h2"])
         .select("h1", "h2", "text", "own"), size)
     # hashes of up to size - GRAM + 1 strings for each place in a spread shard, about a million to a bucket
     buckets = max(1, total * (size - min(GRAM, size) + 1) >> 20)
