@@ -19,7 +19,7 @@ from .common import bounded_sample, c, map_batches, stored
 # Bounds of the fit; every row is indexed.
 SAMPLE_ROWS, MAX_LISTS = 16_384, 1_024
 LIST_ROWS = 128  # wanted length of a list while there are fewer than MAX_LISTS of them
-DEGREE, BEAM, EXPAND = 16, 64, 8
+DEGREE, BEAM, EXPAND = 16, 64, 8  # the beam of a first search; it grows until the ratio ends the lists
 REPLICAS, REPLICA_RATIO = 8, 1.10
 PROBE_RATIO, LEAST_PROBES = 1.25, 8
 BLOCK_ROWS = 4_096
@@ -122,17 +122,33 @@ class CentroidGraph:
             for j, dj in zip(found, d):
                 if j < 0 or len(chosen) == REPLICAS or dj > REPLICA_RATIO * d[0] + 1e-12:
                     break
-                # not if a list chosen before lies between
-                if all(np.linalg.norm(self.centroids[j] - self.centroids[i]) > dj for i in chosen) or not chosen:
+                # not if a list chosen before lies between it and the nearest one; distances between centroids,
+                # as a vector can be farther from all of them than they are from each other
+                away = np.linalg.norm(self.centroids[chosen] - self.centroids[j], axis=1)
+                if not chosen or (away[1:] >= away[0]).all():
                     chosen.append(int(j))
             out.append(np.array(chosen))
         return out
 
     def probes(self, x: np.ndarray) -> list[np.ndarray]:
         """Lists a query reads: those whose distance is within PROBE_RATIO of the nearest, LEAST_PROBES at least."""
-        ids, dist = self.search(x)
-        return [
-            f[(f >= 0) & ((d <= PROBE_RATIO * d[0]) | (np.arange(len(f)) < LEAST_PROBES))] for f, d in zip(ids, dist)]
+        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(x)
+        rows, beam = np.arange(len(x)), BEAM
+        while len(rows):
+            if 4 * beam < len(self.centroids):
+                ids, dist = self.search(x[rows], beam)
+            else:  # a beam this wide looks at nearly all centroids anyway
+                ids = np.tile(np.arange(len(self.centroids)), (len(rows), 1))
+                dist = np.sqrt(self._distances(x[rows], ids))
+                order = np.lexsort((ids, dist))
+                ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
+            use = (ids >= 0) & ((dist <= PROBE_RATIO * dist[:, :1]) | (np.arange(ids.shape[1]) < LEAST_PROBES))
+            # the ratio decides, not the beam: where the last list found is within it, more are sought
+            more = use[:, -1] & (ids.shape[1] < len(self.centroids))
+            for row, f, u in zip(rows[~more], ids[~more], use[~more]):
+                out[row] = f[u]
+            rows, beam = rows[more], 4 * beam
+        return out
 
 
 def usable_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:

@@ -223,6 +223,17 @@ def test_graph_finds_the_nearest_centroids():
     assert (ids[:, 0] == true).mean() > 0.97
 
 
+def test_ratio_alone_decides_the_lists():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((20_000, 64)) + rng.standard_normal((8, 64)).repeat(2_500, 0)
+    centroids = posting_lists.balanced_centroids(x, 157)
+    graph = posting_lists.CentroidGraph.build(centroids)
+    d = np.sqrt(((x[::200, None] - centroids[None]) ** 2).sum(2))
+    for row, found in zip(d, graph.probes(x[::200])):
+        assert set(np.flatnonzero(row <= posting_lists.PROBE_RATIO * row.min())) <= set(found.tolist())
+    assert np.mean([len(f) for f in graph.files(x[::200])]) > 2
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op3_toxicity_nnpu"](spark, sf)
