@@ -397,6 +397,50 @@ def test_near_copies_against_all_pairs(spark, text_of):
     assert kept == set(sets) - gone
 
 
+def _same_groups(spark, texts, words=5):
+    """Components of near_copy_groups against all pairs."""
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    kept = {r.doc_id for r in near_copies.drop_near_copies(docs).collect()}
+    sets = [{tuple(w[j:j + words]) for j in range(len(w) - words + 1)} for w in (t.lower().split() for t in texts)]
+    root = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            lo, hi = sorted((root[a], root[b]))
+            root = [lo if r == hi else r for r in root]
+    assert kept == set(root)
+    return kept
+
+
+def test_near_copies_of_a_template(spark, text_of, monkeypatch):
+    # every variant is near the template and near no other variant
+    monkeypatch.setattr(near_copies, "CHUNK", 16, raising=False)  # buckets are compared whole, whatever it says
+    words, texts = text_of(1, 200).split(), []
+    for k in range(300):
+        own = list(words)
+        for j in range(4):
+            own[(k * 7 + j * 47 + k // 200 * 3) % 200] = f"own{k}x{j}"
+        texts.append(" ".join(own))
+    assert len(_same_groups(spark, [*texts, " ".join(words)])) < 30
+
+
+def test_near_copies_of_long_groups(spark, text_of):
+    # two groups, each nearly equal within and with one link between them
+    words, more = text_of(1, 4_000).split(), text_of(2, 960).split()
+    one = [" ".join([*words[:900 * k], f"own{k}", *words[900 * k + 1:]]) for k in range(4)]
+    two = [" ".join([*words[:900 * k], f"her{k}", *words[900 * k + 1:], *more]) for k in range(4)]
+    assert len(_same_groups(spark, one + two)) == 1
+
+
+def test_near_copies_with_blocks_and_repeats(spark, text_of):
+    texts = []
+    for k in range(30):
+        words, line = text_of(3 * k, 400), text_of(3 * k + 1, 6)
+        texts += [words, words + " " + text_of(3 * k + 2, 99)]  # just above the limit
+        words = text_of(1_000 + k, 200)
+        texts += [words + f" {line}" * 30, words + f" {line}" * 2]
+    assert len(_same_groups(spark, texts)) == 60
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF).collect()
