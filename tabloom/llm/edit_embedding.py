@@ -11,6 +11,7 @@ texts are sampled alike and any two can be compared.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ from .common import _importable, c, map_batches, stored
 
 CLASSES, PERIOD = 256, 4096  # characters share coins by a hash of the code point; coins repeat after PERIOD steps
 SAMPLES = 128  # bits per octave
+AGREE, RECALL = 0.85, 0.98  # share of bits that near texts agree on, and how many of them are to meet
 FIRST_OCTAVE, OCTAVES = 6, 40  # octave 0 covers the first 64 steps
 
 
@@ -172,17 +174,27 @@ def edit_distance_within(a: str, b: str, limit: int) -> int | None:
     return None
 
 
+def _bands(texts: int, least: int) -> np.ndarray:
+    """The sampled bits of each band of an octave."""
+    bits = min(SAMPLES, max(least, math.ceil(math.log2(max(2, texts))) + 2))
+    bands = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**bits) / 2)  # two octaves
+    return np.array([
+        np.random.default_rng([42, n]).choice(SAMPLES, bits, replace=False)
+        for n in range(max(bands, SAMPLES // least))])
+
+
 def near_edit_pairs(
     docs: DataFrame, max_edits: int, *, doc_id: str = "doc_id", text: str = "text", band_bits: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, edits) of distinct texts at most *max_edits* apart, and membership (doc_id, representative).
 
     Copies are collapsed to the smallest id first, so a large group of copies is one text.
-    The bits of the last full octave and the one before are cut into bands; texts that
-    share a band are candidates; each candidate is verified on whole texts. In a bucket
-    every text meets the smallest id and the one before it, so the pairs grow with the
-    texts, not with the square of a bucket; what links within a bucket is found over chains.
-    Rows with a NULL id take no part. The search is approximate (bands can all differ).
+    Bands sample bits of the last full octave and of the one before; all texts that share a
+    band and whose lengths allow it are candidates, and each is verified on whole texts.
+    Bands have *band_bits* bits or more: they lengthen with the logarithm of the number of texts, so
+    unrelated texts seldom meet, and grow in number, so near texts meet as surely as ever.
+    Rows with a NULL id take no part. The search is approximate (bands can all differ): texts that agree on
+    AGREE of the bits share a band in RECALL of the cases.
     """
     used = docs.filter(c(doc_id).isNotNull()).select(
         c(doc_id).alias("doc_id"), F.coalesce(c(text), F.lit("")).alias("text"))
@@ -192,6 +204,9 @@ def near_edit_pairs(
     texts = used.join(members.filter("doc_id = representative").select("doc_id").distinct(), "doc_id") \
         .dropDuplicates(["doc_id"])
 
+    texts = stored(texts, "edit-texts")
+    chosen = _bands(texts.count(), band_bits)
+
     def bands(batch: pa.RecordBatch) -> dict:
         w, rows = walks(), []
         for i, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -199,20 +214,23 @@ def near_edit_pairs(
             last = max(0, w.octaves(total) - 2)
             for octave in {last, max(0, last - 1)}:
                 part = bits[octave * SAMPLES:(octave + 1) * SAMPLES]
-                for n in range(0, len(part), band_bits):
-                    rows.append((i, f"{octave}.{n}." + np.packbits(part[n:n + band_bits]).tobytes().hex()))
+                if len(part):
+                    rows += [
+                        (i, f"{octave}.{n}." + np.packbits(band).tobytes().hex()) for n, band in enumerate(part[chosen])]
             if not len(bits):
                 rows.append((i, "empty"))
         return {"doc_id": [r[0] for r in rows], "key": [r[1] for r in rows]}
 
     kind = docs.schema[doc_id].dataType.simpleString()
     keys = map_batches(fingerprint_texts(texts), bands, f"doc_id {kind}, key string")
-    bucket = Window.partitionBy("key")
+    keys = stored(
+        keys.join(texts.select("doc_id", F.length("text").alias("length")), "doc_id"), "edit-bands")
     candidates = (
-        keys.withColumn("first", F.min("doc_id").over(bucket))
-        .withColumn("before", F.lag("doc_id").over(bucket.orderBy("doc_id")))
-        .select(F.col("doc_id").alias("b"), F.explode(F.array("first", "before")).alias("a"))
-        .filter("a <> b").distinct()
+        keys.alias("p").join(
+            keys.alias("q"),
+            (F.col("p.key") == F.col("q.key")) & (F.col("p.doc_id") < F.col("q.doc_id"))
+            & (F.abs(F.col("p.length") - F.col("q.length")) <= max_edits))
+        .select(F.col("p.doc_id").alias("a"), F.col("q.doc_id").alias("b")).distinct()
     )
     joined = (
         candidates.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a")

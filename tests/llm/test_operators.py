@@ -171,6 +171,16 @@ def test_edited_documents(docs, texts):
     assert np.mean([r.near_edited > r.near_next for r in rows.values()]) > 0.98
 
 
+def test_near_edit_pairs_in_crowded_buckets(spark, text_of):
+    # four values a band: unrelated ids lie between the two of every pair
+    texts = [text_of(k, 60) for k in range(200)]
+    rows = list(enumerate(texts)) + [(200 + k, t[:40] + "x" + t[41:]) for k, t in enumerate(texts)]
+    pairs, _ = edit_embedding.near_edit_pairs(
+        spark.createDataFrame(rows, "doc_id bigint, text string"), 4, band_bits=2)
+    found = {(r.a, r.b) for r in pairs.collect()}
+    assert len(found & {(k, 200 + k) for k in range(200)}) >= 180
+
+
 def test_near_edit_pairs(spark, text_of):
     base = [text_of(k, 150) for k in range(40)]
     rows = [(k, t) for k, t in enumerate(base)] + [(100 + k, t[:200] + "#" + t[203:]) for k, t in enumerate(base)]
