@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,6 +63,31 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+def fold_partitions(
+    df: DataFrame, fold: Callable[[Iterator[pa.RecordBatch]], dict[str, list] | None], schema: str,
+) -> DataFrame:
+    """One small result per partition: *fold* reads its batches one by one and returns columns, or None for no row."""
+    kind = to_arrow_schema(T.StructType.fromDDL(schema))
+    _importable(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = fold(b for b in batches if b.num_rows)
+        if out is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], names=kind.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length without NULLs as rows of an array."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def finite(array: Column) -> Column:
+    """True for arrays that are there and hold finite numbers only."""
+    return array.isNotNull() & F.forall(array, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import (
     edit_embedding,
+    hadamard_clusters,
     languages,
     mixing,
     personal_data,
     perspectives,
     posting_lists,
+    projection_passes,
     sentencepiece_backend,
     simhash,
     suffix_arrays,
     toxicity,
+    whitening,
 )
 from .common import Query, table
 
@@ -59,6 +62,18 @@ def op10_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_arrays.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_passes.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hadamard_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hadamard_clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_posting_lists": op1_posting_lists,
     "op2_simhash_pivots": op2_simhash_pivots,
@@ -70,8 +85,12 @@ QUERIES: dict[str, Query] = {
     "op8_personal_data": op8_personal_data,
     "op9_mix_sources": op9_mix_sources,
     "op10_suffix_arrays": op10_suffix_arrays,
+    "op11_exact_whitening": op11_exact_whitening,
+    "op12_projection_passes": op12_projection_passes,
+    "op13_hadamard_clusters": op13_hadamard_clusters,
 }
 ORACLE: dict[str, str] = {
     "op5_perspective_rotation": perspectives.OP5_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op13_hadamard_clusters": hadamard_clusters.OP13_SQL,
 }
