@@ -8,8 +8,9 @@ with map-side combining before anything is ordered.
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
@@ -28,16 +29,19 @@ THRESHOLD_KS = 0.1
 THRESHOLD_PVAL = 0.05
 WARNING_SHARE = 0.30
 
-# One ordered range of values holds about this many rows.
+# One ordered range of values holds about this many rows; a sketch yields this many ranges at most,
+# and ranges that are still too large are sketched again on their own.
 RANGE_ROWS = 4_000_000
-MAX_RANGES = 1000
+GRID_RANGES = 1000
 RANGE_SKETCH = 2048
 
 SCORE_SCHEMA = "column string, method string, statistic double, p_value double, drifted boolean"
 
 
 @dataclass(frozen=True)
-class _Column:
+class ColumnSummary:
+    """A compared column: its kind, values on either side, and the bounds of its value ranges."""
+
     name: str
     numeric: bool
     n_ref: int = 0
@@ -56,7 +60,7 @@ def _countable(dtype: T.DataType) -> bool:
     return is_numeric(dtype) or isinstance(dtype, T.BooleanType)
 
 
-def _stack(ref: DataFrame, new: DataFrame, columns: list[_Column]) -> DataFrame:
+def _stack(ref: DataFrame, new: DataFrame, columns: list[ColumnSummary]) -> DataFrame:
     """Both frames under each other: one value column per compared column, and is_new."""
     def side(df: DataFrame, is_new: bool) -> DataFrame:
         types = {f.name: f.dataType for f in df.schema.fields}
@@ -69,11 +73,11 @@ def _stack(ref: DataFrame, new: DataFrame, columns: list[_Column]) -> DataFrame:
     return side(ref, False).unionAll(side(new, True))
 
 
-def _prepare(ref: DataFrame, new: DataFrame, names: list[str] | None) -> tuple[list[_Column], DataFrame]:
+def _prepare(ref: DataFrame, new: DataFrame, names: list[str] | None) -> tuple[list[ColumnSummary], DataFrame]:
     """Column kinds, non-null counts and value ranges: one shuffle-free aggregate."""
     names = common_columns(ref, new) if names is None else list(names)
     columns = [
-        _Column(n, _countable(ref.schema[n].dataType) and _countable(new.schema[n].dataType)) for n in names
+        ColumnSummary(n, _countable(ref.schema[n].dataType) and _countable(new.schema[n].dataType)) for n in names
     ]
     stacked = _stack(ref, new, columns)
     if not columns:
@@ -85,25 +89,71 @@ def _prepare(ref: DataFrame, new: DataFrame, names: list[str] | None) -> tuple[l
         present += [(has & ~F.col("is_new")).cast("bigint").alias(f"ref{i}"),
                     (has & F.col("is_new")).cast("bigint").alias(f"new{i}")]
     # ranges only balance the work, so an approximate grid is all they need
-    row = sketch_grids(stacked, [F.col(f"v{i}") for i in numeric], MAX_RANGES, RANGE_SKETCH, present)
-    out = []
-    for i, x in enumerate(columns):
-        n_ref, n_new = row[f"ref{i}"], row[f"new{i}"]
-        bounds: tuple[float, ...] = ()
-        if x.numeric and n_ref and n_new:
-            grid = row[f"g{numeric.index(i)}"]
-            ranges = min(math.ceil((n_ref + n_new) / RANGE_ROWS), MAX_RANGES)
-            picked = [grid[math.ceil(k * MAX_RANGES / ranges)] for k in range(1, ranges)]
-            bounds = tuple(sorted(set(picked)))
-        out.append(_Column(x.name, x.numeric, n_ref, n_new, bounds))
-    return out, stacked
+    row = sketch_grids(stacked, [F.col(f"v{i}") for i in numeric], GRID_RANGES, RANGE_SKETCH, present)
+    grids = {i: (row[f"n{k}"], row[f"g{k}"]) for k, i in enumerate(numeric)}
+    bounds = _split_ranges(stacked, {i: g for i, g in grids.items() if row[f"ref{i}"] and row[f"new{i}"]})
+    return [
+        ColumnSummary(x.name, x.numeric, row[f"ref{i}"], row[f"new{i}"], bounds.get(i, ()))
+        for i, x in enumerate(columns)], stacked
+
+
+def summarise_columns(ref: DataFrame, cols: list[str] | None = None) -> list[ColumnSummary]:
+    """Kinds, non-null counts and value ranges of one frame alone (its rows count as the reference)."""
+    ignored = [n for n in ref.columns if n.lower() not in {x.lower() for x in IGNORED_COLUMNS}]
+    columns = [ColumnSummary(n, _countable(ref.schema[n].dataType)) for n in (ignored if cols is None else cols)]
+    stacked = _stack(ref, ref.limit(0), columns)
+    numeric = [i for i, x in enumerate(columns) if x.numeric]
+    present = [F.col(f"v{i}").isNotNull().cast("bigint").alias(f"ref{i}") for i in range(len(columns))]
+    row = sketch_grids(stacked, [F.col(f"v{i}") for i in numeric], GRID_RANGES, RANGE_SKETCH, present)
+    bounds = _split_ranges(stacked, {i: (row[f"n{k}"], row[f"g{k}"]) for k, i in enumerate(numeric) if row[f"ref{i}"]})
+    return [ColumnSummary(x.name, x.numeric, row[f"ref{i}"], 0, bounds.get(i, ())) for i, x in enumerate(columns)]
+
+
+def _picked(grid: Sequence[float], rows: int) -> set[float]:
+    """Bounds between ranges of about RANGE_ROWS rows, as many as the grid can tell apart."""
+    ranges = min(math.ceil(rows / RANGE_ROWS), GRID_RANGES)
+    return {grid[math.ceil(k * GRID_RANGES / ranges)] for k in range(1, ranges)}
+
+
+def _split_ranges(stacked: DataFrame, grids: dict[int, tuple[int, Sequence[float]]]) -> dict[int, tuple[float, ...]]:
+    """Bounds per column so that a range holds about RANGE_ROWS rows, however many ranges that takes.
+
+    Ranges that hold twice as many are sketched again, all of a column in one job with a row per range, until
+    none is left or its rows are one value. Only the bounds reach the driver: one number per RANGE_ROWS rows.
+    """
+    out = {i: tuple(sorted(_picked(grid, n))) for i, (n, grid) in grids.items()}
+    todo = {i for i, (n, _) in grids.items() if n > GRID_RANGES * RANGE_ROWS}
+    ranks = F.from_json(F.lit(json.dumps([k / GRID_RANGES for k in range(GRID_RANGES + 1)])), "array<double>")
+    while todo:
+        again = set()
+        for i in todo:
+            spread = Bucketizer(
+                inputCol="v", outputCol="b", splits=[-math.inf, *out[i], math.inf], handleInvalid="keep",
+            ).transform(stacked.select(F.col(f"v{i}").alias("v")).filter("v is not null"))
+            crowded = spread.groupBy("b").agg(
+                F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+                F.kll_sketch_agg_double("v", RANGE_SKETCH).alias("s"),
+            ).filter((F.col("n") > 2 * RANGE_ROWS) & (F.col("lo") < F.col("hi")))
+            found = crowded.select("n", "lo", "hi", F.kll_sketch_get_quantile_double("s", ranks).alias("grid")).collect()
+            fresh = set()
+            for r in found:
+                fresh |= _picked([r.lo, *r.grid[1:-1], r.hi], r.n)
+                # where nearly all rows are one value, that value becomes a range of its own
+                fresh |= {r.grid[GRID_RANGES // 2], math.nextafter(r.grid[GRID_RANGES // 2], math.inf)}
+            fresh -= set(out[i])
+            fresh = {v for v in fresh if math.isfinite(v)}
+            if fresh:
+                out[i] = tuple(sorted({*out[i], *fresh}))
+                again.add(i)
+        todo = again
+    return out
 
 
 def _of_column(values: list[float], i: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), i + 1)
 
 
-def _ks(stacked: DataFrame, columns: list[_Column]) -> DataFrame:
+def _ks(stacked: DataFrame, columns: list[ColumnSummary]) -> DataFrame:
     """(i, statistic): largest gap between the two cumulative distributions.
 
     A column is cut into value ranges. Running counts are taken inside each
@@ -148,14 +198,14 @@ def _ks(stacked: DataFrame, columns: list[_Column]) -> DataFrame:
     return running.groupBy("i").agg(F.max(gap).alias("statistic"))
 
 
-def category_counts(stacked: DataFrame, columns: list[_Column], tested: list[int]) -> DataFrame:
+def category_counts(stacked: DataFrame, columns: list[ColumnSummary], tested: list[int]) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"v{i}").alias("v")) for i in tested])
     long = stacked.select("is_new", F.explode(cells).alias("x")).filter(F.col("x.v").isNotNull())
     return long.groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(
         F.count_if(~F.col("is_new")).alias("r"), F.count_if(F.col("is_new")).alias("n"))
 
 
-def _chi2(stacked: DataFrame, columns: list[_Column]) -> DataFrame:
+def _chi2(stacked: DataFrame, columns: list[ColumnSummary]) -> DataFrame:
     """(i, k, statistic) with the continuity correction when there are two categories."""
     tested = [i for i, x in enumerate(columns) if not x.numeric and x.n_ref and x.n_new]
     counts = category_counts(stacked, columns, tested)
@@ -180,7 +230,7 @@ def _chi2(stacked: DataFrame, columns: list[_Column]) -> DataFrame:
 
 def category_alignment(ref: DataFrame, new: DataFrame, col: str) -> DataFrame:
     """Rows per category in either frame; a category missing on one side counts 0."""
-    columns = [_Column(col, False)]
+    columns = [ColumnSummary(col, False)]
     counts = category_counts(_stack(ref, new, columns), columns, [0])
     return counts.select(F.col("v").alias("category"), F.col("r").alias("n_ref"), F.col("n").alias("n_new"))
 
@@ -197,7 +247,7 @@ def chi2_statistics(ref: DataFrame, new: DataFrame, cols: list[str] | None = Non
     return _named(ref, columns, _chi2(stacked, columns))
 
 
-def _named(ref: DataFrame, columns: list[_Column], result: DataFrame) -> DataFrame:
+def _named(ref: DataFrame, columns: list[ColumnSummary], result: DataFrame) -> DataFrame:
     names = local_frame(
         ref.sparkSession, [(i, x.name, x.n_ref, x.n_new) for i, x in enumerate(columns)],
         "i int, column string, n_ref bigint, n_new bigint")

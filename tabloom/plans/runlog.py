@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import metric_band, relative_age
 from ..operators.evaluate import NON_SCALAR_METRICS, lower_is_better, resolve_metric
-from ..session import local_frame
+from ..session import list_folder, local_frame, remove_path
 
 # The fields of a run record and those of its list view.
 RUN_FIELDS: dict[str, T.DataType] = {
@@ -65,15 +65,25 @@ def current_runs(events: DataFrame) -> DataFrame:
     # is a delete finds no record; filters on run_id reach both sides
     last = events.filter(F.col("event").isin("log", "delete")).groupBy("run_id").agg(F.max("seq").alias("seq"))
     newest = events.filter(F.col("event") == "log").join(last, ["run_id", "seq"])
-    promotes = events.filter(F.col("event") == "promote")
-    last_seq = promotes.agg(F.max("seq")).scalar()
-    last_run = promotes.agg(F.max_by("run_id", "seq")).scalar()
-    since = F.coalesce(F.col("seq") > last_seq, F.lit(True))
+    promoted = events.filter(F.col("event") == "promote").agg(F.max(F.struct("seq", "run_id"))).scalar()
+    since = F.coalesce(F.col("seq") > promoted["seq"], F.lit(True))
     logged = F.coalesce(F.col("is_champion"), F.lit(False))
-    champion = F.when(since, logged).otherwise(F.col("run_id") == last_run)
+    champion = F.when(since, logged).otherwise(F.col("run_id") == promoted["run_id"])
     return newest.select(*[champion.alias(n) if n == "is_champion" else F.col(n) for n in RUN_SCHEMA.names])
 
 
+def compacted(events: DataFrame) -> DataFrame:
+    """The events that views depend on: the newest log or delete of every run and the newest promote.
+
+    A view over them equals the view over all events, also after events that are older arrive late.
+    """
+    changes = events.filter(F.col("event").isin("log", "delete"))
+    newest = changes.join(changes.groupBy("run_id").agg(F.max("seq").alias("seq")), ["run_id", "seq"])
+    promotes = events.filter(F.col("event") == "promote")
+    promoted = promotes.agg(F.max(F.struct(*EVENT_SCHEMA.names)).alias("e")).filter("e is not null").select("e.*")
+    return newest.select(*EVENT_SCHEMA.names).unionAll(promoted)
+
+
 def deleted_runs(events: DataFrame) -> DataFrame:
     """Runs whose newest log or delete event is a delete."""
     newest = events.filter(F.col("event").isin("log", "delete")).groupBy("run_id").agg(
@@ -273,6 +283,10 @@ def new_record(**fields: Any) -> dict[str, Any]:
     return {**record, **fields}
 
 
+def _name(file: str) -> str:
+    return file.rsplit("/", 1)[1]
+
+
 def _event(kind: str, record: dict[str, Any]) -> tuple:
     values = []
     for name in RUN_SCHEMA.names:
@@ -285,19 +299,68 @@ def _event(kind: str, record: dict[str, Any]) -> tuple:
 class RunLog:
     """Event table under *path*; every change is one append.
 
-    Events are in the order of the writers' clocks, so writers need clocks in step.
+    Events are in the order of the writers' clocks, so writers need clocks in step. :meth:`compact` writes a
+    snapshot of the events that still matter together with the names of the files it covers; views read the
+    newest complete snapshot and the files it does not cover.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def events(self) -> DataFrame:
+    def _read(self, *files: str) -> DataFrame:
+        return self.spark.read.schema(EVENT_SCHEMA).option("recursiveFileLookup", "true").parquet(*files)
+
+    def _files(self) -> list[str]:
+        """Paths of the event files (their names are unique; folders that start with _ are skipped)."""
         try:
-            return self.spark.read.schema(EVENT_SCHEMA).parquet(self.path)
+            return self._read(self.path).inputFiles()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return local_frame(self.spark, [], EVENT_SCHEMA)
+            return []
+
+    def _snapshots(self) -> list[str]:
+        """Complete snapshots, oldest first: the list of files is written last."""
+        root = f"{self.path}/_snapshots"
+        return [
+            f"{root}/{name}" for name in list_folder(self.spark, root)
+            if "_SUCCESS" in list_folder(self.spark, f"{root}/{name}/files")]
+
+    def _covered(self, snapshot: str) -> set[str]:
+        return {r.name for r in self.spark.read.schema("name string").parquet(f"{snapshot}/files").collect()}
+
+    def events(self) -> DataFrame:
+        """The newest snapshot and all events after it; every event that was never compacted if there is none."""
+        return self._events(self._files(), self._snapshots()[-1:])
+
+    def _events(self, files: list[str], snapshots: list[str]) -> DataFrame:
+        parts = [self.spark.read.schema(EVENT_SCHEMA).parquet(f"{s}/events") for s in snapshots]
+        covered = {name for s in snapshots for name in self._covered(s)}
+        tail = [f for f in files if _name(f) not in covered]
+        if tail:
+            parts.append(self._read(*tail) if covered else self._read(self.path))
+        return reduce(DataFrame.unionAll, parts) if parts else local_frame(self.spark, [], EVENT_SCHEMA)
+
+    def compact(self, skip: str | None = None) -> None:
+        """Fold all events into a new snapshot, except those in files below the subfolder *skip*.
+
+        Readers keep the files of the snapshot before for one more round: what it covered, and older snapshots,
+        are removed only now. Run by one process at a time; one that stops half way leaves the old state valid.
+        """
+        files = [f for f in self._files() if skip is None or f"/{skip}/" not in f]
+        snapshots = self._snapshots()
+        number = int(snapshots[-1].rsplit("-", 1)[1]) + 1 if snapshots else 0
+        target = f"{self.path}/_snapshots/v-{number:012d}"
+        remove_path(self.spark, target)  # what a broken attempt left
+        compacted(self._events(files, snapshots[-1:])).write.parquet(f"{target}/events")
+        local_frame(self.spark, [(_name(f),) for f in files], "name string").coalesce(1).write.parquet(f"{target}/files")
+        for snapshot in snapshots[-1:]:
+            old = self._covered(snapshot)
+            for f in files:
+                if _name(f) in old:
+                    remove_path(self.spark, f)
+        for snapshot in snapshots[:-1]:
+            remove_path(self.spark, snapshot)
 
     def _append(self, rows: list[tuple]) -> None:
         local_frame(self.spark, rows, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -32,6 +33,15 @@ def build_session(app_name: str = "tabloom", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package as the driver does; clusters ship it themselves."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in known:
+        env["PYTHONPATH"] = os.pathsep.join([root, *filter(None, known)])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can read, as named by ``spark.checkpoint.dir``.
 
@@ -61,3 +71,15 @@ def local_frame(spark: SparkSession, rows: Iterable[Sequence[Any]], schema: str
     records = [dict(zip(names, row)) for row in rows]
     table = pa.Table.from_pylist(records, schema=to_arrow_schema(kind))
     return spark.createDataFrame(table, schema=kind)
+
+
+def list_folder(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system Spark knows; none if it is not there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -11,14 +11,20 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.columns import c
-from ..operators.drift import DriftReport, detect_drift
-from ..plans.runlog import telemetry
+from ..operators.drift import DriftReport
+from ..plans.runlog import EVENT_SCHEMA, RunLog
 from ..session import scratch_path
+from .windows import ReferenceProfile
 
 
-def file_stream(spark: SparkSession, folder: str, pattern: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
-    """Files that appear in a folder, as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).format(fmt).load(folder)
+def file_stream(
+    spark: SparkSession, folder: str, pattern: str, schema: T.StructType, fmt: str = "parquet", files_per_batch: int | None = None,
+) -> DataFrame:
+    """Files that appear in a folder, as a stream; at most *files_per_batch* in one micro-batch."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.format(fmt).load(folder)
 
 
 def score_stream(model: PipelineModel, stream: DataFrame) -> DataFrame:
@@ -62,57 +68,107 @@ def window_profile(
     )
 
 
-def run_to_table(stream: DataFrame, fmt: str = "parquet", mode: str = "append", path: str | None = None) -> DataFrame:
-    """Process everything available into a table in the shared folder and read it back."""
+def start_table(
+    stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", mode: str = "append", trigger: dict | None = None,
+) -> StreamingQuery:
+    """Append a stream to the table under *path*; by default all there is now, then stop.
+
+    *path* and *checkpoint* belong to the caller. A query that was stopped or failed goes on after its last
+    micro-batch when it is started with the same two, and readers of *path* see each row once.
+    """
+    return (
+        stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint)
+        .option("path", path).trigger(**(trigger or {"availableNow": True})).start())
+
+
+def run_to_table(
+    stream: DataFrame, fmt: str = "parquet", mode: str = "append", path: str | None = None, checkpoint: str | None = None,
+) -> DataFrame:
+    """Process everything available into a table and read it back; a second run with the same places goes on.
+
+    Without *path* and *checkpoint* both are fresh folders of the shared one.
+    """
     spark = stream.sparkSession
+    if (path is None) != (checkpoint is None):
+        raise ValueError("give both path and checkpoint, or neither: they only make sense together")
     target = path or scratch_path(spark, "stream")
-    query = (
-        stream.writeStream.format(fmt).outputMode(mode)
-        .option("checkpointLocation", scratch_path(spark, "stream-checkpoint"))
-        .option("path", target).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    start_table(stream, target, checkpoint or scratch_path(spark, "stream-checkpoint"), fmt, mode).awaitTermination()
     return spark.read.schema(stream.schema).format(fmt).load(target)
 
 
+class EndableStream:
+    """A stream that can be told that no more rows come, so that the windows still open are closed.
+
+    ``stream`` is the given one together with the files of *folder*. :meth:`end` puts one row there with a time
+    beyond all others and NULL elsewhere: the watermark passes every real window at the next micro-batch, and the
+    row's own window never closes.
+    """
+
+    LAST = "9999-01-01 00:00:00"
+
+    def __init__(self, stream: DataFrame, time_col: str, folder: str) -> None:
+        self.time_col, self.folder, self.schema = time_col, folder, T.StructType(
+            [T.StructField(f.name, f.dataType) for f in stream.schema.fields])
+        self.spark = stream.sparkSession
+        self._rows(False).write.mode("ignore").parquet(folder)
+        self.stream = stream.unionByName(file_stream(self.spark, folder, "*.parquet", self.schema))
+
+    def _rows(self, last: bool) -> DataFrame:
+        fields = [
+            F.lit(self.LAST if f.name == self.time_col else None).cast(f.dataType).alias(f.name) for f in self.schema.fields]
+        return self.spark.range(1 if last else 0).select(*fields)
+
+    def end(self) -> None:
+        self._rows(True).coalesce(1).write.mode("append").parquet(self.folder)
+
+
 def watch_drift(
-    stream: DataFrame,
-    reference: DataFrame,
-    handle: Callable[[DriftReport, int], None],
-    cols: list[str] | None = None,
+    stream: DataFrame, profile: ReferenceProfile, handle: Callable[[DriftReport, int], None], checkpoint: str | None = None,
 ) -> StreamingQuery:
-    """Compare every micro-batch with the reference and hand over the report."""
+    """Compare every micro-batch with the reference profile and hand over the report."""
     def check(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
-        try:
-            handle(detect_drift(reference, batch, cols=cols), batch_id)
-        finally:
-            batch.unpersist()
+        handle(profile.compare(batch), batch_id)
 
     return (
         stream.writeStream.foreachBatch(check)
-        .option("checkpointLocation", scratch_path(stream.sparkSession, "drift-checkpoint"))
+        .option("checkpointLocation", checkpoint or scratch_path(stream.sparkSession, "drift-checkpoint"))
         .trigger(availableNow=True).start()
     )
 
 
-def live_telemetry(runs: DataFrame, name: str) -> StreamingQuery:
-    """Telemetry over a stream of runs, kept complete in an in-memory table.
+def newest_events(events: DataFrame) -> DataFrame:
+    """State of a stream of run events: per run its newest log or delete, and the newest promote of all.
 
-    Model types are counted through a set, as streams have no exact distinct count.
+    In update mode a micro-batch yields the runs whose newest event it brought. State is one record per run,
+    however often a run is logged; an event older than the state, or one that comes again, yields nothing.
     """
-    totals = runs.agg(
-        F.count(F.lit(1)).alias("total_runs"),
-        F.size(F.collect_set("model_type")).cast("bigint").alias("model_types"),
-        F.round(F.coalesce(F.avg("duration_seconds"), F.lit(0.0)), 1).alias("avg_duration"),
-        F.coalesce(F.bool_or("is_champion"), F.lit(False)).alias("has_champion"),
-    )
-    return (
-        totals.writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", scratch_path(runs.sparkSession, "telemetry-checkpoint"))
-        .trigger(availableNow=True).start()
-    )
+    promote = F.col("event") == "promote"
+    now = F.unix_millis(F.current_timestamp())  # of the micro-batch: the same when it is repeated
+    # the number decides, and of equal events the first to arrive
+    newest = F.max(F.struct(*EVENT_SCHEMA.names, (-F.col("arrived")).alias("arrived"))).alias("e")
+    state = events.withColumn("arrived", now).groupBy(
+        promote.alias("promote"), F.when(~promote, F.col("run_id")).alias("run")).agg(newest, F.max("arrived").alias("touched"))
+    return state.filter(-F.col("e.arrived") == F.col("touched")).select("e.*").drop("arrived")
+
+
+def follow_runs(
+    events: DataFrame, log: RunLog, checkpoint: str, compact_every: int = 100, trigger: dict | None = None,
+    then: Callable[[RunLog, int], None] | None = None,
+) -> StreamingQuery:
+    """Keep *log* up to date with a stream of run events: ``log.runs()`` is right after every micro-batch.
 
+    Each micro-batch adds one folder with the newest events of the runs it changed; a repeated one replaces its
+    folder. Every *compact_every* batches the log is compacted, leaving out the folder being written, so files
+    stay bounded. *log* and *checkpoint* belong together: a restart with both goes on where it stopped.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        folder = f"batch-{batch_id:012d}"
+        if batch_id and batch_id % compact_every == 0:
+            log.compact(skip=folder)
+        batch.select(*EVENT_SCHEMA.names).write.mode("overwrite").parquet(f"{log.path}/{folder}")
+        if then is not None:
+            then(log, batch_id)
 
-__all__ = [
-    "file_stream", "live_telemetry", "run_to_table", "score_stream", "telemetry", "watch_drift", "window_profile"]
+    return (
+        newest_events(events).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start())

@@ -11,7 +11,6 @@ from tabloom.operators.split import split_hash
 from tabloom.plans.features import FeaturePipeline
 from tabloom.plans.runlog import current_runs, leaderboard, telemetry
 from tabloom.session import shared_dir
-from tabloom.streaming.streams import file_stream, run_to_table, watch_drift, window_profile
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,29 +19,6 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-# --- streams -----------------------------------------------------------------------------------
-
-@pytest.mark.parametrize("options", [{}, {"slide": "12 hours"}, {"session_gap": "30 minutes"}])
-def test_windows_equal_batch_for_closed_windows(spark, options):
-    batch = spark.read.parquet(f"{SF_DIR}/events.parquet")
-    stream = file_stream(spark, SF_DIR, "events.parquet", batch.schema)
-    got = run_to_table(window_profile(stream, "ts", "event_type", "value", **options))
-    expect = window_profile(batch, "ts", "event_type", "value", **options)
-    end = batch.agg(F.max("ts").cast("timestamp")).first()[0]
-    closed = expect.filter(F.col("window_end") <= F.lit(end) - F.expr("INTERVAL 1 DAY"))
-    key = ["window_start", "window_end", "category", "n", "n_null"]
-    assert sorted(got.select(*key).collect()) == sorted(closed.select(*key).collect())
-    assert got.count() > 0
-
-
-def test_drift_per_micro_batch(spark):
-    batch = spark.read.parquet(f"{SF_DIR}/events.parquet").select("value", "event_type")
-    seen = []
-    stream = file_stream(spark, SF_DIR, "events.parquet", spark.read.parquet(f"{SF_DIR}/events.parquet").schema)
-    watch_drift(stream.select("value", "event_type"), batch, lambda report, i: seen.append(report.status)).awaitTermination()
-    assert seen == ["ok"]
-
-
 # --- plans ------------------------------------------------------------------------------------
 
 def test_feature_transform_is_one_narrow_stage(spark):
