@@ -266,6 +266,19 @@ def _(spark, sf_dir):
     return split_exact(df, "o_orderkey", target="o_orderstatus", stratify=True)
 
 
+@query("split_stratified_many", f"""WITH c AS (SELECT o_custkey::VARCHAR AS s, count(*)::DOUBLE AS n FROM orders GROUP BY 1),
+    t AS ({_allot('c', 'n', '0.2', 'n_test')}), t2 AS (SELECT *, n - n_test AS rest FROM t),
+    v AS ({_allot('t2', 'rest', '0.125', 'n_val')}),
+    r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY {ORDER_KEY}, o_orderkey) AS pos
+          FROM orders)
+    SELECT o_orderkey, o_custkey, CASE WHEN pos <= n_test THEN 'test' WHEN pos <= n_test + n_val THEN 'val' ELSE 'train'
+    END AS split FROM r JOIN v ON o_custkey::VARCHAR = s""")
+def _(spark, sf_dir):
+    # a stratum for every customer
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    return split_exact(df, "o_orderkey", target="o_custkey", stratify=True)
+
+
 # --- metrics on a rule-based prediction ------------------------------------------------------
 
 RULE = """p AS (SELECT l_returnflag AS label, CASE WHEN l_quantity < 17 THEN 'A' WHEN l_quantity < 34 THEN 'N' ELSE 'R' END

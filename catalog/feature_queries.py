@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.functions.quantiles import exact_quantiles
 from tabloom.operators.derive import LogTransform, PolynomialFeatures, negative_counts
 from tabloom.operators.encode import LabelEncode, OneHotEncode
 from tabloom.operators.fill import MeanImpute, MedianImpute, ModeImpute
@@ -12,6 +13,7 @@ from tabloom.operators.project import DropColumns, RenameColumns, SelectColumns
 from tabloom.operators.rescale import MinMaxScale, StandardScale
 from tabloom.operators.split import split_hash
 from tabloom.plans.features import FeaturePipeline, preview, shape_summary
+from tabloom.session import local_frame
 
 from .registry import query, rounded, table
 
@@ -81,6 +83,37 @@ def _(spark, sf_dir):
     return MedianImpute(cols="all_numeric", exclude=KEY).fit(df).transform(df)
 
 
+MIDDLE = [f"""SELECT '{c}' AS "column", count({c}) AS n, round(quantile_cont({c}, 0.499), 6) AS low, round(quantile_cont({c}, 0.501), 6) AS high,
+    TRUE AS within FROM items""" for c in NUMERIC]
+
+
+@query("median_approximate", f"WITH {ITEMS} {' UNION ALL '.join(MIDDLE)}")
+def _(spark, sf_dir):
+    # what one scan of sketches fills in, against the exact values a thousandth of the rows below and above the middle
+    df = numbers(spark, sf_dir)
+    model = MedianImpute(cols="all_numeric", exclude=KEY, exact=False).fit(df)
+    exact = exact_quantiles(df, NUMERIC, [0.499, 0.501])
+    counts = df.agg(*[F.count(n).alias(n) for n in NUMERIC]).first()
+    rows = [(n, counts[n], *exact[n], exact[n][0] <= model.fitted["values"][n] <= exact[n][1]) for n in NUMERIC]
+    return rounded(local_frame(spark, rows, "column string, n bigint, low double, high double, within boolean"))
+
+
+@query("onehot_beside_text", """WITH m AS (SELECT
+      (SELECT text FROM documents WHERE text IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, text LIMIT 1) AS t,
+      (SELECT source FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 1) AS s,
+      (SELECT lang FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, lang LIMIT 1) AS l)
+    SELECT doc_id, md5(coalesce(text, t)) AS text_md5, coalesce(source, s) AS source, 'lang_' || coalesce(lang, l) AS hot
+    FROM documents, m""")
+def _(spark, sf_dir):
+    # all categories of one column reach the driver, and only the mode of the texts beside it
+    df = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    steps = [{"type": "mode_impute", "cols": "all_categorical"}, {"type": "onehot_encode", "cols": ["lang"]}]
+    out = FeaturePipeline(steps, exclude=["doc_id"]).fit(df).transform(df)
+    hot = [n for n in out.columns if n.startswith("lang_")]
+    named = F.array_join(F.array_compact(F.array(*[F.when(F.col(f"`{n}`") == 1, F.lit(n)) for n in hot])), ",")
+    return out.select("doc_id", F.md5("text").alias("text_md5"), "source", named.alias("hot"))
+
+
 @query("mode_impute", f"""WITH {ITEMS},
     rf AS (SELECT l_returnflag AS v FROM items WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
     tx AS (SELECT l_tax AS v FROM items WHERE l_tax IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)

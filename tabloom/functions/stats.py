@@ -196,7 +196,7 @@ def frequencies(df: DataFrame, limits: Mapping[str, int]) -> dict[str, Frequenci
     counts = long_values(df, names).groupBy("i", "s", "l", "d").agg(F.count(F.lit(1)).alias("n"))
     is_null = F.col("s").isNull() & F.col("l").isNull() & F.col("d").isNull()
     order = [is_null.desc(), F.col("n").desc(), F.col("s"), F.col("l"), F.col("d")]
-    keep = max(limits.values()) + 2
+    keep = F.element_at(F.array(*[F.lit(limits[name] + 2) for name in names]), F.col("i") + 1)
     # heads of value groups first, so that a column with very many values is
     # never ranked in one task; then the head of those heads
     group = F.pmod(F.hash("s", "l", "d"), F.lit(HEAD_GROUPS))

@@ -23,7 +23,7 @@ from ..session import local_frame, scratch_path
 from .step import Step, StepModel
 
 MAX_CATEGORIES = 1000
-ALL_CATEGORIES = 1 << 30
+MAX_COLUMNS = 10_000  # of a dense one-hot
 # Beyond this many categories a hash join is cheaper than scanning a list per row.
 LIST_LOOKUP = 64
 
@@ -171,12 +171,13 @@ class OneHotEncode(_Encode):
     """``onehot_encode{cols, output="dense"|"sparse"}``.
 
     dense: int columns ``col_category`` in sorted category order, which become part of
-    the schema, so all categories come to the driver. sparse: one vector ``col_vec`` in
-    the order of the categories' text, which never leave Spark.
+    the schema; a column of more than *max_columns* categories (default 10,000) is an error.
+    sparse: one vector ``col_vec`` in the order of the categories' text, for any number of
+    categories, which never leave Spark.
     """
 
     def limit(self):
-        return ALL_CATEGORIES
+        return int(self.option("max_columns", MAX_COLUMNS))
 
     def sparse(self) -> bool:
         output = self.option("output", "dense")
@@ -193,6 +194,9 @@ class OneHotEncode(_Encode):
         if self.sparse():
             return OneHotModel({"categories": {}, "tables": self.tables(stats, cols)})
         found = stats.need_frequencies(cols, self.limit())
+        wide = [n for n, f in found.items() if not f.complete]
+        if wide:
+            raise ValueError(f"more than {self.limit()} categories in {wide}; use output='sparse' or a larger max_columns")
         lists = {n: [json_value(v) for v in sorted(v for v, _ in f.values)] for n, f in found.items()}
         return OneHotModel({"categories": lists, "tables": {}})
 

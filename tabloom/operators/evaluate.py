@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,19 +33,24 @@ def confusion_counts(df: DataFrame, label: str = "label", prediction: str = "pre
     return df.groupBy(c(label).alias("label"), c(prediction).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_list(counts: DataFrame) -> list[Any]:
-    """Sorted union of labels and predictions; bounded, as a dense matrix needs it."""
+def class_list(counts: DataFrame, limit: int = MAX_DENSE_CLASSES) -> list[Any] | None:
+    """Sorted union of labels and predictions; None if there are more than *limit*."""
     classes = counts.select(F.explode(F.array("label", "prediction")).alias("k")).filter("k is not null").distinct()
-    found = [r["k"] for r in classes.orderBy("k").limit(MAX_DENSE_CLASSES + 1).collect()]
-    if len(found) > MAX_DENSE_CLASSES:
-        raise ValueError(f"more than {MAX_DENSE_CLASSES} classes; use confusion_counts, the long form")
-    return found
+    found = [r["k"] for r in classes.orderBy("k").limit(limit + 1).collect()]
+    return found if len(found) <= limit else None
 
 
-def confusion_matrix(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """Every (label, prediction) cell of the matrix, zeros included."""
+def confusion_matrix(
+    df: DataFrame, label: str = "label", prediction: str = "prediction", max_classes: int = MAX_DENSE_CLASSES,
+) -> DataFrame:
+    """Every (label, prediction) cell of the matrix, zeros included; only for up to *max_classes* classes.
+
+    ``confusion_counts`` is the form for any number: the cells that occur.
+    """
     counts = confusion_counts(df, label, prediction)
-    classes = class_list(counts)
+    classes = class_list(counts, max_classes)
+    if classes is None:
+        raise ValueError(f"more than {max_classes} classes; use confusion_counts, the long form")
     kind = counts.schema["label"].dataType
     every = F.array(*[F.lit(k).cast(kind) for k in classes])
     # one zero cell per class and column, merged with the counts by grouping
@@ -71,7 +77,12 @@ def _ratio(top, bottom):
 
 def classification_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """accuracy and support-weighted precision, recall and f1; one row, 6 digits."""
-    classes = _per_class(confusion_counts(df, label, prediction))
+    return metrics_of_counts(confusion_counts(df, label, prediction))
+
+
+def metrics_of_counts(counts: DataFrame) -> DataFrame:
+    """The same from counted (label, prediction) pairs."""
+    classes = _per_class(counts)
     tp, support, predicted = F.col("tp"), F.col("support"), F.col("predicted")
     total = F.sum(support)
 
@@ -102,20 +113,28 @@ def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "p
     )
 
 
-def evaluate(df: DataFrame, task: str, label: str = "label", prediction: str = "prediction") -> dict[str, Any]:
-    """Metrics as a dict; classification adds the nested confusion matrix."""
+def evaluate(
+    df: DataFrame, task: str, label: str = "label", prediction: str = "prediction", max_classes: int = MAX_DENSE_CLASSES,
+) -> dict[str, Any]:
+    """Metrics as a dict; classification adds the nested confusion matrix of up to *max_classes* classes.
+
+    Rows are scored once: they are counted per (label, prediction), and all else follows from those counts.
+    With more classes there is no nested matrix; ``confusion_counts`` gives its cells as a table.
+    """
     if task == "regression":
         return {"task": task, **regression_metrics(df, label, prediction).first().asDict()}
     if task != "classification":
         raise TypeError(f"Cannot evaluate task '{task}'; expected classification or regression")
-    cells = confusion_matrix(df, label, prediction)
-    cells = cells.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("prediction", "n"))), lambda x: x["n"]).alias("row"))
-    metrics = classification_metrics(df, label, prediction).first().asDict()
-    matrix = [list(r["row"]) for r in cells.orderBy("label").collect()]
-    return {"task": task, **metrics, "confusion_matrix": matrix}
-
-
-def metrics_long(metrics: dict[str, Any]) -> list[tuple[str, float]]:
-    """Scalar metrics as (metric, value) pairs."""
-    return [(k, float(v)) for k, v in metrics.items() if k not in NON_SCALAR_METRICS and v is not None]
+    counts = confusion_counts(df, label, prediction).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        metrics = {"task": task, **metrics_of_counts(counts).first().asDict()}
+        classes = class_list(counts, max_classes)
+        if classes is not None:
+            place = {k: i for i, k in enumerate(classes)}
+            matrix = [[0] * len(classes) for _ in classes]
+            for r in counts.filter("label is not null and prediction is not null").collect():
+                matrix[place[r["label"]]][place[r["prediction"]]] = r["n"]
+            metrics["confusion_matrix"] = matrix
+    finally:
+        counts.unpersist()
+    return metrics

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ALL_CATEGORICAL, ALL_NUMERIC, c, is_numeric, replace_columns
+from ..functions.quantiles import approx_quantiles
 from ..functions.stats import TrainingStats, json_value, literal
 from .step import Step, StepModel
 
@@ -80,15 +81,24 @@ class MeanImpute(Step):
 
 
 class MedianImpute(Step):
-    """``median_impute{cols="all_numeric"}``: exact, linearly interpolated median."""
+    """``median_impute{cols="all_numeric", exact=True}``: exact, linearly interpolated median.
+
+    ``exact=False`` takes a value near the middle from one scan (see ``approx_quantiles``).
+    """
 
     default_cols = ALL_NUMERIC
 
     def expect(self, stats):
-        stats.expect("medians", self.columns(stats.df.schema))
+        if self.option("exact", True):
+            stats.expect("medians", self.columns(stats.df.schema))
 
     def learn(self, stats):
-        values = stats.need_medians(self.columns(stats.df.schema, warn=True))
+        cols = self.columns(stats.df.schema, warn=True)
+        if self.option("exact", True):
+            values = stats.need_medians(cols)
+        else:
+            values = {name: found[0] for name, found in approx_quantiles(stats.df, cols, [0.5]).items()}
+            stats.scans += 1
         _warn_empty("MedianImpute", values)
         return FillModel({"values": values, "double": True})
 

@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 
 from ..functions.columns import c, require_columns
 from ..functions.hashing import HASH_BITS, hash_rank_key, hash_word, word_below
-from ..session import local_frame, shared_dir
+from ..functions.ranking import numbered_rows
+from ..session import local_frame, scratch_path, shared_dir
 
 # Each pass over the hashes settles this many of their leading bits.
 PASS_BITS = 12
@@ -68,20 +69,22 @@ def _quotas(df: DataFrame, stratum: Column, test_size: float, val_size: float) -
     Totals are ceil(n * test) and ceil(rest * val / (1 - test)); a stratum gets
     its share rounded down and the leftovers go to the largest remainders.
     """
-    sizes = df.groupBy(stratum.alias("_stratum")).agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    path = scratch_path(spark, "strata")
+    df.groupBy(stratum.alias("_stratum")).agg(F.count(F.lit(1)).alias("_n")).write.parquet(path)
+    sizes = spark.read.parquet(path)
 
     def allot(table: DataFrame, of: str, fraction: float, out: str) -> DataFrame:
-        everything = Window.partitionBy()
         share = F.round(F.col(of) * F.lit(fraction), 9)
-        by_rest = Window.orderBy((share - F.floor(share)).desc(), F.col("_stratum").asc_nulls_first())
-        total = F.ceil(F.round(F.sum(of).over(everything) * F.lit(fraction), 9))
-        left = total - F.sum(F.floor(share)).over(everything)
-        return (
-            table.withColumn("_left", left)
-            .withColumn("_pos", F.row_number().over(by_rest))
-            .withColumn(out, (F.floor(share) + F.when(F.col("_pos") <= F.col("_left"), 1).otherwise(0)).cast("bigint"))
-            .drop("_left", "_pos")
-        )
+        sums = table.agg(F.sum(of).alias("rows"), F.sum(F.floor(share)).alias("given")).first()
+        left = math.ceil(round((sums.rows or 0) * fraction, 9)) - (sums.given or 0)
+        if left <= 0:
+            return table.withColumn(out, F.floor(share).cast("bigint"))
+        # the largest remainders, ties by stratum: places come from totals per range, not from one sorted task
+        order = [(share - F.floor(share)).desc(), F.col("_stratum").asc_nulls_first()]
+        placed = numbered_rows(table, order, "_pos")
+        more = F.when(F.col("_pos") < left, 1).otherwise(0)
+        return placed.withColumn(out, (F.floor(share) + more).cast("bigint")).drop("_pos")
 
     with_test = allot(sizes, "_n", test_size, "_test")
     rest = with_test.withColumn("_rest", F.col("_n") - F.col("_test"))

@@ -31,12 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import c, replace_columns, require_columns
+from ..functions.ranking import sorted_positions
 from ..functions.stats import frequencies, json_value, literal, moments
 from ..operators.step import StepModel
+from ..session import scratch_path
 from .features import feature_columns
 
 FEATURES, LABEL = "_features", "_label"
-MAX_CLASSES = 1000
+MAX_CLASSES = 1000  # more of them are kept in a table that is joined
+NORMAL_FEATURES = 4096  # of Spark's solver by normal equations
 MAX_DEPTH = 30  # of Spark's trees
 
 
@@ -185,7 +188,15 @@ def _robust(params, info):
         maxIter=int(params.get("max_iter", 200)), tol=float(params.get("tol", 1e-6)))]
 
 
-_ridge = _linear(0.0, lambda alpha, info: alpha * info.label_std / info.rows, "normal")
+def _ridge(params, info):
+    """The same objective by either solver: each divides the penalty by its own deviation of the label."""
+    first = info.frame.select(F.size(vector_to_array(FEATURES)).alias("d")).first()
+    if first is None or first.d <= NORMAL_FEATURES:
+        return _linear(0.0, lambda alpha, info: alpha * info.label_std / info.rows, "normal")(params, info)
+    sample = (info.rows / max(1, info.rows - 1)) ** 0.5
+    return _linear(0.0, lambda alpha, info: alpha * info.label_std * sample / info.rows, "l-bfgs")(params, info)
+
+
 _lasso = _linear(1.0, lambda alpha, info: alpha, "l-bfgs")
 
 # The registered model names.
@@ -213,13 +224,27 @@ def model_kind(name: str) -> ModelKind:
     return MODELS[name]
 
 
+def class_table(train: DataFrame, target: str) -> str:
+    """Distinct target values with their rank, written in the shared folder: a class index of any size."""
+    path = scratch_path(train.sparkSession, "classes")
+    sorted_positions(train.select(c(target).alias("value")), "value", "code", path)
+    return path
+
+
 class ClassIndexModel(StepModel):
-    """Target value -> class index (null when unknown). State: column, classes."""
+    """Target value -> class index (null when unknown).
+
+    State: column, and the classes as a list, or as a table if there are more than MAX_CLASSES.
+    """
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         target, classes = self.fitted["target"], self.fitted["classes"]
         if target not in dataset.columns:      # scoring frames have no target
             return dataset
+        if self.fitted.get("tables"):
+            table = dataset.sparkSession.read.parquet(self.fitted["tables"][target]["path"]).select(
+                F.col("value").alias("_class"), F.col("code").cast("double").alias(LABEL))
+            return dataset.join(table, c(target) == F.col("_class"), "left").drop("_class")
         dtype = dataset.schema[target].dataType
         if classes is None:
             return dataset.withColumn(LABEL, c(target).cast("double"))
@@ -234,6 +259,13 @@ class ClassNameModel(StepModel):
     def _transform(self, dataset: DataFrame) -> DataFrame:
         classes, dtype = self.fitted["classes"], T.StructType.fromDDL(f"x {self.fitted['dtype']}")["x"].dataType
         out = dataset.drop(FEATURES, LABEL, "rawPrediction", "probability")
+        if self.fitted.get("tables"):
+            (info,) = self.fitted["tables"].values()
+            table = out.sparkSession.read.parquet(info["path"]).select(
+                F.col("code").alias("_code"), F.col("value").alias("_class"))
+            named = out.withColumn("_at", F.col("prediction").cast("bigint")).join(table, F.col("_at") == F.col("_code"), "left")
+            return named.select(*[
+                F.col("_class").alias("prediction") if n == "prediction" else c(n) for n in out.columns])
         if classes is None:
             return out
         names = F.array(*[literal(k, dtype) for k in classes])
@@ -259,20 +291,30 @@ class Trainer:
         dtype = train.schema[self.target].dataType
         features = feature_columns(train.schema, [self.target, *self.exclude])
         classes: list[Any] | None = None
+        tables: dict[str, Any] = {}
+        n_classes, std = 0, 0.0
         if self.task == "classification":
-            found = frequencies(train.filter(c(self.target).isNotNull()), {self.target: MAX_CLASSES})[self.target]
-            if not found.complete:
-                raise ValueError(f"target '{self.target}' has more than {MAX_CLASSES} classes")
-            classes = [json_value(v) for v in sorted(v for v, _ in found.values)]
-            rows, std = sum(n for _, n in found.values), 0.0
+            present = train.filter(c(self.target).isNotNull())
+            found = frequencies(present, {self.target: MAX_CLASSES})[self.target]
+            if found.complete:
+                classes = [json_value(v) for v in sorted(v for v, _ in found.values)]
+                rows, n_classes = sum(n for _, n in found.values), len(classes)
+            else:
+                path = class_table(present, self.target)
+                rows, n_classes = present.count(), train.sparkSession.read.parquet(path).count()
+                tables = {self.target: {"path": path, "size": n_classes}}
         else:
             m = moments(train, [self.target])[self.target]
             rows, std = m.present, m.std or 0.0
-        index = ClassIndexModel({"target": self.target, "classes": classes})
+        index = ClassIndexModel({"target": self.target, "classes": classes, "tables": tables})
         assemble = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="error")
-        ready = assemble.transform(index.transform(train)).filter(F.col(LABEL).isNotNull()).select(FEATURES, LABEL)
-        info = TrainingInfo(rows, std, len(classes or []), ready)
-        names = ClassNameModel({"classes": classes, "dtype": dtype.simpleString()})
+        label = F.col(LABEL)
+        if n_classes:
+            # Spark infers the number of classes from the rows only up to 100 of them
+            label = label.alias(LABEL, metadata={"ml_attr": {"type": "nominal", "num_vals": max(2, n_classes)}})
+        ready = assemble.transform(index.transform(train)).filter(F.col(LABEL).isNotNull()).select(FEATURES, label)
+        info = TrainingInfo(rows, std, n_classes, ready)
+        names = ClassNameModel({"classes": classes, "dtype": dtype.simpleString(), "tables": tables})
         return [index, assemble, names], ready, info
 
     def fit(self, train: DataFrame) -> PipelineModel:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import tabloom.operators.drift as drift
-from tabloom.functions.significance import chi2_p, kolmogorov_p
+from tabloom.functions.significance import chi2_p, kolmogorov_series
 from tabloom.operators.drift import chi2_statistics, detect_drift, drift_status, ks_statistics
 from tabloom.plans import runlog
 from tabloom.plans.runlog import RunLog, new_record
@@ -82,8 +82,8 @@ def test_p_values():
     assert chi2_p(3.841458820694124, 1) == pytest.approx(0.05) and chi2_p(5.42824, 4) == pytest.approx(0.24611, abs=1e-5)
     assert chi2_p(0.0, 3) == 1.0 and chi2_p(600.0, 500) == pytest.approx(0.00142, abs=5e-4)
     lam = 1.3580986393225505
-    assert kolmogorov_p(lam / math.sqrt(50), 100, 100) == pytest.approx(0.05, abs=1e-6)
-    assert kolmogorov_p(0.0, 10, 10) == 1.0
+    assert kolmogorov_series(lam / math.sqrt(50), 100, 100) == pytest.approx(0.05, abs=1e-6)
+    assert kolmogorov_series(0.0, 10, 10) == 1.0
 
 
 def test_drift_log(spark, tmp_path):
@@ -97,9 +97,10 @@ def test_drift_log(spark, tmp_path):
 # --- run log --------------------------------------------------------------------------------
 
 RUNS = [
-    ("amber11", "svc", {"task": "classification", "f1_weighted": 0.61, "accuracy": 0.66, "rmse": 4.0}, 3.0),
-    ("birch22", "ridge", {"task": "classification", "f1_weighted": 0.84, "accuracy": 0.88, "rmse": 1.25}, 6.0),
-    ("cedar33", "lasso", {"f1_weighted": 0.73, "accuracy": 0.70, "rmse": 5.5, "confusion_matrix": [[3, 1], [0, 2]]}, 1.5),
+    ("gannet-one", "decision_tree", {"task": "regression", "mae": 2.0, "rmse": 3.5, "r2": 0.4}, 12.0),
+    ("heron-two", "lasso", {"task": "regression", "rmse": 2.25, "mae": 1.5}, 4.0),
+    ("ibis-three", "svc", {"task": "classification", "accuracy": 0.58, "f1_weighted": 0.5, "confusion_matrix": [[5, 2], [3, 4]]}, 20.0),
+    ("jackdaw-four", "svc", {"task": "classification", "accuracy": 0.91}, 7.0),
 ]
 
 
@@ -118,9 +119,10 @@ def ids(df):
 
 
 def test_log_get_and_order(log):
-    run = log.get_run("birch22")
-    assert run["metrics"]["f1_weighted"] == 0.84 and run["tags"] == {"n": "2"} and run["is_champion"] is False
-    assert ids(log.list_runs()) == ["cedar33", "birch22", "amber11"] and ids(log.list_runs(1)) == ["cedar33"]
+    run = log.get_run("heron-two")
+    assert run["metrics"]["rmse"] == 2.25 and run["tags"] == {"n": "2"} and run["is_champion"] is False
+    assert ids(log.list_runs()) == ["jackdaw-four", "ibis-three", "heron-two", "gannet-one"]
+    assert ids(log.list_runs(1)) == ["jackdaw-four"]
     with pytest.raises(ValueError, match="there is no run"):
         log.get_run("nope")
 
@@ -131,14 +133,14 @@ def test_empty_log(spark, tmp_path):
 
 
 def test_delete_and_relog(log):
-    log.delete_run("amber11")
+    log.delete_run("gannet-one")
     with pytest.raises(ValueError):
-        log.get_run("amber11")
+        log.get_run("gannet-one")
     with pytest.raises(RuntimeError):
-        log.delete_run("amber11")
-    log.log_run(run_id="amber11", model_type="ridge")
-    assert log.get_run("amber11")["model_type"] == "ridge"
-    assert log.runs().count() == 3
+        log.delete_run("gannet-one")
+    log.log_run(run_id="gannet-one", model_type="ridge")
+    assert log.get_run("gannet-one")["model_type"] == "ridge"
+    assert log.runs().count() == 4
 
 
 def test_prefix_lookup(log):
@@ -151,13 +153,13 @@ def test_prefix_lookup(log):
 
 
 def test_one_champion(log):
-    log.promote("amber11")
-    log.promote("birch22")
-    assert log.champion()["run_id"] == "birch22" and log.runs().filter("is_champion").count() == 1
-    log.log_run(run_id="birch22", model_type="lasso", model_path="models/again")         # logged again: not champion any more
+    log.promote("ibis-three")
+    log.promote("heron-two")
+    assert log.champion()["run_id"] == "heron-two" and log.runs().filter("is_champion").count() == 1
+    log.log_run(run_id="heron-two", model_type="lasso", model_path="models/again")         # logged again: not champion any more
     assert log.champion() is None
-    log.promote("birch22")
-    log.delete_run("birch22")
+    log.promote("heron-two")
+    log.delete_run("heron-two")
     assert log.champion() is None
     with pytest.raises(RuntimeError):
         log.promote("missing")
@@ -168,41 +170,41 @@ def test_one_champion(log):
 
 
 def test_view_aggregates_numbers_only_and_filters_below(log):
-    plan = runlog.match_run(log.runs(), "amber11")._jdf.queryExecution().executedPlan().toString()
+    plan = runlog.match_run(log.runs(), "ibis-three")._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate(key=[run_id" not in plan
-    assert plan.count("EqualTo(run_id,amber11)") >= 2
+    assert plan.count("EqualTo(run_id,ibis-three)") >= 2
 
 
 def test_leaderboard(log):
     runs = log.runs()
-    assert ids(runlog.leaderboard(runs, "f1").orderBy("rank")) == ["birch22", "cedar33", "amber11"]
-    assert ids(runlog.leaderboard(runs, "Accuracy", 2).orderBy("rank")) == ["birch22", "cedar33"]
-    assert ids(runlog.leaderboard(runs, "rmse").orderBy("rank")) == ["birch22", "amber11", "cedar33"]
-    assert runlog.leaderboard(runs, "r2").count() == 0 and runlog.leaderboard(runs, "task").count() == 0
+    assert ids(runlog.leaderboard(runs, "f1").orderBy("rank")) == ["ibis-three"]
+    assert ids(runlog.leaderboard(runs, "Accuracy", 1).orderBy("rank")) == ["jackdaw-four"]
+    assert ids(runlog.leaderboard(runs, "rmse").orderBy("rank")) == ["heron-two", "gannet-one"]
+    assert ids(runlog.leaderboard(runs, "r2")) == ["gannet-one"] and runlog.leaderboard(runs, "task").count() == 0
 
 
 def test_compare(log):
-    out = runlog.compare_runs(log.runs(), ["birch22", "missing", "amber11"])
-    assert out.columns == ["run_id", "timestamp", "model_type", "f1_weighted", "accuracy", "rmse"]
-    assert ids(out) == ["birch22", "amber11"]
-    both = {r["metric"]: (r["left_value"], r["right_value"]) for r in runlog.compare_two(log.runs(), "amber11", "birch22").collect()}
-    assert both["accuracy"] == (0.66, 0.88) and "task" not in both
+    out = runlog.compare_runs(log.runs(), ["jackdaw-four", "missing", "gannet-one"])
+    assert out.columns == ["run_id", "timestamp", "model_type", "accuracy", "mae", "rmse", "r2"]
+    assert ids(out) == ["jackdaw-four", "gannet-one"]
+    both = runlog.compare_two(log.runs(), "gannet-one", "heron-two").collect()
+    assert {r["metric"]: (r["left_value"], r["right_value"]) for r in both} == {"rmse": (3.5, 2.25), "mae": (2.0, 1.5)}
 
 
 def test_texts(log):
-    log.log_run(run_id="dune4", timestamp="2020-01-01T00:00:00", metrics={"steps": 12, "f1_weighted": 0.95})
+    log.log_run(run_id="kestrel-five", timestamp="2019-06-01T00:00:00", metrics={"steps": 12, "f1_weighted": 0.95})
     rows = runlog.leaderboard_text(log.runs(), metric="f1").orderBy("rank").collect()
-    assert rows[0]["metrics_text"] == "steps=12, f1=0.9500"
-    assert rows[1]["metrics_text"] == "f1=0.8400, accuracy=0.8800, rmse=1.2500"
-    assert runlog.primary_metric(log.runs()) == "rmse"
+    assert [r["metrics_text"] for r in rows] == ["steps=12, f1=0.9500", "accuracy=0.5800, f1=0.5000"]
+    assert runlog.primary_metric(log.runs()) == "f1_weighted"  # the newest run has neither
     head = {r["run_id"]: r for r in runlog.headline_metrics(log.runs()).collect()}
-    assert head["dune4"]["shown_metric"] == "f1_weighted" and head["amber11"]["shown_band"] == "amber"
+    assert head["kestrel-five"]["shown_metric"] == "f1_weighted" and head["ibis-three"]["shown_band"] == "amber"
+    assert head["gannet-one"]["shown_metric"] == "rmse" and head["jackdaw-four"]["reported_metric"] == "accuracy"
 
 
 def test_views(log):
     t = runlog.telemetry(log.runs()).first()
-    assert (t["total_runs"], t["model_types"], t["avg_duration"], t["has_champion"]) == (3, 3, 3.5, False)
-    assert ids(runlog.runs_by_tag(log.runs(), "n", "2")) == ["birch22"]
-    ages = [r["age"] for r in runlog.activity(log.runs(), F.lit("2025-03-03 00:00:42").cast("timestamp")).collect()]
-    assert ages == ["42s ago", "1d ago", "2d ago"]
+    assert (t["total_runs"], t["model_types"], t["avg_duration"], t["has_champion"]) == (4, 3, 10.8, False)
+    assert ids(runlog.runs_by_tag(log.runs(), "n", "2")) == ["heron-two"]
+    ages = [r["age"] for r in runlog.activity(log.runs(), F.lit("2025-03-04 00:00:42").cast("timestamp")).collect()]
+    assert ages == ["42s ago", "1d ago", "2d ago", "3d ago"]
     assert "config" not in runlog.run_summary(log.runs()).columns
