@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,36 +27,51 @@ def normalize_nulls(df: DataFrame) -> DataFrame:
     return replace_columns(df, {n: nan_to_null(c(n)) for n in floats}) if floats else df
 
 
+# Rows looked at first: what they contradict needs no test over all rows.
+PEEK_ROWS = 1000
+
+
+def _tests(name: str) -> dict[str, Column]:
+    """Per kind, what every value of a column of that kind must be."""
+    text = F.trim(c(name))
+    return {
+        "bigint": text.try_cast("bigint").isNotNull() & text.rlike(INTEGER_PATTERN),
+        "decimal(38,0)": text.try_cast("decimal(38,0)").isNotNull() & text.rlike(INTEGER_PATTERN),
+        "double": parse_number(c(name)).isNotNull(),
+        "boolean": text.isin(BOOLEANS),
+    }
+
+
+def _holding(df: DataFrame, kinds: dict[str, list[str]]) -> tuple[dict[str, list[str]], dict[str, int]]:
+    """The kinds that every value of each column passes, and how many values there are; one aggregate."""
+    aggs = [F.count(c(name)).alias(f"n{i}") for i, name in enumerate(kinds)]
+    for i, (name, some) in enumerate(kinds.items()):
+        tests = _tests(name)
+        aggs += [F.count_if(tests[kind]).alias(f"{i}:{kind}") for kind in some]
+    row = df.agg(*aggs).first()
+    count = {name: row[f"n{i}"] for i, name in enumerate(kinds)}
+    return {n: [k for k in some if row[f"{i}:{k}"] == count[n]] for i, (n, some) in enumerate(kinds.items())}, count
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """Text columns that hold only integers, numbers or booleans get that type.
 
     Whole numbers become bigint, if one of them does not fit decimal(38,0), and only
-    beyond that double. One aggregate tests all columns; pass a schema to avoid it.
+    beyond that double. A first few rows rule kinds out for good; the narrowest kind left is
+    tested on all rows, and wider ones only for columns that fail it. Pass a schema to avoid that.
     """
     cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    aggs = []
-    for i, name in enumerate(cols):
-        text = F.trim(c(name))
-        aggs += [
-            F.count(c(name)).alias(f"n{i}"),
-            F.count_if(text.rlike(INTEGER_PATTERN)).alias(f"int{i}"),
-            F.count(text.try_cast("bigint")).alias(f"long{i}"),
-            F.count(text.try_cast("decimal(38,0)")).alias(f"wide{i}"),
-            F.count(parse_number(c(name))).alias(f"num{i}"),
-            F.count_if(text.isin(BOOLEANS)).alias(f"bool{i}"),
-        ]
-    if not aggs:
+    if not cols:
         return df
-    row = df.agg(*aggs).first()
+    left, _ = _holding(df.select(*[c(n) for n in cols]).limit(PEEK_ROWS), {n: list(_tests(n)) for n in cols})
     new = {}
-    for i, name in enumerate(cols):
-        n = row[f"n{i}"]
-        if n and row[f"int{i}"] == n and row[f"wide{i}"] == n:
-            new[name] = F.trim(c(name)).cast("bigint" if row[f"long{i}"] == n else "decimal(38,0)")
-        elif n and row[f"num{i}"] == n:
-            new[name] = parse_number(c(name))
-        elif n and row[f"bool{i}"] == n:
-            new[name] = F.trim(c(name)).cast("boolean")
+    while left := {n: kinds for n, kinds in left.items() if kinds}:
+        held, count = _holding(df, {n: kinds[:1] for n, kinds in left.items()})
+        for name, kinds in left.items():
+            if held[name] and count[name]:
+                kind = kinds[0]
+                new[name] = parse_number(c(name)) if kind == "double" else F.trim(c(name)).cast(kind)
+        left = {n: kinds[1:] for n, kinds in left.items() if not held[n]}
     return replace_columns(df, new)
 
 
@@ -86,11 +101,13 @@ def read_json(
 ) -> DataFrame:
     """JSON lines, or one array of records per file (``lines=False``; such a file is one task).
 
-    If *lines* is not given, the first line's first character decides; say it for large files.
+    If *lines* is not given, the first character decides.
     """
     if lines is None:
-        first = spark.read.text(path).filter(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).first()
-        lines = first is None or first[0] != "["
+        # up to the first colon, which ends the first key: a line can be a whole file
+        start = F.regexp_extract("value", r"\S", 0).alias("start")
+        first = spark.read.option("lineSep", ":").text(path).select(start).filter("start <> ''").first()
+        lines = first is None or first.start != "["
     reader = spark.read.options(multiLine=not lines, **options)
     return normalize_nulls((reader.schema(schema) if schema is not None else reader).json(path))
 
