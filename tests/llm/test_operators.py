@@ -421,9 +421,8 @@ def _same_groups(spark, texts, words=5):
     return kept
 
 
-def test_near_copies_of_a_template(spark, text_of, monkeypatch):
+def test_near_copies_of_a_template(spark, text_of):
     # every variant is near the template and near no other variant
-    monkeypatch.setattr(near_copies, "CHUNK", 16, raising=False)  # buckets are compared whole, whatever it says
     words, texts = text_of(1, 200).split(), []
     for k in range(300):
         own = list(words)
