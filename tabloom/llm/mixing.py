@@ -16,7 +16,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 def word_count(text: Column) -> Column:
     """Number of words (runs of anything but ASCII white space); 0 for NULL."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}$", "")
+    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"^{SPACE}|{SPACE}\z", "")
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("bigint")
 
 

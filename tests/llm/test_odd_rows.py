@@ -118,3 +118,11 @@ def test_odd_conversations(spark):
     four = sorted((r for r in out if r.conv_id == 4), key=lambda r: r.segment)
     assert [r.start_char for r in four] == [0, four[0].n_chars]
     assert perspectives.rotate_perspectives(turns.limit(0)).count() == 0
+
+
+def test_words_end_at_ascii_space_only(spark):
+    """Line separators of Unicode are words of their own, also at the end of a text."""
+    texts = ["a \u2028", "a \u2029", "a \u0085", "a\n\u2028", "a \u2028 \n", " \n", "a b\r\n", "\u2028"]
+    rows = [(k, t, "s") for k, t in enumerate(texts)]
+    got = mixing.mix_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert {r.doc_id: r.size for r in got} == dict(enumerate([2, 2, 2, 2, 2, 0, 2, 1]))
