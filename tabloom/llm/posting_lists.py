@@ -2,26 +2,32 @@
 
 Centroids of balanced clusters are held in memory and searched by a graph. A vector near
 the boundary of clusters is filed in several lists. A query reads the lists whose
-centroids are not much farther than the nearest one, and distances there are exact.
+centroids are not much farther than the nearest one, and distances there are exact. How much
+farther is measured: a few queries are compared with all rows, and the ratio is the least one
+under which the wanted share of their neighbours is in a list that is read.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, c, map_batches, stored
+from .common import bounded_sample, c, fold_partitions, map_batches, matrix, stored
 
 # Bounds of the fit; every row is indexed.
-SAMPLE_ROWS, MAX_LISTS = 16_384, 1_024
-LIST_ROWS = 128  # wanted length of a list while there are fewer than MAX_LISTS of them
+SAMPLE_ROWS, SAMPLE_QUERIES = 16_384, 128
+WANTED_RECALL = 0.95
+LISTS_PER_ROOT = 0.5  # lists for each unit of the square root of the rows: both grow, lists and their lengths
 DEGREE, BEAM, EXPAND = 16, 64, 8  # the beam of a first search; it grows until the ratio ends the lists
-REPLICAS, REPLICA_RATIO = 8, 1.10
-PROBE_RATIO, LEAST_PROBES = 1.25, 8
+REPLICAS, REPLICA_RATIO = 3, 1.05
+LEAST_PROBES = 8  # read first; what they hold bounds what the other lists have to return
 BLOCK_ROWS = 4_096
 
 
@@ -130,8 +136,8 @@ class CentroidGraph:
             out.append(np.array(chosen))
         return out
 
-    def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """Lists a query reads: those whose distance is within PROBE_RATIO of the nearest, LEAST_PROBES at least."""
+    def probes(self, x: np.ndarray, ratio: float) -> list[np.ndarray]:
+        """Lists a query reads, nearest first: those within *ratio* of the nearest, LEAST_PROBES at least."""
         out: list[np.ndarray] = [np.empty(0, np.int64)] * len(x)
         rows, beam = np.arange(len(x)), BEAM
         while len(rows):
@@ -142,7 +148,7 @@ class CentroidGraph:
                 dist = np.sqrt(self._distances(x[rows], ids))
                 order = np.lexsort((ids, dist))
                 ids, dist = np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
-            use = (ids >= 0) & ((dist <= PROBE_RATIO * dist[:, :1]) | (np.arange(ids.shape[1]) < LEAST_PROBES))
+            use = (ids >= 0) & ((dist <= ratio * dist[:, :1]) | (np.arange(ids.shape[1]) < LEAST_PROBES))
             # the ratio decides, not the beam: where the last list found is within it, more are sought
             more = use[:, -1] & (ids.shape[1] < len(self.centroids))
             for row, f, u in zip(rows[~more], ids[~more], use[~more]):
@@ -165,42 +171,106 @@ def usable_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     return rows.filter(F.size("embedding") == (width.d if width else 0))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
-
-
 def build_graph(rows: DataFrame, total: int) -> CentroidGraph:
     sample = bounded_sample(rows, "vec_id", SAMPLE_ROWS).select("embedding").toArrow().combine_chunks()
-    x = _matrix(pa.concat_arrays(sample.column(0).chunks))
-    lists = max(1, min(MAX_LISTS, -(-total // LIST_ROWS), len(x) // 4))
+    x = matrix(pa.concat_arrays(sample.column(0).chunks))
+    lists = max(1, min(math.ceil(LISTS_PER_ROOT * math.sqrt(total)), len(x) // 4))
     return CentroidGraph.build(balanced_centroids(x, lists))
 
 
-def _routed(rows: DataFrame, graph: CentroidGraph, probe: bool) -> DataFrame:
+def probe_ratio(
+    rows: DataFrame, queries: DataFrame, graph: CentroidGraph, count: int, recall: float = WANTED_RECALL,
+    sample: int = SAMPLE_QUERIES,
+) -> float:
+    """The least ratio under which *recall* of the *count* nearest vectors are in a list that is read.
+
+    Measured on at most *sample* queries, whose nearest vectors come from all rows; each
+    partition returns *count* of them for a query.
+    """
+    asked = bounded_sample(queries, "vec_id", sample).toArrow().combine_chunks()
+    if not len(asked):
+        return 1.0
+    ids = asked.column("vec_id").to_numpy()
+    q = matrix(pa.concat_arrays(asked.column("embedding").chunks))
+    to_lists = np.array([np.linalg.norm(graph.centroids - v, axis=1) for v in q])
+    to_lists /= np.maximum(to_lists.min(1, keepdims=True), 1e-300)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> dict[str, list] | None:
+        best = [(np.empty(0), np.empty(0, np.int64), np.empty((0, q.shape[1]))) for _ in ids]
+        for batch in batches:
+            own, x = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"))
+            for i, query in enumerate(ids):
+                d = np.linalg.norm(x - q[i], axis=1)
+                d[own == query] = np.inf
+                near = np.argpartition(d, count - 1)[:count] if len(d) > count else np.arange(len(d))
+                d, n, v = (np.concatenate(pair) for pair in zip(best[i], (d[near], own[near], x[near])))
+                order = np.lexsort((n, d))[:count]
+                best[i] = d[order], n[order], v[order]
+        kept = [np.isfinite(d) for d, _, _ in best]
+        lists = graph.files(np.concatenate([v[k] for k, (_, _, v) in zip(kept, best)]))
+        of = np.repeat(np.arange(len(ids)), [k.sum() for k in kept])
+        return {
+            "query": of, "vec_id": np.concatenate([n[k] for k, (_, n, _) in zip(kept, best)]),
+            "score": np.concatenate([d[k] for k, (d, _, _) in zip(kept, best)]),
+            "needs": [float(to_lists[i, found].min()) for i, found in zip(of, lists)]}
+
+    found = fold_partitions(
+        rows.select("vec_id", "embedding"), _if_any(nearest), "query int, vec_id bigint, score double, needs double")
+    order = Window.partitionBy("query").orderBy("score", "vec_id")
+    needs = (
+        found.dropDuplicates(["query", "vec_id"]).withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= count).select("needs").toArrow().column(0).to_numpy())
+    return float(max(1.0, np.quantile(needs, recall, method="higher"))) if len(needs) else 1.0
+
+
+def _if_any(fold):
+    """*fold* for partitions with rows, None for the others."""
+    def run(batches: Iterator[pa.RecordBatch]):
+        first = next(batches, None)
+        return None if first is None else fold(chain([first], batches))
+
+    return run
+
+
+def _filed(rows: DataFrame, graph: CentroidGraph) -> DataFrame:
+    """Every vector in each of its lists."""
     def run(batch: pa.RecordBatch) -> dict:
-        lists = (graph.probes if probe else graph.files)(_matrix(batch.column(1)))
-        take = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
+        lists = graph.files(matrix(batch.column(1)))
+        take = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]))
         return {"list": np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64),
-                "vec_id": batch.column(0).take(pa.array(take)), "embedding": batch.column(1).take(pa.array(take))}
+                "vec_id": batch.column(0).take(take), "embedding": batch.column(1).take(take)}
 
-    return map_batches(rows, run, "list bigint, vec_id bigint, embedding array<double>", rows=256)
+    return map_batches(
+        rows.select("vec_id", "embedding"), run, "list bigint, vec_id bigint, embedding array<double>", rows=256)
+
+
+def _probed(queries: DataFrame, graph: CentroidGraph, ratio: float) -> DataFrame:
+    """Every query with each list it reads; place 0 is the nearest list."""
+    def run(batch: pa.RecordBatch) -> dict:
+        lists = graph.probes(matrix(batch.column(1)), ratio)
+        take = pa.array(np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]))
+        return {"list": np.concatenate([np.empty(0, np.int64), *lists]).astype(np.int64),
+                "place": np.concatenate([np.empty(0, np.int64), *[np.arange(len(x)) for x in lists]]),
+                "vec_id": batch.column(0).take(take), "embedding": batch.column(1).take(take)}
+
+    return map_batches(
+        queries.select("vec_id", "embedding"), run,
+        "list bigint, place int, vec_id bigint, embedding array<double>", rows=256)
 
 
 def _top(left: pa.Table, right: pa.Table, count: int) -> pa.Table:
-    """The *count* nearest rows of *right* for every query of *left*; exact, ties to smaller ids."""
+    """The *count* nearest rows of *right* within the bound of each query of *left*; exact, ties to smaller ids."""
     out: dict[str, list] = {"query_id": [], "vec_id": [], "score": []}
     if len(left) and len(right):
-        q, x = (_matrix(pa.concat_arrays(t.column("embedding").chunks)) for t in (left, right))
+        q, x = (matrix(pa.concat_arrays(t.column("embedding").chunks)) for t in (left, right))
         ids = right.column("vec_id").to_numpy()
-        for query, vector in zip(left.column("vec_id").to_pylist(), q):
+        for query, bound, vector in zip(left.column("vec_id").to_pylist(), left.column("bound").to_pylist(), q):
             d = x - vector
             d = np.sqrt(np.einsum("ij,ij->i", d, d))
             d[ids == query] = np.inf
             if len(d) > count:
-                near = np.flatnonzero(d <= np.partition(d, count - 1)[count - 1])
-            else:
-                near = np.arange(len(d))
+                bound = min(bound, np.partition(d, count - 1)[count - 1])
+            near = np.flatnonzero(d <= bound)
             near = near[np.lexsort((ids[near], d[near]))][:count]
             near = near[np.isfinite(d[near])]
             out["query_id"] += [query] * len(near)
@@ -211,7 +281,7 @@ def _top(left: pa.Table, right: pa.Table, count: int) -> pa.Table:
 
 
 def _blocks(spark: SparkSession, filed: DataFrame, asked: DataFrame) -> DataFrame:
-    """list, blocks of its vectors, blocks of its queries: one row per list, MAX_LISTS at most."""
+    """list, blocks of its vectors, blocks of its queries: one row per list, a quarter of SAMPLE_ROWS at most."""
     counts = (
         filed.groupBy("list").agg(F.count(F.lit(1)).alias("n"))
         .join(asked.groupBy("list").agg(F.count(F.lit(1)).alias("m")), "list")
@@ -225,21 +295,25 @@ def _numbers(name: str) -> Column:
 
 
 def _search(spark: SparkSession, filed: DataFrame, asked: DataFrame, count: int) -> DataFrame:
-    """Every query against every block of each of its lists, best *count* overall."""
+    """query_id, vec_id, score: every query against every block of each list, what lies within its bound."""
     plan = _blocks(spark, filed, asked)
     rows = filed.join(plan, "list").select(
         "list", F.pmod(F.xxhash64("vec_id"), "vb").alias("v"),
         F.explode(_numbers("qb")).alias("q"), "vec_id", "embedding")
     queries = asked.join(plan, "list").select(
         "list", F.explode(_numbers("vb")).alias("v"),
-        F.pmod(F.xxhash64("vec_id"), "qb").alias("q"), "vec_id", "embedding")
+        F.pmod(F.xxhash64("vec_id"), "qb").alias("q"), "vec_id", "embedding", "bound")
     keys = ["list", "v", "q"]
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         return _top(left, right, count)
 
-    found = queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(
+    return queries.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(
         best, "query_id bigint, vec_id bigint, score double")
+
+
+def _ranked(found: DataFrame, count: int) -> DataFrame:
+    """Best *count* of each query; a vector found in several lists counts once."""
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return (
         found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
@@ -267,9 +341,20 @@ def nearest_neighbours(
         return spark.createDataFrame([], empty)
     graph = build_graph(rows, total)
     asked = rows if queries is None else usable_vectors(queries, vec_id, embedding)
-    filed = stored(_routed(rows, graph, probe=False), "posting-lists")
-    probed = stored(_routed(asked, graph, probe=True), "posting-probes")
-    found = stored(_search(spark, filed, probed, count), "posting-found")
+    ratio = probe_ratio(rows, asked, graph, count)
+    filed = stored(_filed(rows, graph), "posting-lists")
+    probed = stored(_probed(asked, graph, ratio), "posting-probes")
+    no_bound = F.lit(float("inf"))
+    first = stored(
+        _search(spark, filed, probed.filter(F.col("place") < LEAST_PROBES).withColumn("bound", no_bound), count),
+        "posting-first")
+    # what the nearest lists hold bounds what the others can add, so they return next to nothing else
+    bounds = _ranked(first, count).filter(F.col("rank") == count).select(
+        F.col("query_id").alias("vec_id"), F.col("score").alias("bound"))
+    others = (
+        probed.filter(F.col("place") >= LEAST_PROBES).join(bounds, "vec_id", "left")
+        .withColumn("bound", F.coalesce("bound", no_bound)))
+    found = stored(_ranked(first.unionByName(_search(spark, filed, others, count)), count), "posting-found")
     have = found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     short = (
         asked.join(have, F.col("vec_id") == F.col("query_id"), "left")
@@ -278,8 +363,8 @@ def nearest_neighbours(
         return found
     short = stored(short, "posting-short")
     every = short.withColumn("list", F.explode(F.sequence(F.lit(0), F.lit(len(graph.centroids) - 1)))).select(
-        F.col("list").cast("bigint").alias("list"), "vec_id", "embedding")
-    rest = _search(spark, filed, every, count)
+        F.col("list").cast("bigint").alias("list"), "vec_id", "embedding", no_bound.alias("bound"))
+    rest = _ranked(_search(spark, filed, every, count), count)
     return found.join(
         short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(rest)
 

@@ -203,8 +203,9 @@ def test_edit_distance(a, b):
     assert row[-1] == 0 or edit_embedding.edit_distance_within(a, b, row[-1] - 1) is None
 
 
-def test_recall_of_posting_lists(spark):
-    path = "/root/testdata/sf0.1/embeddings.parquet"
+@pytest.mark.parametrize("folder, least", [("sf0.1", 0.95), ("check_s", 0.9)])
+def test_recall_of_posting_lists(spark, folder, least):
+    path = f"/root/testdata/{folder}/embeddings.parquet"
     vectors = spark.read.parquet(path)
     rows = posting_lists.neighbour_documents(vectors).collect()
     table = vectors.select("vec_id", "embedding").toPandas()
@@ -221,7 +222,7 @@ def test_recall_of_posting_lists(spark):
         assert [f[0] for f in found] == list(range(1, 11))
         assert all(abs(d[ids == v][0] - s) < 1e-9 for _, v, s in found)
         right, total = right + len(set(best) & {f[1] for f in found}), total + 10
-    assert right / total >= 0.95
+    assert right / total >= least
 
 
 def test_graph_finds_the_nearest_centroids():
@@ -239,11 +240,35 @@ def test_ratio_alone_decides_the_lists():
     centroids = posting_lists.balanced_centroids(x, 157)
     graph = posting_lists.CentroidGraph.build(centroids)
     d = np.sqrt(((x[::200, None] - centroids[None]) ** 2).sum(2))
-    for row, found in zip(d, graph.probes(x[::200])):
-        assert set(np.flatnonzero(row <= posting_lists.PROBE_RATIO * row.min())) <= set(found.tolist())
+    for ratio in (1.05, 1.25):
+        for row, found in zip(d, graph.probes(x[::200], ratio)):
+            assert set(np.flatnonzero(row <= ratio * row.min())) <= set(found.tolist())
     assert np.mean([len(f) for f in graph.files(x[::200])]) > 2
 
 
+@pytest.mark.parametrize("size", [5_000, 20_000])
+def test_lists_read_hold_the_neighbours_and_less_than_all_vectors(spark, size):
+    rng = np.random.default_rng(size)
+    x = rng.standard_normal((size, 64)) + 2 * rng.standard_normal((40, 64)).repeat(size // 40, 0)
+    vectors = spark.createDataFrame(
+        list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>").repartition(8)
+    rows = posting_lists.usable_vectors(vectors)
+    graph = posting_lists.build_graph(rows, size)
+    ratio = posting_lists.probe_ratio(rows, rows, graph, 10)
+    assert ratio == posting_lists.probe_ratio(rows.repartition(3), rows, graph, 10)
+    filed = np.zeros((size, len(graph.centroids)), bool)
+    for row, lists in zip(filed, graph.files(x)):
+        row[lists] = True
+    asked = np.arange(0, size, size // 200)
+    found, read = 0, 0
+    for i, lists in zip(asked, graph.probes(x[asked], ratio)):
+        d = np.linalg.norm(x - x[i], axis=1)
+        d[i] = np.inf
+        found += filed[np.argsort(d)[:10]][:, lists].any(1).sum()
+        read += filed[:, lists].sum()
+    assert found >= 0.9 * 10 * len(asked) and read < 0.8 * size * len(asked)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     rows = QUERIES["op3_toxicity_nnpu"](spark, sf)
