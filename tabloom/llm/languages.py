@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_fold, map_batches
 
-# Bounds of the fit: documents per language (about), languages.
-DOCS_PER_LANGUAGE, MAX_LANGUAGES = 1_500, 256
-LETTERS = re.compile(r"[^\W\d_]+")
+# Bounds of the fit: documents per language (about), and of all languages together.
+DOCS_PER_LANGUAGE, DOCS = 1_500, 384_000
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")  # number-like letters such as a raised 2 are none
 EDGE = "\x02"
-MEMO_WORDS = 300_000
+MEMO_WORDS, MEMO_CELLS = 300_000, 8_000_000  # words looked up, and words times languages
+BATCH_CELLS = 65_536  # documents times languages worked on at once
 UNDETERMINED = "und"
 
 
@@ -56,7 +57,8 @@ class LanguageModel:
 
     def logs(self, found: list[Counter]) -> np.ndarray:
         """Log-likelihood of every word of every counter under each language; words seen before are looked up."""
-        if len(self.word_rows) > MEMO_WORDS or len(self.gram_rows) > MEMO_WORDS:
+        memo = min(MEMO_WORDS, MEMO_CELLS // max(1, len(self.langs)))
+        if len(self.word_rows) > memo or len(self.gram_rows) > memo:
             self.gram_rows, self.gram_logs = {}, self.gram_logs[:0]
             self.word_rows, self.word_logs = {}, self.word_logs[:0]
         known = self.word_rows
@@ -140,21 +142,22 @@ class LanguageModel:
 
 def fit_languages(
     docs: DataFrame, *, held_out: tuple[int, int] = (4, 2), per_language: int = DOCS_PER_LANGUAGE,
-    max_languages: int = MAX_LANGUAGES,
+    total: int = DOCS,
 ) -> LanguageModel:
     """Count trigrams of about *per_language* documents of each language (chosen by a hash of the id).
 
-    Only text and lang of rows outside the held-out fold are used. The most frequent
-    *max_languages* values of lang are learned.
+    Only text and lang of rows outside the held-out fold are used. Every value of lang is
+    learned; where there are more than *total* / *per_language* of them, each has fewer documents.
     """
     train = docs.filter(F.col("lang").isNotNull() & ~in_fold(F.col("doc_id"), *held_out)).select("doc_id", "lang", "text")
-    sizes = (
-        train.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "lang").limit(max_languages).collect())
-    langs = sorted(r.lang for r in sizes)
-    keep = F.lit(0.0)
-    for r in sizes:
-        keep = F.when(F.col("lang") == r.lang, F.lit(min(1.0, per_language / r.n))).otherwise(keep)
+    sizes = train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    langs = sorted(sizes.column("lang").to_pylist())
+    if not langs:
+        return LanguageModel([], {})
+    wanted = max(1.0, min(per_language, total / len(langs)))
+    # one row per language, as the model itself has one column per language
+    shares = F.broadcast(docs.sparkSession.createDataFrame(sizes).select(
+        "lang", F.least(F.lit(1.0), F.lit(float(wanted)) / F.col("n")).alias("share")))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("lang|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8),
                   16, 10).cast("bigint") / F.lit(2.0**32)
 
@@ -169,11 +172,10 @@ def fit_languages(
         return {"lang": [r[0] for r in rows], "gram": [r[1] for r in rows], "n": [r[2] for r in rows]}
 
     counted = (
-        map_batches(train.filter(draw < keep).select("lang", "text"), run, "lang string, gram string, n bigint")
+        map_batches(train.join(shares, "lang").filter(draw < F.col("share")).select("lang", "text"), run, "lang string, gram string, n bigint")
         .groupBy("gram", "lang").agg(F.sum("n").alias("n"))
         # bounded by the sample: letters three at a time
-        .groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("all"))
-        .filter("all > 1").toArrow())
+        .groupBy("gram").agg(F.collect_list(F.struct("lang", "n")).alias("by")).toArrow())
     place = {lang: i for i, lang in enumerate(langs)}
     grams = {}
     for g, by in zip(counted.column("gram").to_pylist(), counted.column("by").to_pylist()):
@@ -188,7 +190,8 @@ def detect_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score and languages ("en:0.91,fr:0.09") of every row.
 
     score is the share of the predicted language. NULL texts and texts without a letter
-    are "und" with score 0.
+    are "und" with score 0. Of languages with equal shares the first by code points is named;
+    repeated rows get the same result each. Words are runs of letters and their marks.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -199,10 +202,15 @@ def detect_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
             "languages": [",".join(f"{lang}:{share:.2f}" for lang, share in f[2]) for f in found]}
 
     return map_batches(
-        docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, languages string", rows=256)
+        docs.select("doc_id", "text"), run, f"doc_id {kind}, lang_pred string, score double, languages string",
+        rows=max(1, min(256, BATCH_CELLS // max(1, len(model.langs)))))
 
 
 def language_documents(docs: DataFrame) -> DataFrame:
+    """Language of every document, learned outside the fold that is held out (see :func:`detect_languages`).
+
+    Documents whose lang is NULL, and those of the fold, teach nothing; without any other, all are "und".
+    """
     model = fit_languages(docs)
     return detect_languages(docs, model).select(
         "doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "lang_pred", "score", "languages")

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 
 import numpy as np
 import pytest
@@ -294,6 +295,45 @@ def test_languages_held_out(spark):
     assert np.mean([r.lang == r.lang_pred for r in got]) > 0.97
 
 
+def test_every_language_is_learned(spark):
+    rng = np.random.default_rng(5)
+    names = [f"l{i:03d}" for i in range(300)]
+    kinds = {n: ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(6)] for n in names}
+    rows = [(i, " ".join(kinds[n] * 3), n) for i, n in enumerate(names * 3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = languages.fit_languages(docs)
+    assert model.langs == names
+    got = languages.detect_languages(docs, model).join(docs, "doc_id").collect()
+    assert len(got) == 900 and np.mean([r.lang == r.lang_pred for r in got]) > 0.97
+
+
+@pytest.mark.parametrize("text, words", [
+    ("\u00b2 \u00bd \u2167 42 _", []), ("x\u00b2 a1b", ["x", "a", "b"]),
+    ("\u0939\u093f\u0928\u094d\u0926\u0940 e\u0301t", ["\u0939\u093f\u0928\u094d\u0926\u0940", "e\u0301t"]),
+    ("\u0301 -", []), (None, [])])
+def test_words_are_letters_and_their_marks(text, words):
+    assert sorted(languages.words(text)) == sorted(words)
+
+
+def test_shares_follow_the_plain_formula():
+    """Expectation-maximisation of three documents, word by word, in plain Python."""
+    grams = {}
+    for j, text in enumerate(("the cat and the hat then", "le chat et la table est")):
+        for w in text.split():
+            for g in languages.trigrams(w):
+                grams.setdefault(g, [0, 0])[j] += 1
+    model = languages.LanguageModel(["en", "fr"], grams)
+    texts = ["the hat the cat le chat est", "la table est", "the then le and"]
+    for text, (_, _, parts) in zip(texts, model.mixtures(texts, penalty=-1e9)):
+        assert dict(model.mixtures([text], penalty=-1e9)[0][2]) == pytest.approx(dict(parts))
+        like = [[math.exp(sum(float(model.gram(g)[j]) for g in languages.trigrams(w))) for j in (0, 1)] for w in text.split()]
+        share = [0.5, 0.5]
+        for _ in range(15):
+            held = [[p[j] * share[j] / (p[0] * share[0] + p[1] * share[1]) for j in (0, 1)] for p in like]
+            share = [sum(h[j] for h in held) / len(held) for j in (0, 1)]
+        assert dict(parts) == pytest.approx({"en": share[0], "fr": share[1]})
+
+
 def test_mixture_of_two_languages(docs):
     model = languages.fit_languages(docs)
     by = {r.lang: r.text for r in docs.filter("n_chars > 3000").collect()}
