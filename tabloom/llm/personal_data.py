@@ -20,14 +20,16 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-TRIGGER = re.compile(r"[0-9@]")
+# Signs written out in brackets, and what a span has at least: a digit, an @ or one of those.
+SPELLED = re.compile(r"[\[(] ?(at|dot|@|\.) ?[\])]", re.IGNORECASE)
+TRIGGER = re.compile(r"[0-9@]|[\[(] ?(?:at|dot) ?[\])]", re.IGNORECASE)
 
-# Reach of a region around a digit or @, window length and step, size of each LSTM.
+# Reach of a region around a trigger, window length and step, size of each LSTM.
 REACH, WINDOW, STEP, HIDDEN = 32, 64, 32, 16
 LABELS = 1 + 2 * len(KINDS)  # outside, then begin and inside of each kind
 # Bounds of the fit.
-TRAIN_DOCS, TRAIN_WINDOWS, EPOCHS, BATCH = 4_000, 960, 12, 32
-SURE, SHORTEST = 0.9, 6
+TRAIN_DOCS, TRAIN_WINDOWS, DRAWN_WINDOWS, EPOCHS, BATCH = 4_000, 960, 2_000, 12, 32
+SURE, SHORTEST = 0.75, 6
 
 
 def _luhn(digits: str) -> bool:
@@ -79,6 +81,94 @@ def base_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, i
     return spans, dropped
 
 
+def plausible(kind: int, text: str, start: int, end: int) -> bool:
+    """Whether a span can be of its kind whatever its separators are: the test of what the tagger adds.
+
+    A span stands alone, without a letter or digit before or after it. Spelled-out and spaced signs
+    are read as the signs; then the tests of the fixed patterns hold.
+    """
+    if (start and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum()):
+        return False
+    span = text[start:end]
+    if kind in (0, 1):
+        span = SPELLED.sub(lambda m: {"at": "@", "dot": "."}.get(m.group(1).lower(), m.group(1)), span)
+        span = re.sub(" ?([@.]) ?", r"\1", span)
+        if kind == 0:
+            return EMAIL.fullmatch(span) is not None
+        return IP.fullmatch(span) is not None and all(map(_small, span.split(".")))
+    digits = re.sub("[^0-9]", "", span)
+    if re.search("[^0-9 +()./_-]", span) or span[0] not in "+(0123456789" or not span[-1].isdecimal():
+        return False
+    return 13 <= len(digits) <= 19 and _luhn(digits) if kind == 2 else 9 <= len(digits) <= 15
+
+
+def drawn_span(kind: int, r: np.random.Generator) -> str:
+    """A made-up span of a kind, in a usual or an unusual writing."""
+    def pick(*of):
+        return of[r.integers(len(of))]
+
+    def word(low, high):
+        return "".join(chr(97 + k) for k in r.integers(0, 26, r.integers(low, high)))
+
+    def number(size):
+        return "".join(map(str, r.integers(0, 10, size)))
+
+    if kind == 0:
+        name = pick(word(2, 9), word(1, 7).title(), word(1, 6) + pick(".", "_", "-", "+") + pick(word(2, 8), number(2)))
+        dot = pick(".", ".", " . ", "(dot)", "[dot]", " (dot) ", " [dot] ", "[.]")
+        host = [word(2, 9) + pick("", number(1)), *[word(2, 8)] * int(r.integers(0, 2)), pick("com", "org", "net", word(2, 4))]
+        return name + pick("@", "@", " @ ", "(at)", "[at]", " (at) ", " [at] ", "[@]") + dot.join(host)
+    if kind == 1:
+        return pick(".", " . ", "[.]", "(.)", "[dot]", " [dot] ", "(dot)", " (dot) ").join(map(str, r.integers(0, 256, 4)))
+    if kind == 2:
+        digits = pick("4", "5", "3") + number(pick(14, 14, 14, 13))
+        digits += next(d for d in "0123456789" if _luhn(digits + d))
+        cuts = (4, 8, 12) if len(digits) == 16 else (4, 10)
+        parts = [digits[a:b] for a, b in zip((0, *cuts), (*cuts, None))]
+        return pick("", " ", "-", ".", "/", "_", " - ", "  ", " / ").join(parts)
+    parts = [number(k) for k in pick((3, 3, 4), (3, 4, 4), (2, 4, 4), (4, 6), (3, 2, 2, 2), (5, 5))]
+    if r.random() < 0.3:
+        parts[0] = f"({parts[0]})"
+    code = pick("+1", "+49", "+351", "001", "0044", "", "", "")
+    between = pick(" ", "-", ".", "/", " - ")
+    return (code + pick(" ", between) if code else "") + between.join(parts)
+
+
+def drawn_other(r: np.random.Generator) -> str:
+    """Made-up text with digits or brackets that is no personal data: dates, times, amounts, versions, hex numbers, words."""
+    n = [int(k) for k in r.integers(0, 60, 6)]
+    return (
+        f"20{n[0]:02}-{n[1] % 12 + 1:02}-{n[2] % 28 + 1:02}", f"{n[0] % 24}:{n[1]:02}:{n[2]:02}",
+        f"20{n[0]:02}-{n[1] % 12 + 1:02}-{n[2] % 28 + 1:02} {n[3] % 24:02}:{n[4]:02}",
+        f"{n[0] + 1},{n[1]:03},{n[2]:03}", f"{n[0]}.{n[1]}{n[2]}", f"v{n[0]}.{n[1]}.{n[2]}", f"19{n[0]:02}-20{n[1]:02}",
+        r.bytes(int(r.integers(8, 20))).hex(), "978-" + "-".join(f"{k:02}" for k in n), f"({n[0]})", f"[{n[1]}]",
+        f"{n[0]}/{n[1]}", f"({'is in of an'.split()[n[0] % 4]})", f"#{n[0]}{n[1]}{n[2]}{n[3]}", f"{n[0]} x {n[1]} x {n[2]}",
+    )[r.integers(15)]
+
+
+def drawn_windows(contexts: list[str], count: int, seed: int = 7) -> tuple[list[str], list[list[int]]]:
+    """*count* windows of made-up spans and other numbers between words of the *contexts*, with their labels.
+
+    Four in five hold a span, cut by the window's edge now and then.
+    """
+    r = np.random.default_rng(seed)
+    texts, labels = [], []
+    for k in range(count):
+        left, right = (contexts[i] for i in r.integers(0, len(contexts), 2))
+        kind = k % 5
+        middle = drawn_span(kind, r) if kind < len(KINDS) else drawn_other(r)
+        left = left[:int(r.integers(0, WINDOW))] + (" ", " ", "\n", ": ", " \"")[r.integers(5)]
+        text = left + middle + (" ", " ", ", ", ". ", "\n", "")[r.integers(6)]
+        text += (" " if middle and text.endswith(middle) and right[:1].isalnum() else "") + right
+        spans = [(kind, len(left), len(left) + len(middle))] if kind < len(KINDS) else []
+        # base spans of the contexts keep their labels
+        spans += [s for s in base_spans(text)[0] if not any(a < s[2] and s[1] < b for _, a, b in spans)]
+        a = int(r.integers(0, max(1, min(len(left) + 8, len(text) - WINDOW + 1))))
+        texts.append(text[a:a + WINDOW])
+        labels.append(_labels(text, a, min(len(text), a + WINDOW), spans))
+    return texts, labels
+
+
 def _classes() -> dict[str, int]:
     """Digits, small and capital letters share a class each; other ASCII signs have their own."""
     table = {ch: 1 for ch in "0123456789"}
@@ -97,10 +187,10 @@ def char_classes(text: str) -> list[int]:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """The stretches within REACH characters of a digit or @; no span lies elsewhere."""
+    """The stretches within REACH characters of a trigger; no span lies elsewhere."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.start() + REACH + 1)
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -267,7 +357,8 @@ def find_spans(texts: list[str], tagger: SpanTagger | None) -> list[tuple[list,
     The windows of all texts are decoded together. Each character takes its label from
     the window in whose middle it is; runs of labels are then spans of the whole text,
     whatever windows they cross. Spans are added if every label in them is sure, if they
-    hold a digit or @, and if no base span or dropped match touches them.
+    are :func:`plausible` and if no base span touches them; matches that a pattern's test
+    dropped may be part of them.
     """
     based = [base_spans(t) for t in texts]
     if tagger is None:
@@ -285,53 +376,58 @@ def find_spans(texts: list[str], tagger: SpanTagger | None) -> list[tuple[list,
                 if row[i - a]:
                     own[i] = (int(row[i - a]), float(p[i - a]))
     for k, own in labels.items():
-        taken = [(s, e) for _, s, e in based[k][0]] + based[k][1]
+        taken = [(s, e) for _, s, e in based[k][0]]
         run: list[int] = []
         for i in [*sorted(own), None]:
             kind = None if i is None else (own[i][0] - 1) // 2
             if run and (i is None or i != run[-1] + 1 or own[i][0] % 2 == 1 or kind != (own[run[0]][0] - 1) // 2):
-                s, e = run[0], run[-1] + 1
+                s, e, of = run[0], run[-1] + 1, (own[run[0]][0] - 1) // 2
                 fine = (
-                    e - s >= SHORTEST and min(own[j][1] for j in run) >= SURE and TRIGGER.search(texts[k], s, e)
+                    e - s >= SHORTEST and min(own[j][1] for j in run) >= SURE and plausible(of, texts[k], s, e)
                     and not any(x < e and s < y for x, y in taken))
                 if fine:
-                    added[k].append(((own[s][0] - 1) // 2, s, e))
+                    added[k].append((of, s, e))
                 run = []
             if i is not None:
                 run.append(i)
     return [(sorted(s), sorted(s + more)) for (s, _), more in zip(based, added)]
 
 
-def fit_tagger(docs: DataFrame, *, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> SpanTagger | None:
+def fit_tagger(
+    docs: DataFrame, *, train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS, drawn: int = DRAWN_WINDOWS,
+) -> SpanTagger | None:
     """Train on windows of the *train_docs* documents that come first by a hash of the id.
 
-    The base patterns label them. Up to *train_windows* windows are used, two thirds of
-    them with a span if there are as many. None if no window has a span.
+    Up to *train_windows* windows are labelled by the base patterns, two thirds of them
+    with a span if there are as many. Between their words *drawn* more windows hold made-up
+    spans, also in writings that the patterns do not know, and numbers that are no personal
+    data. None if no document has a window.
     """
     chosen = bounded_sample(docs.filter(F.col("doc_id").isNotNull()).select("doc_id"), "doc_id", train_docs)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"doc_id": [], "at": [], "x": [], "y": []}
+        out: dict[str, list] = {"doc_id": [], "at": [], "w": [], "y": []}
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text = text or ""
             spans, _ = base_spans(text)
             for r in regions(text):
                 for a, b in windows(r):
-                    for k, v in zip(out, (doc_id, a, char_classes(text[a:b]), _labels(text, a, b, spans))):
+                    for k, v in zip(out, (doc_id, a, text[a:b], _labels(text, a, b, spans))):
                         out[k].append(v)
         return out
 
-    cut = map_batches(sample, run, "doc_id bigint, at int, x array<int>, y array<int>").withColumn(
+    cut = map_batches(sample, run, "doc_id bigint, at int, w string, y array<int>").withColumn(
         "some", F.exists("y", lambda v: v > 0))
-    order = [F.xxhash64("doc_id", "at"), "doc_id", "at", F.col("y").cast("string")]
+    order = [F.xxhash64("doc_id", "at"), "doc_id", "at", F.col("y").cast("string"), "w"]
     some = cut.filter("some").orderBy(*order).limit(train_windows * 2 // 3)
     none = cut.filter("not some").orderBy(*order).limit(train_windows // 3)
-    rows = some.unionAll(none).select("x", "y").collect()
-    if not any(max(r.y) for r in rows):
+    rows = some.unionAll(none).select("w", "y").collect()
+    if not rows:
         return None
-    x, y = _padded([r.x for r in rows]), _padded([r.y for r in rows])
-    return SpanTagger.new().fit(x, y)
+    texts, labels = drawn_windows([r.w for r in rows], drawn)
+    x = _padded([char_classes(t) for t in [r.w for r in rows] + texts])
+    return SpanTagger.new().fit(x, _padded([r.y for r in rows] + labels))
 
 
 def _named(spans: list[tuple[int, int, int]]) -> str:

@@ -405,6 +405,63 @@ def test_tagger_learns_spans(texts):
     assert (labels == y[120:]).mean() > 0.98
 
 
+@pytest.fixture(scope="module")
+def tagger(docs):
+    return personal_data.fit_tagger(docs)
+
+
+def test_tagger_adds_what_the_patterns_miss(texts, tagger):
+    """Planted spans in unusual writings: four in five are found, and nothing else is added to any text."""
+    p, r = personal_data, np.random.default_rng(99)
+    clean = [t for t in texts.values() if len(t) > 200 and not p.base_spans(t)[0]][:200]
+    planted, wanted, usual = [], [], 0
+    for k, t in enumerate(clean):
+        span = p.drawn_span(k % 4, r)
+        at = t.rfind(" ", 0, 150) + 1
+        planted.append(t[:at] + span + " " + t[at:])
+        wanted.append((k % 4, at, at + len(span)))
+    found = p.find_spans(planted, tagger)
+    hits = sum(w in every for w, (_, every) in zip(wanted, found))
+    usual = sum(w in base for w, (base, _) in zip(wanted, found))
+    assert usual < 0.5 * len(clean) and hits > 0.8 * len(clean)
+    for w, (base, every) in zip(wanted, found):
+        assert set(base) <= set(every)
+        assert set(every) - set(base) <= {w}
+
+
+def test_tagger_leaves_other_numbers_alone(texts, tagger):
+    p, r = personal_data, np.random.default_rng(3)
+    clean = [t for t in texts.values() if t and not p.base_spans(t)[0]][:300]
+    other = [t[:100] + " " + p.drawn_other(r) + " " + t[100:] for t in clean]
+    assert sum(len(every) - len(base) for base, every in p.find_spans(clean + other, tagger)) == 0
+
+
+def test_added_spans_over_dropped_matches(spark, docs):
+    """A number in groups is a match that the patterns drop; the operator finds it all the same, over window borders too."""
+    p = personal_data
+    text = "Pay with card 4111.1111.1111.1111 please, or write to jane.doe (at) mail (dot) example (dot) org today."
+    rows = p.personal_documents(
+        spark.createDataFrame([(1, text), (2, "many words " * 40 + text), (3, None), (4, "")], "doc_id long, text string"),
+        p.fit_tagger(docs)).collect()
+    by = {r.doc_id: r for r in rows}
+    assert p.base_spans(text)[0] == [] and by[1].n_card == by[1].n_email == 0
+    for k in (1, 2):
+        shift = 440 * (k - 1)
+        want = [(kind, shift + text.index(s), shift + text.index(s) + len(s)) for kind, s in (
+            ("email", "jane.doe (at) mail (dot) example (dot) org"), ("card", "4111.1111.1111.1111"))]
+        assert by[k].spans == ",".join(f"{kind}:{a}:{b}" for kind, a, b in want)
+    assert by[3].spans == by[4].spans == ""
+
+
+@pytest.mark.parametrize("kind, text, fine", [
+    (0, "a.b (at) c [dot] de", True), (0, "a.b (at) c", False), (0, "(at) c (dot) d", False), (1, "1[.]2[.]3[.]4", True),
+    (1, "1[.]2[.]3[.]256", False), (2, "4111/1111/1111/1111", True), (2, "4111/1111/1111/1112", False),
+    (2, "4111:1111:1111:1111", False), (3, "(030) 123.45.67", True), (3, "030-123", False), (3, "030 123 45 67)", False)])
+def test_plausible(kind, text, fine):
+    assert personal_data.plausible(kind, text, 0, len(text)) is fine
+    assert not personal_data.plausible(kind, "x" + text + "9", 1, len(text) + 1)
+
+
 def test_windows_cover_regions(texts):
     p = personal_data
     for t in list(texts.values())[:60]:
