@@ -491,6 +491,31 @@ def test_token_parity_of_odd_texts(text):
     assert tokenizer.decode_batch(ids)[0] == tokenizer.reference.decode(ids[0]) == tokenizer.plain(text)
 
 
+def _unigram_model() -> bytes:
+    """A small unigram model with byte fallback, written by hand: scores are fixed, nothing is trained."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.trainer_spec.model_type, proto.trainer_spec.byte_fallback = 1, True
+    proto.normalizer_spec.name = "identity"
+    proto.normalizer_spec.add_dummy_prefix = proto.normalizer_spec.escape_whitespaces = True
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{k:02X}>", 0.0, 6) for k in range(256)]
+    words = ["▁", "▁the", "▁th", "he", "ing", "in", "▁in", "er", "re", "an", "▁an", "and", "on", "st", *"abcdefghijklmnopqrstuvwxyz"]
+    pieces += [(w, -2.0 - 0.37 * k, 1) for k, w in enumerate(words)]
+    for piece, score, kind in pieces:
+        proto.pieces.add(piece=piece, score=score, type=kind)
+    return proto.SerializeToString()
+
+
+@pytest.mark.parametrize("text", ["the thing and the other", "rest in an inner hand", "a", "zebra stands on the stone", "é in 日本", "the  end"])
+def test_unigram_scores_choose_the_pieces(text):
+    tokenizer = sentencepiece_backend.PieceTokenizer(_unigram_model())
+    ids, same = tokenizer.encode_batch([text])
+    assert same == [True] and ids[0].tolist() == tokenizer.reference.encode(text)
+    assert tokenizer.decode_batch(ids)[0] == text
+
+
 def test_mix_targets(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 1000), ("d", 5), (None, 200), ("e", 0)], "source string, size bigint")
     rows = {r.source: r for r in mixing.source_targets(sizes).collect()}
