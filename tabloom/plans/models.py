@@ -99,18 +99,22 @@ def _tree_params(params: dict[str, Any]) -> dict[str, Any]:
     }
 
 
+# a prediction needs neither the votes nor the probabilities of all classes, which are a vector of every class in every row
+_NO_VOTES = {"rawPredictionCol": "", "probabilityCol": ""}
 _TREE = ["max_depth", "max_bins", "min_samples_split", "min_samples_leaf", "random_state"]
 
 
 def _tree(params, info):
     _known(params, _TREE)
-    return [DecisionTreeClassifier(impurity="gini", **_tree_params(params))]
+    return [DecisionTreeClassifier(impurity="gini", **_tree_params(params), **_NO_VOTES)]
 
 
 def _forest(cls, subset: str):
     def build(params, info):
         _known(params, [*_TREE, "n_estimators"])
-        return [cls(numTrees=int(params.get("n_estimators", 100)), featureSubsetStrategy=subset, **_tree_params(params))]
+        votes = _NO_VOTES if cls is RandomForestClassifier else {}
+        return [cls(
+            numTrees=int(params.get("n_estimators", 100)), featureSubsetStrategy=subset, **_tree_params(params), **votes)]
 
     return build
 

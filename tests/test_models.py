@@ -210,3 +210,15 @@ def test_tuned_experiment(spark, data):
     assert result.metrics["f1_weighted"] > 0.9
     with pytest.raises(KeyError):
         run_experiment(data, {**spec, "data": {"target_col": "zzz"}}, ["row_id"])
+
+
+def test_trees_give_no_vector_of_all_classes(frame):
+    rows = [(i, f"k{i % 1200:04d}", float(i % 2)) for i in range(2400)]
+    df = frame(rows, "id bigint, k string, x double")
+    for name in ("decision_tree", "random_forest_classifier"):
+        params = {"max_depth": 1, **({"n_estimators": 2} if name != "decision_tree" else {})}
+        stages = Trainer(name, params, "k", ["id"]).fit(df).stages
+        raw = df
+        for stage in stages[:-1]:
+            raw = stage.transform(raw)
+        assert "prediction" in raw.columns and not {"rawPrediction", "probability"} & set(raw.columns)
