@@ -11,7 +11,7 @@ from __future__ import annotations
 import warnings
 from typing import Any
 
-from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,6 +85,18 @@ def list_table(df: DataFrame, categories: list[Any], dtype: T.DataType) -> DataF
     return table.withColumn("value", F.col("value").cast(dtype))
 
 
+def one_slot(code: Column, size: int) -> Column:
+    """A sparse vector of *size* slots with a one at *code*, all zeros beyond.
+
+    Read from its JSON form: the encoder of Spark ML names every slot in the schema, which is as long as the categories.
+    """
+    kind = T.StructType([T.StructField("v", VectorUDT())])
+    inside = code < size
+    slot, value = F.when(inside, code.cast("string")).otherwise(""), F.when(inside, "1.0").otherwise("")
+    text = F.concat(F.lit(f'{{"v":{{"type":0,"size":{size},"indices":['), slot, F.lit('],"values":['), value, F.lit("]}}"))
+    return F.from_json(text, kind)["v"]
+
+
 class OneHotModel(StepModel):
     """State: ``categories`` (dense columns) and ``tables`` (sparse vectors)."""
 
@@ -97,10 +109,11 @@ class OneHotModel(StepModel):
             table = dataset.sparkSession.read.parquet(info["path"])
             # the last slot, dropped by the encoder, stands for unseen and null
             coded = label_join(out, c(name).cast("string"), table, code, default=size)
-            slots = local_frame(
-                dataset.sparkSession, [(float(size),)], T.StructType([T.StructField(code, T.DoubleType())]))
-            encoder = OneHotEncoder(inputCols=[code], outputCols=[vector], dropLast=True).fit(slots)
-            out = encoder.transform(coded.withColumn(code, F.col(code).cast("double"))).drop(code, name)
+            if vector in coded.columns:
+                raise ValueError(f"output column {vector} already exists")
+            others = [n for n in coded.columns if n not in (code, name)]
+            out = coded.select(*[c(n) for n in others], one_slot(F.col(code), size).alias(
+                vector, metadata={"ml_attr": {"num_attrs": size}}))
         return out
 
     def carry(self, stats: TrainingStats, schema: T.StructType) -> None:

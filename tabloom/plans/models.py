@@ -25,6 +25,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ from ..functions.stats import frequencies, json_value, literal, moments
 from ..operators.step import StepModel
 from ..session import scratch_path
 from .features import feature_columns
+from .wide_ridge import WideRidge, vector_width
 
 FEATURES, LABEL = "_features", "_label"
 MAX_CLASSES = 1000  # more of them are kept in a table that is joined
@@ -193,12 +195,13 @@ def _robust(params, info):
 
 
 def _ridge(params, info):
-    """The same objective by either solver: each divides the penalty by its own deviation of the label."""
-    first = info.frame.select(F.size(vector_to_array(FEATURES)).alias("d")).first()
+    """The same objective by normal equations, which divide the penalty by the deviation of the label, or step by step."""
+    first = info.frame.select(vector_width(FEATURES).alias("d")).first()
     if first is None or first.d <= NORMAL_FEATURES:
         return _linear(0.0, lambda alpha, info: alpha * info.label_std / info.rows, "normal")(params, info)
-    sample = (info.rows / max(1, info.rows - 1)) ** 0.5
-    return _linear(0.0, lambda alpha, info: alpha * info.label_std * sample / info.rows, "l-bfgs")(params, info)
+    _known(params, ["alpha", "max_iter", "tol", "random_state"])
+    return [WideRidge(
+        FEATURES, LABEL, float(params.get("alpha", 1.0)), int(params.get("max_iter", 1000)), float(params.get("tol", 1e-10)))]
 
 
 _lasso = _linear(1.0, lambda alpha, info: alpha, "l-bfgs")
@@ -257,6 +260,19 @@ class ClassIndexModel(StepModel):
         return dataset.withColumn(LABEL, (position - 1).cast("double"))
 
 
+class VectorColumnModel(StepModel):
+    """One vector column as the feature vector. State: its name and size.
+
+    ``VectorAssembler`` names every slot in the schema, which is as long as the vectors.
+    """
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        name, size = self.fitted["name"], self.fitted["size"]
+        fits = F.coalesce(vector_width(name) == size, F.lit(False))
+        wrong = F.raise_error(F.lit(f"column {name} must hold vectors of {size} entries"))
+        return dataset.withColumn(FEATURES, F.when(fits, c(name)).otherwise(wrong))
+
+
 class ClassNameModel(StepModel):
     """Class index in ``prediction`` -> target value; drops the working columns."""
 
@@ -311,7 +327,7 @@ class Trainer:
             m = moments(train, [self.target])[self.target]
             rows, std = m.present, m.std or 0.0
         index = ClassIndexModel({"target": self.target, "classes": classes, "tables": tables})
-        assemble = VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="error")
+        assemble = self.assembler(train, features)
         label = F.col(LABEL)
         if n_classes:
             # Spark infers the number of classes from the rows only up to 100 of them
@@ -321,6 +337,17 @@ class Trainer:
         names = ClassNameModel({"classes": classes, "dtype": dtype.simpleString(), "tables": tables})
         return [index, assemble, names], ready, info
 
+    def assembler(self, train: DataFrame, features: list[str]) -> Any:
+        if len(features) == 1 and isinstance(train.schema[features[0]].dataType, VectorUDT):
+            (name,) = features
+            size = train.schema[name].metadata.get("ml_attr", {}).get("num_attrs")
+            if size is None:
+                first = train.select(vector_width(name).alias("d")).first()
+                size = first.d if first is not None else None
+            if size is not None and size > NORMAL_FEATURES:
+                return VectorColumnModel({"name": name, "size": size})
+        return VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="error")
+
     def fit(self, train: DataFrame) -> PipelineModel:
         (index, assemble, names), ready, info = self.prepare(train)
         ready.persist(StorageLevel.MEMORY_AND_DISK)

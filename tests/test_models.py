@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabloom.operators.evaluate import classification_metrics, regression_metrics
@@ -222,3 +223,42 @@ def test_trees_give_no_vector_of_all_classes(frame):
         for stage in stages[:-1]:
             raw = stage.transform(raw)
         assert "prediction" in raw.columns and not {"rawPrediction", "probability"} & set(raw.columns)
+
+
+def test_wide_ridge_is_the_closed_form(spark, frame):
+    rng = np.random.default_rng(5)
+    size, n = 5000, 60
+    x = np.zeros((n, size))
+    for i in range(n):
+        x[i, rng.choice(size, 3, replace=False)] = rng.normal(size=3)
+    x[:, 4999] = 2.0          # a constant column gets no weight
+    x[7] = x[8]               # equal rows
+    y = rng.normal(size=n) + 50
+    vectors = [Vectors.dense(r) if i % 2 else Vectors.sparse(size, np.flatnonzero(r), r[r != 0]) for i, r in enumerate(x)]
+    df = spark.createDataFrame([(i, v, float(t)) for i, (v, t) in enumerate(zip(vectors, y))], ["id", "v", "y"])
+    df = df.unionByName(df.limit(1).selectExpr("id + 1000 AS id", "v", "CAST(NULL AS double) AS y"))
+    model = Trainer("ridge", {"alpha": 2.0}, "y", ["id"]).fit(df)
+    centred = x - x.mean(0)
+    dual = np.linalg.solve(centred @ centred.T + 2.0 * np.eye(n), y - y.mean())
+    want = y.mean() + centred @ (centred.T @ dual)
+    got = {r.id: r.prediction for r in model.transform(df).select("id", "prediction").collect()}
+    assert sorted(got) == [*range(n), 1000]
+    assert [got[i] for i in range(n)] == pytest.approx(want, abs=1e-6)
+    assert got[1000] == pytest.approx(want[0], abs=1e-6)
+
+
+def test_sparse_onehot_and_wide_ridge_name_no_slots(spark):
+    df = spark.range(12_000).selectExpr("id", "id % 6000 AS k", "CAST(id % 7 AS double) AS y")
+    steps = FeaturePipeline([{"type": "onehot_encode", "cols": ["k"], "output": "sparse"}], exclude=["id", "y"]).fit(df)
+    coded = steps.transform(df)
+    assert len(str(coded.schema["k_vec"].metadata)) < 200
+    model = Trainer("ridge", {"alpha": 1.0}, "y", ["id"]).fit(coded)
+    frame = coded
+    for stage in model.stages[:2]:
+        frame = stage.transform(frame)
+    assert len(str(frame.schema["_features"].metadata)) < 200
+    first = {r.id: r.prediction for r in model.transform(coded).filter("id < 2").select("id", "prediction").collect()}
+    m = sum(i % 7 for i in range(12_000)) / 12_000
+    for i in (0, 1):
+        pair = [i % 7, (i + 6000) % 7]
+        assert first[i] == pytest.approx(m + (sum(pair) - 2 * m) / 3, abs=0.01)
