@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions.text import metric_band, relative_age
 from ..operators.evaluate import NON_SCALAR_METRICS, lower_is_better, resolve_metric
-from ..session import list_folder, local_frame, remove_path
+from ..session import list_folder, local_frame, path_size, remove_path
 
 # The fields of a run record and those of its list view.
 RUN_FIELDS: dict[str, T.DataType] = {
@@ -47,6 +47,7 @@ SUMMARY_FIELDS = [
     "run_id", "timestamp", "model_type", "metrics", "train_rows", "test_rows", "duration_seconds", "is_champion"]
 JSON_FIELDS = ("config", "pipeline_summary", "metrics", "tags")
 SHORT_ID = 8
+MAX_TAIL = 10_000  # files beside the newest snapshot
 
 EVENT_SCHEMA = T.StructType(
     [T.StructField("seq", T.LongType()), T.StructField("event", T.StringType())] + RUN_SCHEMA.fields)
@@ -72,13 +73,21 @@ def current_runs(events: DataFrame) -> DataFrame:
     return newest.select(*[champion.alias(n) if n == "is_champion" else F.col(n) for n in RUN_SCHEMA.names])
 
 
-def compacted(events: DataFrame) -> DataFrame:
+def superseded(events: DataFrame) -> DataFrame:
+    """(run_id, seq) of the log and delete events that a newer one of their run replaces."""
+    changes = events.filter(F.col("event").isin("log", "delete")).select("run_id", "seq")
+    newest = F.max("seq").over(Window.partitionBy("run_id"))
+    return changes.withColumn("newest", newest).filter("seq < newest").select("run_id", "seq").distinct()
+
+
+def compacted(events: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """The events that views depend on: the newest log or delete of every run and the newest promote.
 
     A view over them equals the view over all events, also after events that are older arrive late.
+    *old* is :func:`superseded`, if known: while it is small, no record is moved.
     """
-    changes = events.filter(F.col("event").isin("log", "delete"))
-    newest = changes.join(changes.groupBy("run_id").agg(F.max("seq").alias("seq")), ["run_id", "seq"])
+    changes = events.filter(F.col("event").isin("log", "delete") & F.col("run_id").isNotNull() & F.col("seq").isNotNull())
+    newest = changes.join(superseded(events) if old is None else old, ["run_id", "seq"], "left_anti")
     promotes = events.filter(F.col("event") == "promote")
     promoted = promotes.agg(F.max(F.struct(*EVENT_SCHEMA.names)).alias("e")).filter("e is not null").select("e.*")
     return newest.select(*EVENT_SCHEMA.names).unionAll(promoted)
@@ -341,6 +350,22 @@ class RunLog:
             parts.append(self._read(*tail) if covered else self._read(self.path))
         return reduce(DataFrame.unionAll, parts) if parts else local_frame(self.spark, [], EVENT_SCHEMA)
 
+    def has_grown(self, skip: str | None = None) -> bool:
+        """Whether what the newest snapshot does not cover is as large as the snapshot, or MAX_TAIL files.
+
+        Compacting only then writes each event a bounded number of times, however many batches there are.
+        """
+        snapshots = self._snapshots()
+        if not snapshots:
+            return True
+        covered = self._covered(snapshots[-1])
+        tail = [f for f in self._files() if _name(f) not in covered and (skip is None or f"/{skip}/" not in f)]
+        # files below a subfolder are covered together
+        root = _name(self.path)
+        places = {f if _name(f.rsplit("/", 1)[0]) == root else f.rsplit("/", 1)[0] for f in tail}
+        return len(tail) >= MAX_TAIL or sum(
+            path_size(self.spark, p) for p in places) >= path_size(self.spark, f"{snapshots[-1]}/events")
+
     def compact(self, skip: str | None = None) -> None:
         """Fold all events into a new snapshot, except those in files below the subfolder *skip*.
 
@@ -352,7 +377,12 @@ class RunLog:
         number = int(snapshots[-1].rsplit("-", 1)[1]) + 1 if snapshots else 0
         target = f"{self.path}/_snapshots/v-{number:012d}"
         remove_path(self.spark, target)  # what a broken attempt left
-        compacted(self._events(files, snapshots[-1:])).write.parquet(f"{target}/events")
+        events = self._events(files, snapshots[-1:])
+        # written first, so that its size is known when it meets the records
+        superseded(events).write.parquet(f"{target}/old")
+        old = self.spark.read.schema("run_id string, seq bigint").parquet(f"{target}/old")
+        compacted(events, old).write.parquet(f"{target}/events")
+        remove_path(self.spark, f"{target}/old")
         local_frame(self.spark, [(_name(f),) for f in files], "name string").coalesce(1).write.parquet(f"{target}/files")
         for snapshot in snapshots[-1:]:
             old = self._covered(snapshot)

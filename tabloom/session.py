@@ -83,3 +83,9 @@ def list_folder(spark: SparkSession, path: str) -> list[str]:
 def remove_path(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def path_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files in a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()

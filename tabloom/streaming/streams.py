@@ -158,12 +158,12 @@ def follow_runs(
     """Keep *log* up to date with a stream of run events: ``log.runs()`` is right after every micro-batch.
 
     Each micro-batch adds one folder with the newest events of the runs it changed; a repeated one replaces its
-    folder. Every *compact_every* batches the log is compacted, leaving out the folder being written, so files
-    stay bounded. *log* and *checkpoint* belong together: a restart with both goes on where it stopped.
+    folder. Every *compact_every* batches the log is compacted, leaving out the folder being written, if it has
+    grown enough since (:meth:`RunLog.has_grown`), so files stay bounded. *log* and *checkpoint* belong together: a restart with both goes on where it stopped.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         folder = f"batch-{batch_id:012d}"
-        if batch_id and batch_id % compact_every == 0:
+        if batch_id and batch_id % compact_every == 0 and log.has_grown(skip=folder):
             log.compact(skip=folder)
         batch.select(*EVENT_SCHEMA.names).write.mode("overwrite").parquet(f"{log.path}/{folder}")
         if then is not None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import tabloom.operators.drift as drift
 from tabloom.operators.drift import detect_drift
 from tabloom.plans.features import FeaturePipeline
-from tabloom.plans.runlog import EVENT_SCHEMA, RunLog, current_runs
+from tabloom.plans.runlog import EVENT_SCHEMA, RunLog, compacted, current_runs, superseded
 from tabloom.session import list_folder, local_frame
 from tabloom.streaming.streams import (
     EndableStream,
@@ -186,3 +186,25 @@ def test_run_log_is_right_after_every_batch(spark, tmp_path, every):
         for k in range(len(DELIVERIES))]
     assert views[:4] == wanted[:4] and views[-2:] == wanted[4:]
     assert wanted[-1] == [("p", "svc", True), ("q", "lasso", False), ("r", "again", False)]
+
+
+def test_run_log_is_compacted_as_it_grows(spark, tmp_path):
+    folder, checkpoint, log = str(tmp_path / "in"), str(tmp_path / "checkpoint"), RunLog(spark, str(tmp_path / "log"))
+    done, compact = [], log.compact
+    log.compact = lambda **kw: (done.append(kw), compact(**kw))
+    for i in range(9):  # batches of equal size
+        rows = [run_event(1000 * i + k, "log", f"run-{i}-{k}", dataset_path=f"{i * 37 + k * 91}") for k in range(50)]
+        local_frame(spark, [*rows, run_event(1000 * i + 99, "log", "often")], EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(folder)
+    follow_runs(file_stream(spark, folder, "*.parquet", EVENT_SCHEMA, files_per_batch=1), log, checkpoint, 1).awaitTermination()
+    assert 1 <= len(done) <= 4  # each time the log has about doubled, not eight times
+    assert log.runs().count() == 451
+
+
+def test_compacting_moves_no_record_while_little_is_superseded(spark):
+    events = local_frame(spark, [run_event(1, "log", "a"), run_event(2, "log", "a"), run_event(3, "log", "b"),
+                                 run_event(4, "delete", "b"), run_event(5, "log", None), run_event(None, "log", "c"),
+                                 run_event(6, "promote", "a")], EVENT_SCHEMA)
+    old = local_frame(spark, [tuple(r) for r in superseded(events).collect()], "run_id string, seq bigint")
+    assert sorted(tuple(r) for r in old.collect()) == [("a", 1), ("b", 3)]
+    for kept in (compacted(events), compacted(events, old)):
+        assert sorted((r.seq, r.event) for r in kept.collect()) == [(2, "log"), (4, "delete"), (6, "promote")]
