@@ -43,6 +43,16 @@ def _importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """At most *rows* rows of text in one Arrow batch, unless the session asks for fewer.
+
+    A batch is held by the JVM outside its heap and again by the worker, for every running task, and texts may be long.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, rows: int = 512,
 ) -> DataFrame:

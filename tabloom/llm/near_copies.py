@@ -1,7 +1,9 @@
 """Near copies by shingle sets: one document of each group stays.
 
 Texts are near if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
-Each text is filed under BANDS keys, a key being the least hashes of its set under BAND_ROWS
+First the 64-bit SimHash fingerprints of the sets are linked at FINGERPRINT_BITS or fewer differing bits (the operator
+of :mod:`.simhash`), and each text is verified on whole sets against one text of its fingerprint's component.
+Texts at the limit differ in more bits than such keys can find, so what is still apart goes on: each text is filed under BANDS keys, a key being the least hashes of its set under BAND_ROWS
 orders; near texts share a key but for odds of 7 in 100,000 at the limit. In each bucket all texts
 are compared with one of them first, the one that shares keys with most texts, and what is still
 apart with another. Then the texts of different components are: wide SimHash
@@ -21,10 +23,11 @@ from pyspark.sql import functions as F
 from ..session import remove_path
 from .common import c, map_batches, stored
 from .components import connected_components
-from .simhash import bit_counts, shingle_hashes
+from .simhash import bit_counts, fingerprint_components, shingle_hashes
 
 BANDS, BAND_ROWS = 24, 5
-WORDS = 16  # of 64 bits in a fingerprint
+FINGERPRINT_BITS = 3  # that fingerprints of close copies differ in at most
+WORDS = 16  # of 64 bits in a wide fingerprint
 HUBS = 2  # texts of a bucket that all others are compared with first
 DEVIATIONS = 3.5  # how far above the mean of pairs at the limit a distance may lie
 
@@ -121,6 +124,21 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return map_batches(both, verify, "a bigint, b bigint", rows=1024)
 
 
+def simhash_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b) of texts to one text of their SimHash component: the one with the smallest key."""
+    def prints(batch: pa.RecordBatch) -> dict:
+        found = [fingerprint(np.frombuffer(s, np.uint32), 1)[0] for s in batch.column(1).to_pylist()]
+        return {"n": batch.column(0), "fp": pa.array(np.array(found, np.int64)), "size": [len(s) // 4 for s in batch.column(1).to_pylist()]}
+
+    fps = stored(map_batches(sets, prints, "n bigint, fp bigint, size int"), "near-prints")
+    members = fps.join(fingerprint_components(fps, FINGERPRINT_BITS), "fp")
+    hubs = members.groupBy("root").agg(
+        F.min(F.struct(F.col("n").alias("hub"), F.col("size").alias("hub_size"))).alias("h"),
+        F.count(F.lit(1)).alias("members")).filter("members > 1").select("root", "h.*")
+    pairs = members.join(hubs, "root").filter("n <> hub").filter(_lengths_fit("size", "hub_size", similarity))
+    return _verified(pairs.select(F.col("n").alias("a"), F.col("hub").alias("b")), sets, similarity)
+
+
 def near_copy_groups(
     docs: DataFrame, *, text: str = "text", words: int = 5, similarity: float = 0.8,
 ) -> DataFrame:
@@ -144,13 +162,16 @@ def near_copy_groups(
 
     # texts with one key have the same words, so any of them will do
     sets = kept(map_batches(keyed, distinct, "n bigint, s binary").dropDuplicates(["n"]), "shingles")
-    filed = kept(_filed(sets.filter(F.length("s") > 0)), "filed")
+    whole = sets.filter(F.length("s") > 0)
+    links = kept(simhash_links(whole, similarity), "simhash-links")
+    close = kept(connected_components(links), "near-close").withColumnRenamed("node", "n")
+    filed = kept(_filed(whole), "filed")
     sizes = filed.select(F.col("n").alias("hub"), F.col("size").alias("hub_size")).distinct()
     # how many texts share a key with it: the texts in the middle of a group have most
     buckets = filed.groupBy("t").agg(F.count(F.lit(1)).alias("members"))
     shared = kept(filed.join(buckets, "t").groupBy("n").agg(F.sum("members").alias("shared")), "shared")
-    links: DataFrame | None = None
-    mixed, free = filed.withColumn("root", F.col("n")).join(shared, "n"), None
+    mixed = filed.join(close, "n", "left").withColumn("root", F.coalesce("root", "n")).join(shared, "n")
+    free = None
     for _ in range(HUBS):
         # one text of each bucket against all that are not joined with it yet; the second time one that the
         # first is not joined with, and only in buckets whose members do not all have one root
@@ -162,7 +183,7 @@ def near_copy_groups(
             .join(sizes, "hub").filter(_lengths_fit("size", "hub_size", similarity))
             .select(F.col("n").alias("a"), F.col("hub").alias("b")))
         near = kept(_verified(to_hub, sets, similarity), "hub-links")
-        links = near if links is None else links.unionAll(near)
+        links = links.unionAll(near)
         first = kept(connected_components(links), "near-first")
         rooted = (
             filed.select("t", "n", "size").join(first.withColumnRenamed("node", "n"), "n", "left")

@@ -597,6 +597,25 @@ def test_near_copies_with_blocks_and_repeats(spark, text_of):
     assert len(_same_groups(spark, texts)) == 60
 
 
+def test_near_copies_are_linked_by_simhash_first(spark, text_of, monkeypatch):
+    words = [text_of(k, 2_000).split() for k in range(6)]
+    texts = [" ".join(w) for w in words] + [" ".join([*w[:900], "changed", *w[901:]]) for w in words]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    limits, whole = [], near_copies.fingerprint_components
+
+    def seen(fps, limit):
+        limits.append(limit)
+        return whole(fps, limit)
+
+    monkeypatch.setattr(near_copies, "fingerprint_components", seen)
+    # without the later keys the fingerprints alone join what differs in few bits
+    monkeypatch.setattr(near_copies, "_filed", lambda sets: spark.createDataFrame([], "t bigint, n bigint, size int"))
+    kept = {r.doc_id for r in near_copies.drop_near_copies(docs).collect()}
+    prints = [int(near_copies.fingerprint(near_copies.shingle_set(t), 1)[0]) & (1 << 64) - 1 for t in texts]
+    near = {k + 6 for k in range(6) if (prints[k] ^ prints[k + 6]).bit_count() <= 3}
+    assert limits == [3] and near and kept == set(range(12)) - near
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     out = corpus_pipeline.run(spark, SF).collect()
