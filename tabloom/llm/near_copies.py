@@ -213,7 +213,8 @@ def near_copy_groups(
             (F.col("a.t") == F.col("b.t")) & (F.col("a.root") < F.col("b.root"))
             & _lengths_fit("a.size", "b.size", similarity) & (away <= distance_limit(similarity)))
         .select(F.col("a.n").alias("a"), F.col("b.n").alias("b")).distinct())
-    roots = rooted.select("n", "root").distinct()
+    # texts that fingerprints alone have linked are in no bucket
+    roots = rooted.select("n", "root").unionAll(first.select(F.col("node").alias("n"), "root")).distinct()
     second = connected_components(
         kept(_verified(pairs, sets, similarity), "near-links")
         .join(roots.select(F.col("n").alias("a"), F.col("root").alias("p")), "a")
