@@ -53,6 +53,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(name, str(rows))
 
 
+def _give_back() -> None:
+    """Return what Arrow holds for later: a worker outlives its task and would keep the most that any batch took."""
+    pa.default_memory_pool().release_unused()
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, list]], schema: str, rows: int = 512,
 ) -> DataFrame:
@@ -69,6 +74,8 @@ def map_batches(
                     v.cast(f.type) if isinstance(v, pa.Array) else pa.array(v, f.type)
                     for f, v in ((f, out[f.name]) for f in kind)]
                 yield pa.RecordBatch.from_arrays(columns, names=kind.names)
+            out = columns = batch = None
+            _give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -82,6 +89,7 @@ def fold_partitions(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = fold(b for b in batches if b.num_rows)
+        _give_back()
         if out is not None:
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in kind], names=kind.names)
 

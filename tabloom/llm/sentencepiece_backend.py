@@ -20,8 +20,8 @@ MARKER = "▁"
 WORDS = re.compile(f"{MARKER}+[^{MARKER}]*")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # fixed values of the model format
 UNIGRAM, BPE = 1, 2
-# Encoded words kept by a worker before it starts afresh.
-MEMO_WORDS = 500_000
+# Encoded words kept by a worker before it starts afresh, and their characters; workers outlive their tasks.
+MEMO_WORDS, MEMO_CHARS = 50_000, 1_000_000
 RUN = 256  # new words encoded in a row
 
 
@@ -61,6 +61,7 @@ class PieceTokenizer:
         self.starts = np.array([p.piece.startswith(MARKER) for p in self.pieces])
         self.simple = not (self.spec.precompiled_charsmap or self.spec.remove_extra_whitespaces)
         self.memo: dict[str, bytes] = {}
+        self.memo_chars = 0
         self.odd: set[str] = set()  # words on which the libraries disagree
 
     def normalized(self, text: str) -> str:
@@ -107,9 +108,10 @@ class PieceTokenizer:
     def encode_batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Token ids of each text, and whether the sentencepiece library gives the same ones."""
         memo = self.memo
-        if len(memo) > MEMO_WORDS or not self.by_word:
+        if len(memo) > MEMO_WORDS or self.memo_chars > MEMO_CHARS or not self.by_word:
             memo.clear()
             self.odd.clear()
+            self.memo_chars = 0
         if self.by_word:
             split = [self._words(t) for t in texts]
             new = [w for w in set(chain.from_iterable(split)) if w not in memo]
@@ -119,6 +121,7 @@ class PieceTokenizer:
             new, originals = [ws[0] for ws in split], texts
         if new:
             self._learn(new, originals)
+            self.memo_chars += sum(map(len, new))
         ids = [np.frombuffer(b"".join([memo[w] for w in ws]), np.int32) for ws in split]
         return ids, [not self.odd or self.odd.isdisjoint(ws) for ws in split]
 
@@ -224,4 +227,4 @@ def encode_decode(
     schema = (
         f"doc_id {kind}, n_tokens bigint, token_ids array<int>, parity boolean, round_trip boolean, "
         "decoded_sha256 string")
-    return map_batches(docs.select(c(doc_id), c(text)), run, schema, rows=256)
+    return map_batches(docs.select(c(doc_id), c(text)), run, schema, rows=64)

@@ -117,7 +117,7 @@ def fit_toxicity(
     def run(batch: pa.RecordBatch) -> dict:
         return {"p": batch.column(0), "words": [sorted(tokens(t)) for t in batch.column(1).to_pylist()]}
 
-    rows = stored(map_batches(sample, run, "p int, words array<string>"), "toxic-sample")
+    rows = stored(map_batches(sample, run, "p int, words array<string>", rows=64), "toxic-sample")
     sizes = dict(rows.groupBy("p").count().collect())
     n_p, n_u = sizes.get(1, 0), sizes.get(0, 0)
     if not n_p or not n_u:

@@ -508,6 +508,20 @@ def _unigram_model() -> bytes:
     return proto.SerializeToString()
 
 
+def test_a_worker_keeps_few_encoded_words():
+    with open(sentencepiece_backend.MODEL_FILE, "rb") as f:
+        tokenizer = sentencepiece_backend.PieceTokenizer(f.read())
+    first = tokenizer.encode_batch(["word0 and word1"])[0][0].tolist()
+    for start in range(0, 150_000, 10_000):
+        tokenizer.encode_batch([" ".join(f"word{i}" for i in range(start, start + 10_000))])
+        assert len(tokenizer.memo) <= 70_000
+    tokenizer.encode_batch(["x" * 3_000_000])
+    tokenizer.encode_batch(["y"])
+    assert sum(map(len, tokenizer.memo)) < 10
+    ids, same = tokenizer.encode_batch(["word0 and word1"])
+    assert ids[0].tolist() == first and same == [True]
+
+
 @pytest.mark.parametrize("text", ["the thing and the other", "rest in an inner hand", "a", "zebra stands on the stone", "é in 日本", "the  end"])
 def test_unigram_scores_choose_the_pieces(text):
     tokenizer = sentencepiece_backend.PieceTokenizer(_unigram_model())
