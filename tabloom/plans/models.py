@@ -37,12 +37,14 @@ from ..functions.stats import frequencies, json_value, literal, moments
 from ..operators.step import StepModel
 from ..session import scratch_path
 from .features import feature_columns
+from .grouped_forest import GROUPED_WIDTH, GroupedForest, bin_model, repeats
 from .wide_ridge import WideRidge, vector_width
 
 FEATURES, LABEL = "_features", "_label"
 MAX_CLASSES = 1000  # more of them are kept in a table that is joined
 NORMAL_FEATURES = 4096  # of Spark's solver by normal equations
 MAX_DEPTH = 30  # of Spark's trees
+GROUPED_ROWS = 400_000  # from which forests look for rows that are equal once binned
 
 
 @dataclass(frozen=True)
@@ -111,12 +113,28 @@ def _tree(params, info):
     return [DecisionTreeClassifier(impurity="gini", **_tree_params(params), **_NO_VOTES)]
 
 
+def _grouped_forest(info: TrainingInfo, trees: int, settings: dict[str, Any]) -> list[Any]:
+    """Bins and a forest on distinct binned rows; nothing if rows are few copies of each other."""
+    first = info.frame.select(vector_width(FEATURES).alias("d")).first()
+    leaf = settings["minInstancesPerNode"]
+    if first is None or not 0 < first.d <= GROUPED_WIDTH or info.rows < 8 * leaf:
+        return []
+    bins = bin_model(info.frame, FEATURES, info.rows, settings["maxBins"])
+    if not repeats(bins.transform(info.frame), FEATURES, LABEL, info.rows):
+        return []
+    return [bins, GroupedForest(FEATURES, LABEL, info.n_classes, trees, settings["seed"], leaf, settings)]
+
+
 def _forest(cls, subset: str):
     def build(params, info):
         _known(params, [*_TREE, "n_estimators"])
         votes = _NO_VOTES if cls is RandomForestClassifier else {}
-        return [cls(
-            numTrees=int(params.get("n_estimators", 100)), featureSubsetStrategy=subset, **_tree_params(params), **votes)]
+        trees, settings = int(params.get("n_estimators", 100)), {"featureSubsetStrategy": subset, **_tree_params(params), **votes}
+        if cls is RandomForestClassifier and info.rows >= GROUPED_ROWS:
+            grouped = _grouped_forest(info, trees, settings)
+            if grouped:
+                return grouped
+        return [cls(numTrees=trees, **settings)]
 
     return build
 

@@ -5,6 +5,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from tabloom.operators.evaluate import classification_metrics, regression_metrics
+from tabloom.plans import models
 from tabloom.plans.experiment import batch_predict, drift_from_champion, run_experiment
 from tabloom.plans.features import FeaturePipeline
 from tabloom.plans.models import MODELS, Trainer, load_model, register_model, save_model
@@ -262,3 +263,34 @@ def test_sparse_onehot_and_wide_ridge_name_no_slots(spark):
     for i in (0, 1):
         pair = [i % 7, (i + 6000) % 7]
         assert first[i] == pytest.approx(m + (sum(pair) - 2 * m) / 3, abs=0.01)
+
+
+def test_forests_visit_distinct_binned_rows_with_their_bootstrap(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(models, "GROUPED_ROWS", 1000)
+    df = spark.range(6000).selectExpr(
+        "id", "CAST(id % 10 AS double) AS a", "CAST(id DIV 10 % 8 AS double) AS b", "CAST(id DIV 80 % 3 AS double) AS c",
+        "IF(id % 10 + id DIV 10 % 8 > 8, 'far', 'near') AS k")
+    trainer = Trainer("random_forest_classifier", {"n_estimators": 12, "min_samples_leaf": 20}, "k", ["id"])
+    _, ready, info = trainer.prepare(df)
+    bins, forest = trainer.kind.build(trainer.params, info)
+    rows = forest.bags(bins.transform(ready)).toPandas()
+    assert len(rows) == 240 and rows.n.sum() == 6000
+    drawn = rows[[f"w{t}" for t in range(12)]].to_numpy()
+    # Poisson(n) for n = 25 copies: its mean and variance are 25
+    assert drawn.mean() == pytest.approx(25, abs=0.5) and drawn.var() == pytest.approx(25, abs=3)
+    assert len({tuple(x) for x in drawn.T}) == 12
+    model = trainer.fit(df)
+    trees = model.stages[-2].trees
+    assert len(trees) == 12 and all(t.numNodes > 1 for t in trees)
+    # no leaf has fewer rows of the bootstrap than asked for
+    assert all(t.numNodes <= 2 * drawn[:, i].sum() / 20 for i, t in enumerate(trees))
+    save_model(model, str(tmp_path / "m"))
+    first, again = (m.transform(df.drop("k")).select("id", "prediction").toPandas().sort_values("id") for m in (
+        model, load_model(str(tmp_path / "m"))))
+    assert first.prediction.tolist() == again.prediction.tolist()
+    right = df.select("k", "id").toPandas().sort_values("id")
+    assert (right.k.to_numpy() == first.prediction.to_numpy()).mean() > 0.95
+    # rows without copies go on to Spark's own bootstrap
+    wide = spark.range(2000).selectExpr("id", "rand(1) AS a", "rand(2) AS b", "rand(3) AS c", "CAST(id % 2 AS int) AS k")
+    _, _, info = trainer.prepare(wide)
+    assert len(trainer.kind.build(trainer.params, info)) == 1
