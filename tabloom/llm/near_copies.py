@@ -6,14 +6,16 @@ of :mod:`.simhash`), and each text is verified on whole sets against one text of
 Texts at the limit differ in more bits than such keys can find, so what is still apart goes on: each text is filed under BANDS keys, a key being the least hashes of its set under BAND_ROWS
 orders; near texts share a key but for odds of 7 in 100,000 at the limit. In each bucket all texts
 are compared with one of them first, the one that shares keys with most texts, and what is still
-apart with another. Then the texts of different components are: wide SimHash
+apart with another. Then the texts of different components are: how many shingles of a text
+are found in other components bounds for certain what it can share with any of their texts, wide SimHash
 fingerprints of the sets discard pairs that are too far apart, and what is left is verified on
-whole sets.
+whole sets, once for each pair.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -139,6 +141,76 @@ def simhash_links(sets: DataFrame, similarity: float) -> DataFrame:
     return _verified(pairs.select(F.col("n").alias("a"), F.col("hub").alias("b")), sets, similarity)
 
 
+def _told_apart(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(n, no_joined, no_single): how many shingles of a text no text of another root holds; no row if there are none.
+
+    Texts of *mixed* (n, root, joined, more) are of two kinds: those joined with a text already, and the others.
+    With one of another root and either kind, a text can have no more than its other shingles in common.
+    """
+    def run(batch: pa.RecordBatch) -> dict:
+        found = [np.frombuffer(s, np.int32) for s in batch.column(3).to_pylist()]
+        out = {name: np.repeat(batch.column(i).to_numpy(zero_copy_only=False), [len(s) for s in found])
+               for i, name in enumerate(("n", "root", "joined"))}
+        return out | {"shingle": np.concatenate(found)}
+
+    texts = mixed.select("n", "root", "joined").distinct().join(sets, "n").select("n", "root", "joined", "s")
+    rows = map_batches(texts, run, "n bigint, root bigint, joined boolean, shingle int", rows=32)
+    by_kind = {"joined": F.when(F.col("joined"), F.col("root")), "single": F.when(~F.col("joined"), F.col("root"))}
+    holders = rows.groupBy("shingle").agg(*[
+        f(root).alias(f"{kind}_{end}") for kind, root in by_kind.items() for end, f in (("lo", F.min), ("hi", F.max))])
+    # shingles that several roots of either kind hold are no text's own, so none that is common is joined below
+    own = holders.filter(" or ".join(f"{k}_lo is null or {k}_lo = {k}_hi" for k in by_kind))
+
+    def lacking(kind: str) -> Column:
+        other = (F.col(f"{kind}_lo") != F.col("root")) | (F.col(f"{kind}_hi") != F.col("root"))
+        return F.count(F.when(~F.coalesce(other, F.lit(False)), 1))
+
+    return rows.join(own, "shingle").groupBy("n").agg(*[lacking(k).alias(f"no_{k}") for k in by_kind])
+
+
+def _close_pairs(
+    told: DataFrame, mixed: DataFrame, sets: DataFrame, similarity: float, kept: Callable[[DataFrame, str], DataFrame],
+) -> DataFrame:
+    """Pairs (a, b) of one bucket and different roots that may be similar, each of them once.
+
+    Left out are pairs that the sizes of the sets or the shingles found in other texts rule out for certain,
+    and those whose wide fingerprints are too far apart.
+    """
+    words_of = [f"f{i}" for i in range(WORDS)]
+
+    def prints(batch: pa.RecordBatch) -> dict:
+        found = [fingerprint(np.frombuffer(s, np.uint32)) for s in batch.column(1).to_pylist()]
+        table = np.array(found, np.int64).reshape(-1, WORDS)
+        return {"n": batch.column(0), **{name: table[:, i] for i, name in enumerate(words_of)}}
+
+    able = kept(
+        mixed.join(told, "n", "left")
+        .withColumn("with_joined", F.col("size") - F.coalesce("no_joined", F.lit(0)))
+        .withColumn("with_single", F.col("size") - F.coalesce("no_single", F.lit(0)))
+        .filter(F.greatest("with_joined", "with_single") >= F.lit(similarity) * F.col("size") - F.lit(1e-6)), "near-able")
+    texts = able.groupBy("n").agg(F.collect_list("t").alias("keys"))
+    wide = map_batches(
+        sets.join(texts.select("n"), "n", "left_semi"), prints,
+        "n bigint, " + ", ".join(f"{name} bigint" for name in words_of))
+    marked = kept(able.join(texts, "n").join(wide, "n"), "near-marked")
+
+    def held(one: str, other: str) -> Column:
+        return F.when(F.col(f"{other}.joined"), F.col(f"{one}.with_joined")).otherwise(F.col(f"{one}.with_single"))
+
+    common = F.least(held("a", "b"), held("b", "a"))
+    fit = common >= F.lit(similarity) * (F.col("a.size") + F.col("b.size") - common) - F.lit(1e-6)
+    away = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in words_of[1:]),
+               F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0"))))
+    # a pair meets in every bucket that it shares; the first of them has it
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.t")
+    return (
+        marked.alias("a").join(
+            marked.alias("b"),
+            (F.col("a.t") == F.col("b.t")) & (F.col("a.root") < F.col("b.root"))
+            & _lengths_fit("a.size", "b.size", similarity) & fit & (away <= distance_limit(similarity)) & once)
+        .select(F.col("a.n").alias("a"), F.col("b.n").alias("b")))
+
+
 def near_copy_groups(
     docs: DataFrame, *, text: str = "text", words: int = 5, similarity: float = 0.8,
 ) -> DataFrame:
@@ -187,32 +259,14 @@ def near_copy_groups(
         first = kept(connected_components(links), "near-first")
         rooted = (
             filed.select("t", "n", "size").join(first.withColumnRenamed("node", "n"), "n", "left")
-            .withColumn("root", F.coalesce("root", "n")))
+            .withColumn("joined", F.col("root").isNotNull()).withColumn("root", F.coalesce("root", "n")))
         mixed = kept(
             rooted.join(
                 rooted.groupBy("t").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
                 .filter("lo <> hi").select("t"), "t", "left_semi").join(shared, "n"), "near-mixed")
         taken = mixed.join(chosen.select("t", F.col("hub").alias("n")), ["t", "n"]).select("t", F.col("root").alias("taken"))
         free = mixed.join(taken, "t").filter("root <> taken")
-    words_of = [f"f{i}" for i in range(WORDS)]
-
-    def prints(batch: pa.RecordBatch) -> dict:
-        found = [fingerprint(np.frombuffer(s, np.uint32)) for s in batch.column(1).to_pylist()]
-        table = np.array(found, np.int64).reshape(-1, WORDS)
-        return {"n": batch.column(0), **{name: table[:, i] for i, name in enumerate(words_of)}}
-
-    wide = map_batches(
-        sets.join(mixed.select("n").distinct(), "n", "left_semi"), prints,
-        "n bigint, " + ", ".join(f"{name} bigint" for name in words_of))
-    marked = kept(mixed.join(wide, "n"), "near-marked")
-    away = sum((F.bit_count(F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}"))) for f in words_of[1:]),
-               F.bit_count(F.col("a.f0").bitwiseXOR(F.col("b.f0"))))
-    pairs = (
-        marked.alias("a").join(
-            marked.alias("b"),
-            (F.col("a.t") == F.col("b.t")) & (F.col("a.root") < F.col("b.root"))
-            & _lengths_fit("a.size", "b.size", similarity) & (away <= distance_limit(similarity)))
-        .select(F.col("a.n").alias("a"), F.col("b.n").alias("b")).distinct())
+    pairs = _close_pairs(kept(_told_apart(mixed, sets), "near-told"), mixed, sets, similarity, kept)
     # texts that fingerprints alone have linked are in no bucket
     roots = rooted.select("n", "root").unionAll(first.select(F.col("node").alias("n"), "root")).distinct()
     second = connected_components(

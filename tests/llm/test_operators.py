@@ -611,6 +611,26 @@ def test_near_copies_with_blocks_and_repeats(spark, text_of):
     assert len(_same_groups(spark, texts)) == 60
 
 
+def test_near_copies_just_below_the_limit_are_verified_seldom(spark, text_of, monkeypatch):
+    # half of the variants are near each other, the others just too far from all
+    words, texts = text_of(1, 204).split(), []
+    for k in range(80):
+        own = list(words)
+        for j in range(1 + k % 2 * 4):
+            own[(k * 5 + j * 37) % 204] = f"own{k}x{j}"
+        texts.append(" ".join(own))
+    asked, whole = [], near_copies._verified
+
+    def seen(pairs, sets, similarity):
+        asked.append(pairs.collect())
+        return whole(pairs, sets, similarity)
+
+    monkeypatch.setattr(near_copies, "_verified", seen)
+    assert len(_same_groups(spark, texts)) > 30
+    last = asked[-1]
+    assert 0 < len(last) == len(set(last)) <= 200  # of 1,548 that the wide fingerprints alone let through
+
+
 def test_near_copies_are_linked_by_simhash_first(spark, text_of, monkeypatch):
     words = [text_of(k, 2_000).split() for k in range(6)]
     texts = [" ".join(w) for w in words] + [" ".join([*w[:900], "changed", *w[901:]]) for w in words]
