@@ -8,25 +8,37 @@ from pyspark.sql import functions as F
 from .common import stored
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """Each link from either end: one pass over the links, where a union reads them twice."""
+    return edges.select(F.explode(F.array(
+        F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Link every larger neighbour of a node to the smallest node next to it."""
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return (
-        both.filter("b > a").join(low, "a")
-        .select(F.col("m").alias("a"), "b").distinct()
-    )
+    """Link every larger neighbour of a node to the smallest node next to it; links may come back repeated."""
+    low = _both_ways(edges.select("a", "b")).groupBy("a").agg(F.min("b").alias("m"))
+    return edges.join(low, "a").select(F.least("a", "m").alias("a"), "b")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    """Link a node and its smaller neighbours to the smallest of them."""
+    """Link a node and its smaller neighbours to the smallest of them; *moved* where that is a new link."""
     low = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(low, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-    return moved.unionAll(low.select(F.col("m").alias("a"), "b")).distinct()
+    moved = F.struct(F.col("m").alias("a"), F.col("a").alias("b"), F.lit(True).alias("moved"))
+    own = F.struct(F.col("m").alias("a"), "b", F.lit(False).alias("moved"))
+    linked = edges.join(low, "b").select(F.explode(F.array(moved, own)).alias("e")).select("e.*")
+    return linked.filter("a <> b").groupBy("a", "b").agg(F.max("moved").alias("moved"))
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of *links* (columns a, b of one orderable type).
+def _all_direct(edges: DataFrame) -> bool:
+    """True if every link points from the smallest node of a component to a member."""
+    # without moved links each member has one link, so only a link to the start of another is left to look for
+    if edges.agg(F.max("moved")).first()[0]:
+        return False
+    return edges.join(edges.select(F.col("a").alias("b")).distinct(), "b", "left_semi").count() == 0
+
+
+def member_roots(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of *links* but the smallest ones of their components, which are the roots.
 
     Large-star and small-star steps alternate until every link points from the
     smallest node of a component to a member. Each round is written to the shared
@@ -35,13 +47,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     """
     edges = stored(
         links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
-    seen = None
     while True:
-        # two measures of the set of links; equal ones mean that nothing moved
-        mark = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if seen == mark or mark[0] == 0:
-            break
-        seen = mark
         edges = stored(_small_star(_large_star(edges)), "stars")
-    members = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
-    return members.unionAll(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
+        if _all_direct(edges):
+            return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of *links* (columns a, b of one orderable type), see :func:`member_roots`."""
+    members = member_roots(links)
+    return members.unionAll(members.select(F.col("root").alias("node"), "root").distinct())

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import c, map_batches, stored
-from .components import connected_components
+from .components import member_roots
 
 # Reference fingerprints of the distance table; 16 distances of 7 bits fit two longs.
 PIVOTS = 16
@@ -109,24 +109,25 @@ def _spare_blocks(n: int) -> int:
 def fingerprint_components(fps: DataFrame, limit: int = 3, spare: int | None = None) -> DataFrame:
     """(fp, root) of every distinct fingerprint; links are pairs with at most *limit* differing bits.
 
-    First every fingerprint is linked to the next one in each of its buckets if near:
-    dense groups of copies collapse into few components that way, in linear work.
+    First every fingerprint is linked to the next one and to the first one in each of its buckets if near:
+    dense groups of copies collapse into few components that way, in linear work, and the first ones
+    keep the paths short that the rounds of the components follow.
     Then only pairs of different components in a bucket are looked at: those the pivot
     table can't discard are verified by counting bits. No link that joins two
     components is lost, and none within a component is listed.
     """
     nodes = fps.select("fp").distinct()
-    spare = spare or _spare_blocks(nodes.count())
+    spare = spare or _spare_blocks(fps.agg(F.approx_count_distinct("fp")).first()[0])
     keyed = stored(
         nodes.select("fp", *distance_table(F.col("fp")), F.explode(_keys(F.col("fp"), limit, spare)).alias("k"))
         .select("k.t", "k.v", "fp", "d0", "d1"), "simhash-keys")
-    following = F.lead("fp").over(Window.partitionBy("t", "v").orderBy("fp"))
+    bucket = Window.partitionBy("t", "v").orderBy("fp")
     chain = (
-        keyed.withColumn("next", following)
-        .filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("next"))) <= limit)
-        .select(F.col("fp").alias("a"), F.col("next").alias("b"))
+        keyed.select("fp", F.array(F.lead("fp").over(bucket), F.first("fp").over(bucket)).alias("others"))
+        .select(F.col("fp").alias("a"), F.explode("others").alias("b"))
+        .filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= limit))
     )
-    first = stored(connected_components(chain), "simhash-first")
+    first = member_roots(chain)  # the roots are in no row: they are their own
     labelled = (
         keyed.join(first.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumn("root", F.coalesce("root", "fp"))
@@ -144,7 +145,7 @@ def fingerprint_components(fps: DataFrame, limit: int = 3, spare: int | None = N
             & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= limit))
         .select(F.col("a.root").alias("a"), F.col("b.root").alias("b"))
     )
-    second = connected_components(pairs).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    second = member_roots(pairs).select(F.col("node").alias("root"), F.col("root").alias("top"))
     return (
         nodes.join(first.withColumnRenamed("node", "fp"), "fp", "left")
         .withColumn("root", F.coalesce("root", "fp"))

@@ -52,6 +52,26 @@ def test_components(spark):
     assert got[20] == got[21] == 20 and 30 not in got and {got[k] for k in range(100, 160)} == {100}
 
 
+def test_components_stop_when_all_links_are_direct(spark, monkeypatch):
+    names, whole = [], components.stored
+
+    def seen(df, name):
+        names.append(name)
+        return whole(df, name)
+
+    monkeypatch.setattr(components, "stored", seen)
+    links = [(k, 5) for k in range(6, 40)] + [(k, 50) for k in range(51, 60)]
+    got = dict(components.connected_components(spark.createDataFrame(links, "a int, b int")).collect())
+    assert got == {k: 5 for k in range(5, 40)} | {k: 50 for k in range(50, 60)}
+    assert names == ["links", "stars"]  # no round that moves nothing
+    rng = np.random.default_rng(5)
+    order = rng.permutation(120).tolist()
+    links = [(a, b) for i, (a, b) in enumerate(zip(order, order[1:])) if i % 40 != 39]
+    got = dict(components.connected_components(spark.createDataFrame(links, "a int, b int")).collect())
+    assert got == {k: min(order[i:i + 40]) for i in (0, 40, 80) for k in order[i:i + 40]}
+    assert components.member_roots(spark.createDataFrame([], "a int, b int")).collect() == []
+
+
 def brute_simhash(text: str) -> int:
     words = [w.decode() for w in text.encode().lower().split()]
     if not words:
